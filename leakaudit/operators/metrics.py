@@ -27,25 +27,21 @@ def _counts(df: DataFrame, by: Sequence[str], *extra: Column | str) -> DataFrame
     )
 
 
-def _score_bucket(df: DataFrame) -> Column:
-    """A monotone bucket of the score with roughly even content.
+def with_score_bucket(df: DataFrame, edges_from: DataFrame | None = None) -> DataFrame:
+    """Add ``bucket``, a monotone function of the score with roughly even content.
 
     32 x 32 approximate percentiles, looked up coarse then fine. The metric is exact
     for any monotone bucket, so the sketch only decides how even the work is.
     """
     n = _EDGES * _EDGES
     probs = F.array(*[F.lit(i / n) for i in range(n)])
-    fine = df.agg(F.percentile_approx("score", probs, 4 * n).alias("edges"))
-    both = fine.select(
-        F.struct(
-            F.col("edges"),
-            F.transform(F.sequence(F.lit(0), F.lit(_EDGES - 1)), lambda i: F.get("edges", i * _EDGES)).alias("coarse"),
-        )
-    ).scalar()
-    edges = both.getField("edges")
-    block = F.greatest(F.size(F.filter(both.getField("coarse"), lambda e: e < F.col("score"))) - 1, F.lit(0))
-    inside = F.slice(edges, block * _EDGES + 1, F.lit(_EDGES))
-    return block * _EDGES + F.size(F.filter(inside, lambda e: e < F.col("score")))
+    sketch = (df if edges_from is None else edges_from).agg(F.percentile_approx("score", probs, 4 * n).alias("fine"))
+    coarse = F.transform(F.sequence(F.lit(0), F.lit(_EDGES - 1)), lambda i: F.get("fine", i * _EDGES))
+    edges = sketch.select(F.struct("fine", coarse.alias("coarse"))).scalar()
+    block = F.greatest(F.size(F.filter("__e.coarse", lambda e: e < F.col("score"))) - 1, F.lit(0))
+    inside = F.slice("__e.fine", F.col("__b") * _EDGES + 1, F.lit(_EDGES))
+    bucket = F.col("__b") * _EDGES + F.size(F.filter(inside, lambda e: e < F.col("score")))
+    return df.withColumn("__e", edges).withColumn("__b", block).withColumn("bucket", bucket).drop("__e", "__b")
 
 
 def auroc(
@@ -59,7 +55,7 @@ def auroc(
     """
     by = list(by)
     if bucket is None:
-        df = df.withColumn("bucket", _score_bucket(df) if buckets else F.lit(0))
+        df = with_score_bucket(df) if buckets else df.withColumn("bucket", F.lit(0))
         bucket = "bucket"
     per_score = _counts(df, by, bucket, "score")
     below = Window.partitionBy(*by, bucket).orderBy("score")
@@ -199,7 +195,7 @@ def bootstrap_replicates(
         weights = bootstrap_weights(predictions.select(group).distinct(), n_boot, group, seed)
     rows = predictions
     if metric == "auroc":
-        rows = rows.withColumn("bucket", F.floor(_score_bucket(predictions) / _EDGES).cast("int"))
+        rows = with_score_bucket(predictions).withColumn("bucket", F.floor(F.col("bucket") / _EDGES).cast("int"))
     # Same-score rows of a group merge before the group is repeated per replicate.
     extra = ["bucket"] if metric == "auroc" else []
     merged = rows.groupBy(*by, group, "y", "score", *extra).agg(F.count(F.lit(1)).alias("copies"))

@@ -76,7 +76,7 @@ def class_weights(df: DataFrame, label: str = "y", fold: str = "fold", k: int =
         F.count(F.lit(1)).alias("m")
     )
     outside = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("of"))
-    per = counts.select(F.explode(outside).cast("int").alias("fold"), "y", "m").groupBy("fold", "y").agg(
+    per = counts.select(F.explode(outside).alias("fold"), "y", "m").groupBy("fold", "y").agg(
         F.sum("m").alias("n_class")
     )
     both = per.groupBy("fold").agg(F.sum("n_class").alias("n"))

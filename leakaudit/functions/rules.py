@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,92 +17,79 @@ MAP_FLOOR = 70.0
 GCS_DEFAULTS = {"eye": 4.0, "verbal": 5.0, "motor": 6.0}
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+# Rules take column names (or SQL expressions) and are written as one CASE each.
 
 
-def _steps(value: Column, tests: Sequence[tuple[Column, int]]) -> Column:
-    chain = F.when(value.isNull(), F.lit(None).cast("int"))
-    for test, points in tests:
-        chain = chain.when(test, F.lit(points))
-    return chain.otherwise(F.lit(0))
+def _case(value: str, op: str, thresholds: Sequence[tuple[float, int]]) -> Column:
+    steps = " ".join(f"WHEN {value} {op} {limit}D THEN {points}" for limit, points in thresholds)
+    return F.expr(f"CASE WHEN {value} IS NULL THEN NULL {steps} ELSE 0 END")
 
 
-def points_below(value, thresholds: Sequence[tuple[float, int]]) -> Column:
+def points_below(value: str, thresholds: Sequence[tuple[float, int]]) -> Column:
     """Points of the first threshold the value lies under; 0 past all; NULL stays NULL."""
-    v = _col(value)
-    return _steps(v, [(v < limit, points) for limit, points in thresholds])
+    return _case(value, "<", thresholds)
 
 
-def points_from(value, thresholds: Sequence[tuple[float, int]]) -> Column:
+def points_from(value: str, thresholds: Sequence[tuple[float, int]]) -> Column:
     """Points of the first threshold the value reaches; 0 short of all; NULL stays NULL."""
-    v = _col(value)
-    return _steps(v, [(v >= limit, points) for limit, points in thresholds])
+    return _case(value, ">=", thresholds)
 
 
-def respiratory_points(pf_ratio) -> Column:
+def respiratory_points(pf_ratio: str) -> Column:
     return points_below(pf_ratio, RESPIRATORY_BELOW)
 
 
-def coagulation_points(platelets) -> Column:
+def coagulation_points(platelets: str) -> Column:
     return points_below(platelets, PLATELETS_BELOW)
 
 
-def liver_points(bilirubin) -> Column:
+def liver_points(bilirubin: str) -> Column:
     return points_from(bilirubin, BILIRUBIN_FROM)
 
 
-def renal_points(creatinine) -> Column:
+def renal_points(creatinine: str) -> Column:
     return points_from(creatinine, CREATININE_FROM)
 
 
-def cns_points(gcs) -> Column:
+def cns_points(gcs: str) -> Column:
     return points_below(gcs, GCS_BELOW)
 
 
-def coma_total(eye, verbal, motor) -> Column:
+def coma_total(eye: str, verbal: str, motor: str) -> Column:
     """NULL when neither eye nor motor was seen; otherwise missing parts count as normal."""
-    e, v, m = _col(eye), _col(verbal), _col(motor)
-    total = (
-        F.coalesce(e, F.lit(GCS_DEFAULTS["eye"]))
-        + F.coalesce(v, F.lit(GCS_DEFAULTS["verbal"]))
-        + F.coalesce(m, F.lit(GCS_DEFAULTS["motor"]))
-    )
-    return F.when(e.isNotNull() | m.isNotNull(), total)
+    parts = zip((eye, verbal, motor), GCS_DEFAULTS.values(), strict=True)
+    total = " + ".join(f"coalesce({part}, {normal}D)" for part, normal in parts)
+    return F.expr(f"CASE WHEN {eye} IS NOT NULL OR {motor} IS NOT NULL THEN {total} END")
 
 
-def pressure_points(mean_pressure) -> Column:
-    return F.when(_col(mean_pressure) < MAP_FLOOR, F.lit(1)).otherwise(F.lit(0))
+def pressure_points(mean_pressure: str) -> Column:
+    return F.expr(f"CASE WHEN {mean_pressure} < {MAP_FLOOR}D THEN 1 ELSE 0 END")
 
 
-def dose_points(dopamine, dobutamine, epi, norepi) -> Column:
-    """Dose tier alone; a missing dose is no dose."""
-    dopa, dobu, epin, nore = (F.coalesce(_col(c), F.lit(0.0)) for c in (dopamine, dobutamine, epi, norepi))
-    return (
-        F.when((dopa > 15) | (epin > 0.1) | (nore > 0.1), F.lit(4))
-        .when((dopa > 5) | (epin > 0) | (nore > 0), F.lit(3))
-        .when((dopa > 0) | (dobu > 0), F.lit(2))
-        .otherwise(F.lit(0))
+def dose_points(dopamine: str, dobutamine: str, epi: str, norepi: str) -> Column:
+    """Dose tier alone. Comparisons with a missing dose are not true, so it is no dose."""
+    return F.expr(
+        f"CASE WHEN {dopamine} > 15 OR {epi} > 0.1D OR {norepi} > 0.1D THEN 4"
+        f" WHEN {dopamine} > 5 OR {epi} > 0 OR {norepi} > 0 THEN 3"
+        f" WHEN {dopamine} > 0 OR {dobutamine} > 0 THEN 2 ELSE 0 END"
     )
 
 
-def sum_present(*columns) -> Column:
+def sum_present(*columns: str) -> Column:
     """Row sum skipping NULLs; NULL only when every input is."""
-    cols = [_col(c) for c in columns]
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in cols])
-    return F.when(F.coalesce(*cols).isNotNull(), total)
+    total = " + ".join(f"coalesce({c}, 0)" for c in columns)
+    return F.expr(f"CASE WHEN coalesce({', '.join(columns)}) IS NOT NULL THEN {total} END")
 
 
-def any_positive(*columns) -> Column:
-    return F.greatest(*[F.coalesce(_col(c), F.lit(0.0)) for c in columns]) > 0
+def any_positive(*columns: str) -> Column:
+    """Whether any input is above 0; false, never NULL."""
+    return F.expr(" OR ".join(f"coalesce({c}, 0) > 0" for c in columns))
 
 
-def ratio(numerator, denominator) -> Column:
-    return F.try_divide(_col(numerator), _col(denominator))
+def ratio(numerator: str, denominator: str) -> Column:
+    return F.try_divide(F.col(numerator), F.col(denominator))
 
 
-def overlap(start, end, lo, hi) -> Column:
+def overlap(start, end, lo: Column, hi: Column) -> Column:
     """Length of [start, end) inside [lo, hi), never negative."""
-    return F.greatest(
-        F.lit(0.0), F.least(_col(end), _col(hi)) - F.greatest(_col(start), _col(lo))
-    )
+    return F.greatest(F.lit(0.0), F.least(F.col(end), hi) - F.greatest(F.col(start), lo))

@@ -206,12 +206,10 @@ def score_invariants(scores: DataFrame, map_values: Sequence[float] = (40.0, 55.
     """Violations of what the scoring rule guarantees; every count should be 0."""
     rows = dose_determined(scores)
     dose = F.col("cardio_score_from_dose")
-    totals = [F.greatest(rules.pressure_points(F.lit(m)), dose) for m in map_values]
+    totals = [F.greatest(rules.pressure_points(f"{m}D"), dose) for m in map_values]
     constant = F.greatest(*totals) == F.least(*totals)
-    others = sum((F.col(c) for c in OTHER_SUBSCORES), F.lit(0))
-    complete = F.lit(True)
-    for c in SUBSCORES:
-        complete = complete & F.col(c).isNotNull()
+    others = F.expr(" + ".join(OTHER_SUBSCORES))
+    complete = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in SUBSCORES))
     checks = [
         ("cardio_constant_in_map_given_dose", F.col("treated"), constant),
         ("treated_is_dose_determined", F.col("treated"), F.col("dose_determined")),

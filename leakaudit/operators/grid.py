@@ -26,11 +26,6 @@ class Grid:
     def n_bins(self) -> int:
         return int(self.horizon // self.interval)
 
-    def panes(self, width: float) -> int | None:
-        """How many bins a trailing window spans, or None when it cuts a bin."""
-        count = width / self.interval
-        return int(count) if count == int(count) and count >= 1 else None
-
 
 def decision_grid(entities: DataFrame, grid: Grid, key: str = "stay_id") -> DataFrame:
     """Every entity with every bin and its short and long window bounds."""
@@ -72,28 +67,17 @@ def covered_windows(df: DataFrame, start: str, end: str, width, grid: Grid) -> D
 
 # --- trailing-window aggregates ---------------------------------------------------
 #
-# A window made of whole bins is summed up from per-bin partial aggregates ("panes"):
-# the observations cross the network once, and only pane rows - at most one per
-# (entity, feature, bin) - are repeated for the windows they belong to. Points before
-# the grid start sit in panes of negative index, which only longer windows reach.
-
-
-def _pane(hour: str, grid: Grid) -> Column:
-    return F.floor(F.col(hour) / F.lit(float(grid.interval))).cast("int")
+# Input is hourly, so an entity holds a bounded number of rows and partitioning by
+# entity is even. That one exchange serves everything after it: repeating a point for
+# the windows it belongs to, the aggregates per bin, scores and labels all stay local.
 
 
-def _reached_windows(df: DataFrame, panes: int, grid: Grid) -> DataFrame:
-    return explode_bins(df, F.col("pane"), F.col("pane") + F.lit(panes - 1), grid)
+def _placed(long: DataFrame, grid: Grid, width: float, key: str, hour: str) -> DataFrame:
+    return point_bins(long.repartition(key), hour, width, grid)
 
 
-def _statistic(stats: Mapping[str, str], feature: Column, by_name: Mapping[str, Column]) -> Column:
-    chosen = None
-    for name in ("max", "min"):
-        members = sorted(f for f, s in stats.items() if s == name)
-        if members:
-            test = feature.isin(members)
-            chosen = F.when(test, by_name[name]) if chosen is None else chosen.when(test, by_name[name])
-    return by_name["mean"] if chosen is None else chosen.otherwise(by_name["mean"])
+def _named(stats: Mapping[str, str], stat: str) -> str:
+    return ", ".join(f"'{f}'" for f, s in sorted(stats.items()) if s == stat) or "NULL"
 
 
 def windowed_features(
@@ -104,33 +88,13 @@ def windowed_features(
     key: str = "stay_id",
     hour: str = "hours_from_admit",
 ) -> DataFrame:
-    """(key, feature, bin, value): mean, min or max of each feature's points in the
+    """(key, feature, bin, value): mean, min or max of each feature's hourly points in the
     trailing window; windows holding no point give no row."""
-    panes = grid.panes(width)
-    v = F.col("value")
-    if panes is None:
-        grouped = point_bins(long, hour, width, grid).groupBy(key, "feature", "bin")
-        out = grouped.agg(F.sum(v).alias("s"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    else:
-        parts = (
-            long.withColumn("pane", _pane(hour, grid))
-            .groupBy(key, "feature", "pane")
-            .agg(F.sum(v).alias("s"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-        )
-        if panes == 1:
-            out = parts.filter(F.col("pane").between(0, grid.n_bins - 1)).withColumnRenamed("pane", "bin")
-        else:
-            out = (
-                _reached_windows(parts, panes, grid)
-                .groupBy(key, "feature", "bin")
-                .agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-            )
-    value = _statistic(
-        stats,
-        F.col("feature"),
-        {"mean": F.col("s") / F.col("n"), "min": F.col("lo"), "max": F.col("hi")},
+    value = (
+        f"CASE WHEN feature IN ({_named(stats, 'max')}) THEN max(value)"
+        f" WHEN feature IN ({_named(stats, 'min')}) THEN min(value) ELSE avg(value) END AS value"
     )
-    return out.select(key, "feature", "bin", value.alias("value"))
+    return _placed(long, grid, width, key, hour).groupBy(key, "feature", "bin").agg(F.expr(value))
 
 
 def wide_features(
@@ -138,9 +102,8 @@ def wide_features(
 ) -> DataFrame:
     """One column per feature. Conditional aggregates instead of ``pivot``: one shuffle
     and a schema fixed by the feature list, whatever the data holds."""
-    return windowed.groupBy(key, "bin").agg(
-        *[F.avg(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features]
-    )
+    columns = [F.expr(f"avg(value) FILTER (WHERE feature = '{f}') AS {f}") for f in features]
+    return windowed.groupBy(key, "bin").agg(*columns)
 
 
 def windowed_wide(
@@ -152,35 +115,9 @@ def windowed_wide(
     key: str = "stay_id",
     hour: str = "hours_from_admit",
 ) -> DataFrame:
-    """``wide_features(windowed_features(...))`` in one aggregate fewer: panes are wide
-    from the start, so no long (entity, feature, bin) table is ever shuffled."""
-    panes = grid.panes(width)
-    if panes is None:
-        return wide_features(windowed_features(long, grid, width, stats, key, hour), features, key)
-
-    def of(feature: str) -> Column:
-        return F.when(F.col("feature") == feature, F.col("value"))
-
-    first, again, final = [], [], []
-    for f in features:
-        stat = stats.get(f, "mean")
-        if stat == "mean":
-            first += [F.sum(of(f)).alias(f + "__s"), F.count(of(f)).alias(f + "__n")]
-            again += [F.sum(f + "__s").alias(f + "__s"), F.sum(f + "__n").alias(f + "__n")]
-            final.append(F.try_divide(F.col(f + "__s"), F.col(f + "__n")).alias(f))
-        else:
-            pick = F.max if stat == "max" else F.min
-            first.append(pick(of(f)).alias(f))
-            again.append(pick(f).alias(f))
-            final.append(F.col(f))
-    parts = (
-        long.filter(F.col("feature").isin(list(features)))
-        .withColumn("pane", _pane(hour, grid))
-        .groupBy(key, "pane")
-        .agg(*first)
-    )
-    if panes == 1:
-        out = parts.filter(F.col("pane").between(0, grid.n_bins - 1)).withColumnRenamed("pane", "bin")
-    else:
-        out = _reached_windows(parts, panes, grid).groupBy(key, "bin").agg(*again)
-    return out.select(key, "bin", *final)
+    """``wide_features(windowed_features(...))`` as a single aggregate."""
+    how = {"mean": "avg", "min": "min", "max": "max"}
+    columns = [
+        F.expr(f"{how[stats.get(f, 'mean')]}(value) FILTER (WHERE feature = '{f}') AS {f}") for f in features
+    ]
+    return _placed(long, grid, width, key, hour).groupBy(key, "bin").agg(*columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leakaudit.functions import rules
 from leakaudit.functions.elapsed import elapsed_hours
 from leakaudit.operators.grid import Grid, covered_windows, touching_bins
-from leakaudit.operators.measurements import to_origin
+from leakaudit.operators.measurements import literal_table, to_origin
 
 DOSE_SCORED = ("dopamine", "dobutamine", "epi", "norepi")
 DOSE_UNIT = "mcg/kg/min"
@@ -23,8 +23,7 @@ def infusion_intervals(
 
     There is no horizon filter: time before the origin and after the horizon counts.
     """
-    spark = infusions.sparkSession
-    names = spark.createDataFrame(list(drugs.items()), "itemid bigint, drug string")
+    names = literal_table(infusions.sparkSession, ["itemid", "drug"], list(drugs.items()))
     listed = infusions.filter(
         F.col("itemid").isin(list(drugs)) & (F.col("amount") > 0) & F.col("endtime").isNotNull()
     )
@@ -66,73 +65,35 @@ def drug_counts(intervals: DataFrame) -> DataFrame:
 
 # --- union --------------------------------------------------------------------------
 #
-# The textbook union sorts all of an entity's intervals in one task. Here an entity's
-# timeline is cut into chunks by start time, and only one summary row per chunk meets
-# the other chunks of the same entity. Copies collapse before the first exchange.
+# Intervals of one entity that start in the same minute collapse first, map side, so an
+# entity brings at most one row per minute of its timeline to the ordered step, however
+# many intervals or copies of them there are. The step streams over its sorted rows.
 
 
-def _chunked(intervals: DataFrame, key: str, chunk_hours: float) -> DataFrame:
-    """Distinct (entity, start) with the furthest end and how many rows had a length."""
+def _by_start(intervals: DataFrame, key: str) -> DataFrame:
+    """Distinct (entity, start): the furthest end, how many rows had a length, and how
+    far the earlier starts of the entity reach."""
+    earlier = Window.partitionBy(key).orderBy("start_h").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        intervals.withColumn("chunk", F.floor(F.col("start_h") / F.lit(float(chunk_hours))))
-        .groupBy(key, "chunk", "start_h")
+        intervals.groupBy(key, "start_h")
         .agg(F.max("end_h").alias("end_h"), F.count_if(F.col("end_h") > F.col("start_h")).alias("n_long"))
+        .withColumn("reach", F.max("end_h").over(earlier))
     )
 
 
-def _local_reach(chunked: DataFrame, key: str) -> DataFrame:
-    earlier = Window.partitionBy(key, "chunk").orderBy("start_h").rowsBetween(Window.unboundedPreceding, -1)
-    return chunked.withColumn("local_reach", F.max("end_h").over(earlier))
-
-
-def interval_union(intervals: DataFrame, key: str = "stay_id", chunk_hours: float = 24.0) -> DataFrame:
+def interval_union(intervals: DataFrame, key: str = "stay_id") -> DataFrame:
     """(key, start_h, end_h): overlapping or touching intervals merged."""
-    inside = Window.partitionBy(key, "chunk").orderBy("start_h")
-    opens = F.col("local_reach").isNull() | (F.col("start_h") > F.col("local_reach"))
-    local = (
-        _local_reach(_chunked(intervals, key, chunk_hours), key)
-        .withColumn("head", F.last(F.when(opens, F.col("start_h")), ignorenulls=True).over(inside))
-        .groupBy(key, "chunk", "head")
-        .agg(F.max("end_h").alias("end_h"))
-    )
-    # Within a chunk the islands are now disjoint and sorted, so the part an earlier
-    # chunk swallows is a prefix: the reach of earlier chunks decides it, and the last
-    # head past that reach is the island a later chunk would continue.
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        local.groupBy(key, "chunk")
-        .agg(F.max("end_h").alias("reach"), F.max("head").alias("last_head"))
-        .withColumn("carry_reach", F.max("reach").over(earlier))
-        .withColumn(
-            "new_head",
-            F.when(F.col("carry_reach").isNull() | (F.col("last_head") > F.col("carry_reach")), F.col("last_head")),
-        )
-        .withColumn("carry_head", F.last("new_head", ignorenulls=True).over(earlier))
-        .select(key, "chunk", "carry_reach", "carry_head")
-    )
-    continues = F.col("head") <= F.col("carry_reach")
-    return (
-        local.join(carried, [key, "chunk"])
-        .withColumn("start_h", F.when(continues, F.col("carry_head")).otherwise(F.col("head")))
-        .groupBy(key, "start_h")
-        .agg(F.max("end_h").alias("end_h"))
-    )
+    opens = F.col("reach").isNull() | (F.col("start_h") > F.col("reach"))
+    so_far = Window.partitionBy(key).orderBy("start_h").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(opens, F.col("start_h")), ignorenulls=True).over(so_far)
+    islands = _by_start(intervals, key).withColumn("head", head).groupBy(key, "head")
+    return islands.agg(F.max("end_h").alias("end_h")).select(key, F.col("head").alias("start_h"), "end_h")
 
 
-def overlapping_entities(intervals: DataFrame, key: str = "stay_id", chunk_hours: float = 24.0) -> DataFrame:
+def overlapping_entities(intervals: DataFrame, key: str = "stay_id") -> DataFrame:
     """(key, overlapping): whether any two intervals of the entity share time."""
-    local = _local_reach(_chunked(intervals, key, chunk_hours), key)
-    chunk = local.groupBy(key, "chunk").agg(
-        F.max("end_h").alias("reach"),
-        F.min("start_h").alias("first_start"),
-        F.max((F.col("start_h") < F.col("local_reach")) | (F.col("n_long") > 1)).alias("inside"),
-    )
-    # The first start of a chunk is the one an earlier chunk reaches first.
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    hit = F.coalesce(F.col("inside"), F.lit(False)) | F.coalesce(
-        F.col("first_start") < F.max("reach").over(earlier), F.lit(False)
-    )
-    return chunk.select(key, hit.alias("hit")).groupBy(key).agg(F.max("hit").alias("overlapping"))
+    shared = (F.col("n_long") > 1) | F.coalesce(F.col("start_h") < F.col("reach"), F.lit(False))
+    return _by_start(intervals, key).groupBy(key).agg(F.max(shared).alias("overlapping"))
 
 
 def overlapping_share(intervals: DataFrame, key: str = "stay_id") -> DataFrame:
@@ -231,9 +192,8 @@ def dose_matrix(
     rows = active.unionByName(_skeleton(entities, grid, *neutral))
 
     def peak(drug: str) -> Column:
-        is_drug = F.col("drug") == drug
-        seen = F.count_if(is_drug) > 0
-        return F.when(seen, F.max(F.when(is_drug, F.col("rate")))).otherwise(F.lit(0.0)).alias(drug)
+        own = f"FILTER (WHERE drug = '{drug}')"
+        return F.expr(f"CASE WHEN count(1) {own} > 0 THEN max(rate) {own} ELSE 0.0D END AS {drug}")
 
     return rows.groupBy(key, "bin").agg(*[peak(d) for d in drugs])
 

@@ -24,10 +24,22 @@ class Item:
     needs_clear_warning: bool = False
 
 
-_SCHEMA = (
-    "itemid bigint, feature string, above double, low double, high double,"
-    " divisor double, needs_clear_warning boolean"
-)
+def literal_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """A table written out in the program. ``VALUES`` plans as a local relation, so its
+    size is known exactly when joins are planned."""
+
+    def shown(v) -> str:
+        if isinstance(v, bool) or v is None:
+            return "NULL" if v is None else str(v).lower()
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else f"{v}L"
+
+    values = ", ".join("(" + ", ".join(shown(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+
+
+_ITEM_COLUMNS = ["itemid", "feature", "above", "low", "high", "divisor", "needs_clear_warning"]
 
 
 def item_dictionary(spark: SparkSession, items: Sequence[Item]) -> DataFrame:
@@ -35,7 +47,8 @@ def item_dictionary(spark: SparkSession, items: Sequence[Item]) -> DataFrame:
     rows = [
         (i.itemid, i.feature, i.above, i.low, i.high, i.divisor, i.needs_clear_warning) for i in items
     ]
-    return spark.createDataFrame(rows, _SCHEMA)
+    bounds = [f"CAST({c} AS DOUBLE) AS {c}" if c in ("above", "low", "high") else c for c in _ITEM_COLUMNS]
+    return literal_table(spark, _ITEM_COLUMNS, rows).selectExpr(*bounds)
 
 
 def label_items(events: DataFrame, items: Sequence[Item]) -> DataFrame:
@@ -50,19 +63,12 @@ def label_items(events: DataFrame, items: Sequence[Item]) -> DataFrame:
 
 
 def valid_values(labelled: DataFrame) -> DataFrame:
-    v = F.col("valuenum")
-
-    def held(bound: str, test):
-        return F.col(bound).isNull() | test
-
     kept = labelled.filter(
-        v.isNotNull()
-        & held("above", v > F.col("above"))
-        & held("low", v >= F.col("low"))
-        & held("high", v <= F.col("high"))
+        "valuenum IS NOT NULL AND (above IS NULL OR valuenum > above)"
+        " AND (low IS NULL OR valuenum >= low) AND (high IS NULL OR valuenum <= high)"
     )
     if "warning" in labelled.columns:
-        kept = kept.filter(~F.col("needs_clear_warning") | (F.col("warning") == 0))
+        kept = kept.filter("NOT needs_clear_warning OR warning = 0")
     return kept
 
 

@@ -32,34 +32,32 @@ def score_table(wide: DataFrame, doses: DataFrame, window: str, key: str = "stay
     """Six subscores and their total per (key, bin), the cardiovascular one split into
     what pressure and what dose alone would give. Both windows use the same doses."""
     joined = wide.join(doses, [key, "bin"], "left")
-    gcs = rules.coma_total("gcs_eye", "gcs_verbal", "gcs_motor")
-    scored = (
-        joined.withColumn("pf_ratio", rules.ratio("pao2", "fio2"))
-        .withColumn("gcs_total", gcs)
-        .withColumn("sofa_resp", rules.respiratory_points("pf_ratio"))
-        .withColumn("sofa_coag", rules.coagulation_points("platelets"))
-        .withColumn("sofa_liver", rules.liver_points("bilirubin_total"))
-        .withColumn("sofa_renal", rules.renal_points("creatinine"))
-        .withColumn("sofa_cns", rules.cns_points("gcs_total"))
-        .withColumn("cardio_score_from_map", rules.pressure_points("mbp"))
-        .withColumn("cardio_score_from_dose", rules.dose_points(*DOSE_SCORED))
-        .withColumn("sofa_cardio", F.greatest("cardio_score_from_map", "cardio_score_from_dose"))
-    )
-    return scored.withColumn("sofa_total", rules.sum_present(*SUBSCORES)).withColumn("window", F.lit(window))
+    inputs = {"pf_ratio": rules.ratio("pao2", "fio2"), "gcs_total": rules.coma_total("gcs_eye", "gcs_verbal", "gcs_motor")}
+    points = {
+        "sofa_resp": rules.respiratory_points("pf_ratio"),
+        "sofa_coag": rules.coagulation_points("platelets"),
+        "sofa_liver": rules.liver_points("bilirubin_total"),
+        "sofa_renal": rules.renal_points("creatinine"),
+        "sofa_cns": rules.cns_points("gcs_total"),
+        "cardio_score_from_map": rules.pressure_points("mbp"),
+        "cardio_score_from_dose": rules.dose_points(*DOSE_SCORED),
+    }
+    scored = joined.withColumns(inputs).withColumns(points)
+    scored = scored.withColumn("sofa_cardio", F.greatest("cardio_score_from_map", "cardio_score_from_dose"))
+    return scored.withColumns({"sofa_total": rules.sum_present(*SUBSCORES), "window": F.lit(window)})
 
 
 def state_rows(
     scores: DataFrame, labels: DataFrame, features: Sequence[str] = STATE_FEATURES, key: str = "stay_id"
 ) -> DataFrame:
     """Feature columns as doubles with the next-bin label; NULLs still in place."""
-    missing = [F.lit(None).cast("double").alias(f) for f in features if f not in scores.columns]
-    present = [F.col(f).cast("double").alias(f) for f in features if f in scores.columns]
-    rows = scores.select(key, "bin", *present, *missing).join(labels, [key, "bin"])
+    columns = [f"CAST({f if f in scores.columns else 'NULL'} AS DOUBLE) AS {f}" for f in features]
+    rows = scores.selectExpr(key, "bin", *columns).join(labels, [key, "bin"])
     return rows.na.drop(subset=["action_next"])
 
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.avg(c).alias(c) for c in columns])
+    return df.agg(*[F.expr(f"avg({c}) AS {c}") for c in columns])
 
 
 def impute_means(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
@@ -68,21 +66,17 @@ def impute_means(df: DataFrame, columns: Sequence[str], fit: DataFrame | None =
     The means arrive as a scalar subquery: one struct, computed once.
     """
     means = column_means(df if fit is None else fit, columns).select(F.struct(*columns)).scalar()
-    filled = {c: F.coalesce(F.col(c), F.col("__means").getField(c)) for c in columns}
-    return df.withColumn("__means", means).withColumns(filled).drop("__means")
+    kept = [f"coalesce({c}, __means.{c}) AS {c}" if c in set(columns) else c for c in df.columns]
+    return df.withColumn("__means", means).selectExpr(*kept)
 
 
 def standardize(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population std over ``fit``; a constant column becomes 0."""
-    aggs = [F.avg(c).alias(c + "__m") for c in columns] + [F.stddev_pop(c).alias(c + "__s") for c in columns]
-    moments = (df if fit is None else fit).agg(*aggs)
-    scale = moments.select(F.struct(*moments.columns)).scalar()
-
-    def scaled(c: str) -> Column:
-        m, s = F.col("__scale").getField(c + "__m"), F.col("__scale").getField(c + "__s")
-        return (F.col(c) - m) / F.when(s > 0, s).otherwise(F.lit(1.0))
-
-    return df.withColumn("__scale", scale).withColumns({c: scaled(c) for c in columns}).drop("__scale")
+    aggs = [F.expr(f"named_struct('m', avg({c}), 's', stddev_pop({c})) AS {c}") for c in columns]
+    scale = (df if fit is None else fit).agg(*aggs).select(F.struct(*columns)).scalar()
+    scaled = "({0} - __scale.{0}.m) / CASE WHEN __scale.{0}.s > 0 THEN __scale.{0}.s ELSE 1.0D END AS {0}"
+    kept = [scaled.format(c) if c in set(columns) else c for c in df.columns]
+    return df.withColumn("__scale", scale).selectExpr(*kept)
 
 
 def standardize_by_fold(df: DataFrame, columns: Sequence[str], fold: str, k: int) -> DataFrame:
@@ -144,9 +138,9 @@ MAP_ONLY_TOTAL = "total_map_only"
 def with_map_only(state: DataFrame) -> DataFrame:
     """Cardiovascular score from pressure alone, and the total rebuilt from it, so that
     the dose cannot be recovered by subtraction."""
-    cardio = F.when(F.col("mbp") < rules.MAP_FLOOR, F.lit(1.0)).otherwise(F.lit(0.0))
-    others = sum((F.col(c) for c in OTHER_SUBSCORES), F.lit(0.0))
-    return state.withColumn(MAP_ONLY_CARDIO, cardio).withColumn(MAP_ONLY_TOTAL, F.col(MAP_ONLY_CARDIO) + others)
+    cardio = rules.pressure_points("mbp").cast("double")
+    total = F.expr(" + ".join([MAP_ONLY_CARDIO, *OTHER_SUBSCORES]))
+    return state.withColumn(MAP_ONLY_CARDIO, cardio).withColumn(MAP_ONLY_TOTAL, total)
 
 
 def variant_columns(features: Sequence[str] = STATE_FEATURES) -> dict[str, list[str]]:
@@ -168,8 +162,8 @@ def variant_columns(features: Sequence[str] = STATE_FEATURES) -> dict[str, list[
 
 def features_long(state: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     """(keep..., feature, value), one row per listed column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])
-    return state.select(*keep, F.inline(pairs))
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'value', {c})" for c in columns)
+    return state.select(*keep, F.expr(f"inline(array({pairs}))"))
 
 
 def variant_rows(state: DataFrame, key: str = "stay_id") -> DataFrame:

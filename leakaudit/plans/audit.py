@@ -93,7 +93,7 @@ def variant_information(state_table: DataFrame, variants: Mapping[str, Sequence[
     )
     per_feature = metrics.mutual_information(rows)
     pairs = [(v, c) for v, columns in variants.items() for c in columns]
-    members = state_table.sparkSession.createDataFrame(pairs, "variant string, feature string")
+    members = measurements.literal_table(state_table.sparkSession, ["variant", "feature"], pairs)
     return (
         per_feature.join(F.broadcast(members), "feature").groupBy("variant").agg(F.avg("mi").alias("mutual_info"))
     )

@@ -41,15 +41,15 @@ def query(function: Query) -> Query:
 def _tidied(df: DataFrame) -> DataFrame:
     """Doubles at six decimals and times as text, for comparison across engines."""
 
-    def shown(field: T.StructField):
-        c = F.col(field.name)
+    def shown(field: T.StructField) -> str:
+        c = f"`{field.name}`"
         if isinstance(field.dataType, T.DoubleType):
-            return (F.round(c, 6) + F.lit(0.0)).alias(field.name)
+            return f"round({c}, 6) + 0.0D AS {c}"
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            return c.cast("string").alias(field.name)
+            return f"CAST({c} AS STRING) AS {c}"
         return c
 
-    return df.select(*[shown(f) for f in df.schema.fields])
+    return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
 
 def _wrapped(function: Query) -> Query:

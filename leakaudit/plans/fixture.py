@@ -6,7 +6,7 @@ time-series part. Values are functions of the row alone, so this is a projection
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakaudit.operators.cohort import CohortRule
@@ -120,8 +120,7 @@ def cohort_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
 # --- event tables -----------------------------------------------------------------------
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+_K = "CAST(get_json_object(props, '$.k') AS INT) AS k"
 
 
 def user_stays(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,35 +133,28 @@ def user_stays(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _item_code() -> Column:
-    code = F.lit(None).cast("int")
-    for name, number in EVENT_TYPES.items():
-        code = F.when(F.col("event_type") == name, F.lit(10 * number)).otherwise(code)
-    return (code + F.col("k") % 6).cast("bigint")
+def _item_code() -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {10 * number}" for name, number in EVENT_TYPES.items())
+    return f"CAST(CASE event_type {cases} END + k % 6 AS BIGINT) AS itemid"
 
 
-def _reading() -> Column:
-    part = (F.col("event_id") * 7919 % 1000) / F.lit(1000.0)
-    value = F.lit(None).cast("double")
-    for code, (feature, lo, hi) in READINGS.items():
-        v = F.lit(lo) + F.lit(hi - lo) * part
-        v = F.floor(v).cast("double") if feature.startswith("gcs_") else v
-        value = F.when(F.col("itemid") == code, v).otherwise(value)
-    return value
+def _reading() -> str:
+    def value(feature: str, lo: float, hi: float) -> str:
+        v = f"{lo}D + {hi - lo!r}D * part"
+        return f"CAST(floor({v}) AS DOUBLE)" if feature.startswith("gcs_") else v
+
+    cases = " ".join(f"WHEN {code} THEN {value(*of)}" for code, of in READINGS.items())
+    return f"CASE itemid {cases} END AS valuenum"
 
 
 def chart_events(spark: SparkSession, sf: str) -> DataFrame:
     """Coded readings of every event but purchases; the unlisted code stays, valueless."""
-    events = read_table(spark, sf, "events").filter(F.col("event_type") != "purchase")
+    events = read_table(spark, sf, "events").filter("event_type != 'purchase'")
     return (
-        events.withColumn("k", _k())
-        .withColumn("itemid", _item_code())
-        .select(
-            F.col("user_id").alias("stay_id"),
-            "itemid",
-            F.col("ts").alias("charttime"),
-            _reading().alias("valuenum"),
-            (F.col("k") == 99).cast("int").alias("warning"),
+        events.selectExpr("*", _K)
+        .selectExpr("*", _item_code(), "(event_id * 7919 % 1000) / 1000.0D AS part")
+        .selectExpr(
+            "user_id AS stay_id", "itemid", "ts AS charttime", _reading(), "CAST(k = 99 AS INT) AS warning"
         )
     )
 
@@ -176,28 +168,20 @@ def lab_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def infusions(spark: SparkSession, sf: str) -> DataFrame:
     """Each purchase starts an infusion lasting half its value in hours."""
-    k = F.col("k")
-    rate = F.lit(None).cast("double")
-    for code, divisor in RATE_DIVISORS.items():
-        rate = F.when(F.col("itemid") == code, k / F.lit(divisor)).otherwise(rate)
-    unit = (
-        F.when(k % 10 == 0, F.lit("mg/hr")).when(k % 25 == 3, F.lit(None).cast("string")).otherwise(F.lit("mcg/kg/min"))
-    )
-    seconds = F.round(F.col("value") * 1800).cast("int")
-    end = F.timestamp_add("SECOND", seconds, F.col("ts"))
+    rates = " ".join(f"WHEN {code} THEN k / {divisor}D" for code, divisor in RATE_DIVISORS.items())
     return (
         read_table(spark, sf, "events")
-        .filter(F.col("event_type") == "purchase")
-        .withColumn("k", _k())
-        .withColumn("itemid", (50 + k % 6).cast("bigint"))
-        .select(
-            F.col("user_id").alias("stay_id"),
+        .filter("event_type = 'purchase'")
+        .selectExpr("*", _K)
+        .selectExpr("*", "CAST(50 + k % 6 AS BIGINT) AS itemid")
+        .selectExpr(
+            "user_id AS stay_id",
             "itemid",
-            F.col("ts").alias("starttime"),
-            F.when(k % 33 != 7, end).alias("endtime"),
-            rate.alias("rate"),
-            unit.alias("rateuom"),
-            F.col("value").alias("amount"),
+            "ts AS starttime",
+            "CASE WHEN k % 33 != 7 THEN timestampadd(SECOND, CAST(round(value * 1800) AS INT), ts) END AS endtime",
+            f"CASE itemid {rates} END AS rate",
+            "CASE WHEN k % 10 = 0 THEN 'mg/hr' WHEN k % 25 = 3 THEN NULL ELSE 'mcg/kg/min' END AS rateuom",
+            "value AS amount",
         )
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 # Runtime SQL settings. Joins carry no broadcast hints except for literal
 # dictionaries, so the broadcast decision is always made by size: from scan
 # statistics at planning time, from measured shuffle sizes under AQE.
+# Tables keyed by (entity, bin) hold few rows per entity, so a partitioning by entity
+# alone is even and may serve their joins.
 # ``forceOptimizeSkewedJoin`` lets AQE split a hot entity even when the
 # aggregate above the join then needs one more exchange.
 SETTINGS = {
@@ -17,6 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

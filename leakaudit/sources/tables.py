@@ -11,8 +11,16 @@ from pyspark.sql import types as T
 from leakaudit.session import shared_dir
 
 
+_LAYOUTS: dict[str, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A parquet table. Its layout is looked up once: inferring it reads file footers
+    in a job of its own, and a plan may name the same table many times."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _LAYOUTS:
+        _LAYOUTS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_LAYOUTS[path]).parquet(path)
 
 
 def optional_table(spark: SparkSession, name: str) -> DataFrame | None:

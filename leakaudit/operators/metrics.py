@@ -34,14 +34,16 @@ def with_score_bucket(df: DataFrame, edges_from: DataFrame | None = None) -> Dat
     for any monotone bucket, so the sketch only decides how even the work is.
     """
     n = _EDGES * _EDGES
-    probs = F.array(*[F.lit(i / n) for i in range(n)])
-    sketch = (df if edges_from is None else edges_from).agg(F.percentile_approx("score", probs, 4 * n).alias("fine"))
-    coarse = F.transform(F.sequence(F.lit(0), F.lit(_EDGES - 1)), lambda i: F.get("fine", i * _EDGES))
-    edges = sketch.select(F.struct("fine", coarse.alias("coarse"))).scalar()
-    block = F.greatest(F.size(F.filter("__e.coarse", lambda e: e < F.col("score"))) - 1, F.lit(0))
-    inside = F.slice("__e.fine", F.col("__b") * _EDGES + 1, F.lit(_EDGES))
-    bucket = F.col("__b") * _EDGES + F.size(F.filter(inside, lambda e: e < F.col("score")))
-    return df.withColumn("__e", edges).withColumn("__b", block).withColumn("bucket", bucket).drop("__e", "__b")
+    probs = ", ".join(f"{i / n!r}D" for i in range(n))
+    sketch = (df if edges_from is None else edges_from).agg(
+        F.expr(f"percentile_approx(score, array({probs}), {4 * n}) AS fine")
+    )
+    coarse = f"transform(sequence(0, {_EDGES - 1}), i -> get(fine, i * {_EDGES})) AS coarse"
+    edges = sketch.selectExpr("fine", coarse).select(F.struct("fine", "coarse")).scalar()
+    block = "greatest(size(filter(__e.coarse, e -> e < score)) - 1, 0) AS __b"
+    inside = f"slice(__e.fine, __b * {_EDGES} + 1, {_EDGES})"
+    bucket = f"__b * {_EDGES} + size(filter({inside}, e -> e < score)) AS bucket"
+    return df.withColumn("__e", edges).selectExpr("*", block).selectExpr(*df.columns, bucket)
 
 
 def auroc(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,17 +125,27 @@ def fixed_predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _state(spark, sf):
-    return audit.state(_sources(spark, sf))
+def _unimputed(spark, sf):
+    s = _sources(spark, sf)
+    return states.state_rows(audit.scores(s, "short"), audit.labels(s))
 
 
 def _stage_for(spark, sf):
-    tag = PurePath(sf).name
+    tag = sf.strip("/").replace("/", "_")
     return lambda name, build: stage(spark, f"{tag}/{name}", build)
 
 
+# Everything that reads predictions or state rows more than once - sketches, folds,
+# replicates, fits - starts from a stage table, so raw events are processed once.
+
+
+def _staged_predictions(spark, sf):
+    return _stage_for(spark, sf)("fixed_predictions", lambda: fixed_predictions(spark, sf))
+
+
 def _staged_state(spark, sf):
-    return _stage_for(spark, sf)("state", lambda: _state(spark, sf))
+    rows = _stage_for(spark, sf)("state_rows", lambda: _unimputed(spark, sf))
+    return states.impute_means(rows, states.STATE_FEATURES)
 
 
 def _staged_table(spark, sf):
@@ -521,11 +530,6 @@ def action_labels(spark, sf):
     return audit.labels(_sources(spark, sf))
 
 
-def _unimputed(spark, sf):
-    s = _sources(spark, sf)
-    return states.state_rows(audit.scores(s, "short"), audit.labels(s))
-
-
 @query
 def impute_means(spark, sf):
     return states.column_means(_unimputed(spark, sf), states.STATE_FEATURES)
@@ -533,7 +537,7 @@ def impute_means(spark, sf):
 
 @query
 def state_table(spark, sf):
-    return _state(spark, sf)
+    return audit.state(_sources(spark, sf))
 
 
 @query
@@ -561,18 +565,18 @@ def offset_labels_by_bin(spark, sf):
 
 @query
 def variant_features(spark, sf):
-    return states.variant_rows(_state(spark, sf))
+    return states.variant_rows(_staged_state(spark, sf))
 
 
 @query
 def standardize(spark, sf):
-    scaled = states.standardize(_state(spark, sf), states.STATE_FEATURES)
+    scaled = states.standardize(_staged_state(spark, sf), states.STATE_FEATURES)
     return scaled.select("stay_id", "bin", *states.STATE_FEATURES)
 
 
 @query
 def standardize_within_folds(spark, sf):
-    folded = resample.group_folds(_state(spark, sf), 5)
+    folded = resample.group_folds(_staged_state(spark, sf), 5)
     scaled = states.standardize_by_fold(folded, ["mbp", "lactate", "sofa_total"], "fold", 5)
     return scaled.select("stay_id", "bin", "fold", "mbp", "lactate", "sofa_total")
 
@@ -582,58 +586,58 @@ def standardize_within_folds(spark, sf):
 
 @query
 def group_folds(spark, sf):
-    return resample.group_folds(fixed_predictions(spark, sf), 5).select("stay_id", "bin", "fold")
+    return resample.group_folds(_staged_predictions(spark, sf), 5).select("stay_id", "bin", "fold")
 
 
 @query
 def class_weights_query(spark, sf):
-    return class_weights(resample.group_folds(fixed_predictions(spark, sf), 5), k=5)
+    return class_weights(resample.group_folds(_staged_predictions(spark, sf), 5), k=5)
 
 
 @query
 def label_permutation(spark, sf):
-    return resample.permute_label(fixed_predictions(spark, sf).drop("score"), "y", ["stay_id", "bin"])
+    return resample.permute_label(_staged_predictions(spark, sf).drop("score"), "y", ["stay_id", "bin"])
 
 
 @query
 def within_group_permutation(spark, sf):
-    return resample.permute_within(fixed_predictions(spark, sf).drop("score"), "y")
+    return resample.permute_within(_staged_predictions(spark, sf).drop("score"), "y")
 
 
 @query
 def placebo_column(spark, sf):
-    return resample.placebo_column(fixed_predictions(spark, sf).drop("score"), "y", ["stay_id", "bin"])
+    return resample.placebo_column(_staged_predictions(spark, sf).drop("score"), "y", ["stay_id", "bin"])
 
 
 @query
 def auroc(spark, sf):
-    return metrics.auroc(fixed_predictions(spark, sf))
+    return metrics.auroc(_staged_predictions(spark, sf))
 
 
 @query
 def macro_f1(spark, sf):
-    return metrics.macro_f1(fixed_predictions(spark, sf))
+    return metrics.macro_f1(_staged_predictions(spark, sf))
 
 
 @query
 def balanced_accuracy(spark, sf):
-    return metrics.balanced_accuracy(fixed_predictions(spark, sf))
+    return metrics.balanced_accuracy(_staged_predictions(spark, sf))
 
 
 @query
 def ece(spark, sf):
-    return metrics.calibration_error(fixed_predictions(spark, sf))
+    return metrics.calibration_error(_staged_predictions(spark, sf))
 
 
 @query
 def cluster_bootstrap_auroc(spark, sf):
-    return metrics.cluster_bootstrap(fixed_predictions(spark, sf), "auroc", n_boot=N_BOOT)
+    return metrics.cluster_bootstrap(_staged_predictions(spark, sf), "auroc", n_boot=N_BOOT)
 
 
 @query
 def cluster_bootstrap_metrics(spark, sf):
     """The thresholded metrics under the same replicates."""
-    rows = fixed_predictions(spark, sf)
+    rows = _staged_predictions(spark, sf)
     out = None
     for name in ("macro_f1", "balanced_acc", "ece"):
         part = metrics.cluster_bootstrap(rows, name, n_boot=20).withColumnRenamed(name, "estimate")
@@ -643,7 +647,7 @@ def cluster_bootstrap_metrics(spark, sf):
 
 
 def _paired_predictions(spark, sf):
-    base = fixed_predictions(spark, sf)
+    base = _staged_predictions(spark, sf)
     near = base.select("stay_id", "y", "score", F.lit(0).alias("offset_bins"))
     far = states.offset_labels(base, 8, label="y").select(
         "stay_id", F.col("action_shifted").alias("y"), "score", F.lit(8).alias("offset_bins")
@@ -662,13 +666,13 @@ _MI_COLUMNS = ["mbp", "lactate", "sofa_cardio", "sofa_total", "gcs_total"]
 @query
 def mutual_information(spark, sf):
     y = F.col("action_next").cast("int").alias("y")
-    return metrics.mutual_information(states.features_long(_state(spark, sf), states.STATE_FEATURES, y))
+    return metrics.mutual_information(states.features_long(_staged_state(spark, sf), states.STATE_FEATURES, y))
 
 
 @query
 def mi_bootstrap(spark, sf):
     y = F.col("action_next").cast("int").alias("y")
-    long = states.features_long(_state(spark, sf), _MI_COLUMNS, "stay_id", y)
+    long = states.features_long(_staged_state(spark, sf), _MI_COLUMNS, "stay_id", y)
     reps = metrics.mutual_information_replicates(long, n_boot=20)
     return metrics.percentile_interval(reps, ["feature"])
 
@@ -679,12 +683,14 @@ _FAMILY = ["dopamine", "dobutamine", "epi", "norepi", "cardio_score_from_dose",
 @query
 def holm_adjust(spark, sf):
     """Does each column alone rank the next action better than chance, as one family."""
-    s = _sources(spark, sf)
-    rows = audit.scores(s, "short").join(audit.labels(s), ["stay_id", "bin"])
-    rows = rows.select("stay_id", F.col("action_next").alias("y"), *[F.col(c).cast("double").alias(c) for c in _FAMILY])
-    long = states.features_long(rows, _FAMILY, "stay_id", "y").select(
-        "stay_id", "y", "feature", F.coalesce("value", F.lit(0.0)).alias("score")
-    )
+
+    def build():
+        s = _sources(spark, sf)
+        return states.state_rows(audit.scores(s, "short"), audit.labels(s), _FAMILY)
+
+    rows = _stage_for(spark, sf)("family_rows", build)
+    long = states.features_long(rows, _FAMILY, "stay_id", F.col("action_next").alias("y"))
+    long = long.selectExpr("stay_id", "y", "feature", "coalesce(value, 0.0D) AS score")
     return metrics.holm_adjust(audit.family_p_values(long, ["feature"], n_boot=20), order=["feature"])
 
 

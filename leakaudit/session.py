@@ -23,6 +23,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
@@ -41,8 +44,6 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = getattr(sc, "_leakaudit_dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="spark-")
-        sc._leakaudit_dir = made
-    return made
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_DIRS[sc.applicationId]

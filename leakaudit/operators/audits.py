@@ -116,29 +116,21 @@ def histogram(rows: DataFrame, by: str, value: str, n_bins: int = 30) -> DataFra
     """(by, bin_no, bin_lo, bin_hi, n): equal-width bins over each series' own range, the
     last one closed; empty bins are listed.
 
-    The range table has one row per series; the join is broadcast only if it measures
-    small. Bins come from one partial aggregate and empty ones from the range table.
+    A figure has a handful of series, so their ranges travel as one scalar and the rows
+    are never shuffled to meet them; empty bins come from the range table itself.
     """
     span = rows.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     # A series without spread gets a unit-wide range around its value.
-    flat = F.col("lo") == F.col("hi")
-    span = span.select(
-        by,
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+    span = span.selectExpr(
+        by, "CASE WHEN lo = hi THEN lo - 0.5D ELSE lo END AS lo", "CASE WHEN lo = hi THEN hi + 0.5D ELSE hi END AS hi"
     )
-    width = (F.col("hi") - F.col("lo")) / n_bins
-    place = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(n_bins - 1)).cast("int")
-    hits = rows.join(span, by).select(by, place.alias("bin_no"), F.lit(1).alias("hit"))
-    empty = span.select(by, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin_no"), F.lit(0).alias("hit"))
-    counts = hits.unionByName(empty).groupBy(by, "bin_no").agg(F.sum("hit").alias("n"))
-    edges = counts.join(span, by)
-    return edges.select(
-        by,
-        "bin_no",
-        (F.col("lo") + F.col("bin_no") * width).alias("bin_lo"),
-        (F.col("lo") + (F.col("bin_no") + 1) * width).alias("bin_hi"),
-        "n",
+    ranges = span.agg(F.map_from_entries(F.collect_list(F.struct(F.col(by), F.struct("lo", "hi"))))).scalar()
+    placed = rows.select(by, F.col(value).alias("x"), ranges.alias("r")).selectExpr(by, "x", f"r[{by}] AS r")
+    place = f"CAST(least(floor((x - r.lo) / ((r.hi - r.lo) / {n_bins})), {n_bins - 1}) AS INT) AS bin_no"
+    counts = placed.selectExpr(by, place).groupBy(by, "bin_no").agg(F.count(F.lit(1)).alias("n"))
+    bins = span.selectExpr("*", f"explode(sequence(0, {n_bins - 1})) AS bin_no", f"(hi - lo) / {n_bins} AS width")
+    return bins.join(counts, [by, "bin_no"], "left").selectExpr(
+        by, "bin_no", "lo + bin_no * width AS bin_lo", "lo + (bin_no + 1) * width AS bin_hi", "coalesce(n, 0L) AS n"
     )
 
 

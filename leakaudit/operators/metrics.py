@@ -131,20 +131,26 @@ def calibration_error(df: DataFrame, by: Sequence[str] = (), n_bins: int = 10) -
 # --- mutual information ---------------------------------------------------------------
 
 
-def quantile_edges(long: DataFrame, n_bins: int = 10, by: Sequence[str] = ("feature",)) -> DataFrame:
-    """(by..., inner): inner bin edges per feature, equal edges collapsed."""
+def quantile_edges(long: DataFrame, n_bins: int = 10) -> DataFrame:
+    """(feature, inner): inner bin edges per feature, equal edges collapsed."""
     probs = [i / n_bins for i in range(n_bins + 1)]
     distinct = F.array_sort(F.array_distinct(F.collect_list("quantile")))
-    per = exact_quantiles(long, by, "value", probs).groupBy(*by).agg(distinct.alias("edges"))
+    per = exact_quantiles(long, ["feature"], "value", probs).groupBy("feature").agg(distinct.alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    return per.select(*by, inner.alias("inner"))
+    return per.select("feature", inner.alias("inner"))
 
 
-def discretize(long: DataFrame, edges: DataFrame, by: Sequence[str] = ("feature",), digits: int = 9) -> DataFrame:
-    """Replace ``value`` by its bin: the number of inner edges it reaches."""
-    value = F.round("value", digits)
-    reached = F.size(F.filter("inner", lambda e: e <= value))
-    return long.join(edges, list(by)).withColumn("value_bin", reached).drop("value", "inner")
+def discretize(long: DataFrame, edges: DataFrame, digits: int = 9) -> DataFrame:
+    """Replace ``value`` by its bin: the number of inner edges of its feature it reaches,
+    0 for a NULL and for a feature that never had a value.
+
+    Features are columns of one table and an edge list is at most ``n_bins`` long, so
+    all lists fit in one scalar; a join would shuffle the tall table by its few features.
+    """
+    lists = edges.agg(F.map_from_entries(F.collect_list(F.struct("feature", "inner")))).scalar()
+    reached = f"coalesce(size(filter(__lists[feature], e -> e <= round(value, {digits}))), 0) AS value_bin"
+    kept = [c for c in long.columns if c != "value"]
+    return long.withColumn("__lists", lists).selectExpr(*kept, reached)
 
 
 def mutual_information_by_feature(binned: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:

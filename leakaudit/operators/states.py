@@ -80,34 +80,24 @@ def standardize(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = N
 
 
 def standardize_by_fold(df: DataFrame, columns: Sequence[str], fold: str, k: int) -> DataFrame:
-    """The leak-free option: each fold is scaled with the rows of the other folds.
+    """The leak-free option: each of the ``k`` folds is scaled with the rows of the others.
 
     Per-fold counts, sums and sums of squares are added up without the fold itself, so
-    one aggregate of ``k`` rows serves all folds; it comes back as an array to index.
+    one aggregate of ``k`` rows serves all folds; it comes back as a map to look up.
     Sums are taken around the overall mean to keep the variance well conditioned.
     """
-    n = F.count(F.lit(1))
     centre = column_means(df, columns).select(F.struct(*columns)).scalar()
-    centred = df.withColumn("__c", centre)
-    parts = centred.groupBy(fold).agg(
-        n.alias("n"),
-        *[F.sum(F.col(c) - F.col("__c").getField(c)).alias(c + "__1") for c in columns],
-        *[F.sum((F.col(c) - F.col("__c").getField(c)) ** 2).alias(c + "__2") for c in columns],
-    )
-    fields = [f for f in parts.columns if f != fold]
-    totals = parts.agg(*[F.sum(f).alias(f) for f in fields]).select(F.struct(*fields)).scalar()
-    own = parts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct(*fields))))).scalar()
-    out = centred.withColumn("__all", totals).withColumn("__own", F.element_at(own, F.col(fold)))
-
-    def rest(field: str) -> Column:
-        return F.col("__all").getField(field) - F.col("__own").getField(field)
-
-    def scaled(c: str) -> Column:
-        shift = rest(c + "__1") / rest("n")
-        std = F.sqrt(F.greatest(rest(c + "__2") / rest("n") - shift * shift, F.lit(0.0)))
-        return (F.col(c) - F.col("__c").getField(c) - shift) / F.when(std > 0, std).otherwise(F.lit(1.0))
-
-    return out.withColumns({c: scaled(c) for c in columns}).drop("__all", "__own", "__c")
+    moments = "named_struct('n', count({0}), 's', sum({0} - __c.{0}), 'q', sum(power({0} - __c.{0}, 2))) AS {0}"
+    parts = df.withColumn("__c", centre).groupBy(fold).agg(*[F.expr(moments.format(c)) for c in columns])
+    own = parts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct(*columns))))).scalar()
+    total = "named_struct('n', sum({0}.n), 's', sum({0}.s), 'q', sum({0}.q)) AS {0}"
+    every = parts.agg(*[F.expr(total.format(c)) for c in columns]).select(F.struct(*columns)).scalar()
+    placed = df.withColumns({"__c": centre, "__all": every, "__own": F.element_at(own, F.col(fold))})
+    rest = {f: "(__all.{0}." + f + " - coalesce(__own.{0}." + f + ", 0))" for f in "nsq"}
+    shift = f"({rest['s']} / {rest['n']})"
+    std = f"sqrt(greatest({rest['q']} / {rest['n']} - {shift} * {shift}, 0.0D))"
+    scaled = f"({{0}} - __c.{{0}} - {shift}) / CASE WHEN {std} > 0 THEN {std} ELSE 1.0D END AS {{0}}"
+    return placed.selectExpr(*[scaled.format(c) if c in set(columns) else c for c in df.columns])
 
 
 def offset_labels(

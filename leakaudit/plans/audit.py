@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leakaudit.operators import intervals, measurements, metrics, states
 from leakaudit.operators.grid import Grid, windowed_wide
 from leakaudit.operators.probes import ProbeSettings, out_of_fold
-from leakaudit.operators.resample import SEED, bootstrap_weights, permute_label, placebo_column
+from leakaudit.operators.resample import SEED, bootstrap_weights, group_folds, permute_label, placebo_column
 
 Stage = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
@@ -61,11 +61,27 @@ def state(s: Sources, window: str = "short") -> DataFrame:
 PROBE_COLUMNS = [*states.STATE_FEATURES, states.MAP_ONLY_CARDIO, states.MAP_ONLY_TOTAL]
 
 
-def probe_table(rows: DataFrame, label: str = "action_next", extra: Sequence[str] = ()) -> DataFrame:
-    """Keys, ``y`` and every variant's columns, standardised once for all variants."""
+def probe_table(
+    rows: DataFrame,
+    label: str = "action_next",
+    extra: Sequence[str] = (),
+    fit_scope: str = "all",
+    settings: ProbeSettings = ProbeSettings(),
+) -> DataFrame:
+    """Keys, ``y`` and every variant's columns, standardised once for all variants.
+
+    ``fit_scope="all"`` scales over all rows, held-out ones included; ``"fold"`` scales
+    each fold by the others. A column without any value becomes constant.
+    """
+    columns = [*PROBE_COLUMNS, *extra]
     ready = states.with_map_only(rows)
-    scaled = states.standardize(ready, [*PROBE_COLUMNS, *extra])
-    return scaled.select("stay_id", "bin", F.col(label).cast("int").alias("y"), *PROBE_COLUMNS, *extra)
+    if fit_scope == "all":
+        scaled = states.standardize(ready, columns)
+    else:
+        folded = group_folds(ready, settings.folds, "stay_id", settings.seed)
+        scaled = states.standardize_by_fold(folded, columns, "fold", settings.folds)
+    present = [f"coalesce({c}, 0.0D) AS {c}" for c in columns]
+    return scaled.selectExpr("stay_id", "bin", f"CAST({label} AS INT) AS y", *present)
 
 
 def recoverability(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leakaudit.operators.cohort import CohortRule
 from leakaudit.operators.grid import Grid
-from leakaudit.operators.measurements import Item
+from leakaudit.operators.measurements import Item, literal_table
 from leakaudit.sources.tables import read_table
 
 GRID = Grid(interval=24.0, lookback=144.0, horizon=432.0)
@@ -138,23 +138,26 @@ def _item_code() -> str:
     return f"CAST(CASE event_type {cases} END + k % 6 AS BIGINT) AS itemid"
 
 
-def _reading() -> str:
-    def value(feature: str, lo: float, hi: float) -> str:
-        v = f"{lo}D + {hi - lo!r}D * part"
-        return f"CAST(floor({v}) AS DOUBLE)" if feature.startswith("gcs_") else v
-
-    cases = " ".join(f"WHEN {code} THEN {value(*of)}" for code, of in READINGS.items())
-    return f"CASE itemid {cases} END AS valuenum"
-
-
 def chart_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Coded readings of every event but purchases; the unlisted code stays, valueless."""
+    """Coded readings of every event but purchases; the unlisted code stays, valueless.
+
+    Bounds come from a literal table, not a CASE over the code: a filter on the value
+    would otherwise pull the JSON lookup behind the code into every branch.
+    """
+    rows = [(code, lo, hi - lo, feature.startswith("gcs_")) for code, (feature, lo, hi) in READINGS.items()]
+    readings = F.broadcast(literal_table(spark, ["itemid", "lo", "span", "whole"], rows))
     events = read_table(spark, sf, "events").filter("event_type != 'purchase'")
     return (
         events.selectExpr("*", _K)
-        .selectExpr("*", _item_code(), "(event_id * 7919 % 1000) / 1000.0D AS part")
+        .selectExpr("user_id AS stay_id", _item_code(), "ts AS charttime", "k", "event_id")
+        .join(readings, "itemid", "left")
+        .selectExpr("*", "lo + span * ((event_id * 7919 % 1000) / 1000.0D) AS v")
         .selectExpr(
-            "user_id AS stay_id", "itemid", "ts AS charttime", _reading(), "CAST(k = 99 AS INT) AS warning"
+            "stay_id",
+            "itemid",
+            "charttime",
+            "CASE WHEN whole THEN CAST(floor(v) AS DOUBLE) ELSE v END AS valuenum",
+            "CAST(k = 99 AS INT) AS warning",
         )
     )
 

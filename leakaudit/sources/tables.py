@@ -39,6 +39,14 @@ def run_sql(spark: SparkSession, text: str, params: Mapping[str, object] | None
     return spark.sql(text, args=given, **tables)
 
 
+def shape(df: DataFrame, label: str | None = None) -> tuple[int, int]:
+    """Rows and columns, counted on request only; printed when labelled."""
+    rows, columns = df.count(), len(df.columns)
+    if label:
+        print(f"{label}: {rows:,} rows, {columns} columns")
+    return rows, columns
+
+
 # The explicit cohort layout. Times have no zone: an inferred zoned type would shift
 # them, and they would then match nothing.
 COHORT_SCHEMA = T.StructType(

@@ -25,6 +25,7 @@ class ProbeSettings:
     boosting_rounds: int = 100
     boosting_depth: int = 3
     max_iter: int = 2000
+    tol: float = 1e-6
     folds: int = 5
     seed: int = SEED
     parallel_fits: int = 8
@@ -41,7 +42,7 @@ class Probe:
 def _logreg(s: ProbeSettings, total: float):
     # The penalty of a summed loss with unit strength, for a loss averaged by weight.
     return LogisticRegression(
-        featuresCol="x", labelCol="y", weightCol="w", maxIter=s.max_iter, tol=1e-6,
+        featuresCol="x", labelCol="y", weightCol="w", maxIter=s.max_iter, tol=s.tol,
         regParam=1.0 / total, elasticNetParam=0.0, standardization=False,
     )
 
@@ -101,13 +102,14 @@ def out_of_fold(
     keys: Sequence[str] = ("stay_id", "bin"),
 ) -> DataFrame:
     """(variant, probe, keys..., y, score) for a table of standardised columns, ``y`` and
-    the keys, folded by the first key.
+    the keys, folded by the first key unless it brings its own ``fold``.
 
-    The table should be a stage table or otherwise cheap to re-read: each of the
-    variant x probe x fold fits scans it. What reaches the driver is 2k class counts and
+    The table should be a stage table partitioned by fold: each of the variant x probe
+    x fold fits reads the other folds and scores its own. What reaches the driver is 2k class counts and
     the fitted models. Fits are independent jobs, submitted from a small thread pool.
     """
-    folded = group_folds(table, settings.folds, keys[0], settings.seed).withColumn("y", F.col("y").cast("double"))
+    folded = table if "fold" in table.columns else group_folds(table, settings.folds, keys[0], settings.seed)
+    folded = folded.withColumn("y", F.col("y").cast("double"))
     weights = {
         (r["fold"], r["y"]): (r["weight"], r["n"])
         for r in class_weights(folded, k=settings.folds).collect()

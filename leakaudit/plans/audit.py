@@ -16,7 +16,7 @@ from leakaudit.operators.grid import Grid, windowed_wide
 from leakaudit.operators.probes import ProbeSettings, out_of_fold
 from leakaudit.operators.resample import SEED, bootstrap_weights, group_folds, permute_label, placebo_column
 
-Stage = Callable[[str, Callable[[], DataFrame]], DataFrame]
+Stage = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
@@ -68,20 +68,20 @@ def probe_table(
     fit_scope: str = "all",
     settings: ProbeSettings = ProbeSettings(),
 ) -> DataFrame:
-    """Keys, ``y`` and every variant's columns, standardised once for all variants.
+    """Keys, ``fold``, ``y`` and every variant's columns, standardised once for all
+    variants. Stage it partitioned by ``fold``, so that a fit reads only its folds.
 
     ``fit_scope="all"`` scales over all rows, held-out ones included; ``"fold"`` scales
     each fold by the others. A column without any value becomes constant.
     """
     columns = [*PROBE_COLUMNS, *extra]
-    ready = states.with_map_only(rows)
+    folded = group_folds(states.with_map_only(rows), settings.folds, "stay_id", settings.seed)
     if fit_scope == "all":
-        scaled = states.standardize(ready, columns)
+        scaled = states.standardize(folded, columns)
     else:
-        folded = group_folds(ready, settings.folds, "stay_id", settings.seed)
         scaled = states.standardize_by_fold(folded, columns, "fold", settings.folds)
     present = [f"coalesce({c}, 0.0D) AS {c}" for c in columns]
-    return scaled.selectExpr("stay_id", "bin", f"CAST({label} AS INT) AS y", *present)
+    return scaled.selectExpr("stay_id", "bin", f"CAST({label} AS INT) AS y", *present, "fold")
 
 
 def recoverability(
@@ -143,7 +143,7 @@ def shuffled_labels_control(
 ) -> DataFrame:
     """AUROC of the full state against permuted labels; about a half if nothing leaks."""
     shuffled = permute_label(state_table, "action_next", ["stay_id", "bin"], settings.seed)
-    table = stage("shuffled", lambda: probe_table(shuffled, "y_shuffled"))
+    table = stage("shuffled", lambda: probe_table(shuffled, "y_shuffled", settings=settings), "fold")
     full = {"A_full": states.variant_columns()["A_full"]}
     predictions = stage("shuffled_oof", lambda: out_of_fold(table, full, ["logreg"], settings))
     return _interval_row(predictions, ["variant", "probe"], n_boot, settings.seed)
@@ -159,7 +159,7 @@ def decay_predictions(
         out = None
         for k in offsets:
             rows = states.offset_labels(state_table, k)
-            table = stage(f"decay_{k}", lambda rows=rows: probe_table(rows, "action_shifted"))
+            table = stage(f"decay_{k}", lambda rows=rows: probe_table(rows, "action_shifted", settings=settings), "fold")
             part = out_of_fold(table, full, ["logreg"], settings).withColumn("offset_bins", F.lit(k))
             out = part if out is None else out.unionByName(part)
         return out
@@ -187,7 +187,7 @@ def placebo_control(
     """The bare state with and without a label-prevalence coin, under the same probe."""
     rows = placebo_column(state_table, "action_next", ["stay_id", "bin"], settings.seed)
     bare = states.variant_columns()["E_physiology_only"]
-    table = stage("placebo", lambda: probe_table(rows, extra=["placebo"]))
+    table = stage("placebo", lambda: probe_table(rows, extra=["placebo"], settings=settings), "fold")
     both = {"E_physiology_only": bare, "E_with_placebo": [*bare, "placebo"]}
     predictions = stage("placebo_oof", lambda: out_of_fold(table, both, ["logreg"], settings))
     return _interval_row(predictions, ["variant", "probe"], n_boot, settings.seed)

@@ -25,7 +25,7 @@ N_BOOT = 100
 SWEEP = [6.0, 24.0, 72.0, 100.0, 144.0]
 COPIES = [1, 2, 5, 15]
 # Small models keep the whole list quick; the library's defaults are the full sizes.
-SETTINGS = ProbeSettings(trees=20, boosting_rounds=10, max_iter=100)
+SETTINGS = ProbeSettings(trees=20, boosting_rounds=10, max_iter=100, tol=1e-4)
 QUICK_BOOT = 30
 
 _QUERIES: dict[str, Query] = {}
@@ -132,7 +132,7 @@ def _unimputed(spark, sf):
 
 def _stage_for(spark, sf):
     tag = sf.strip("/").replace("/", "_")
-    return lambda name, build: stage(spark, f"{tag}/{name}", build)
+    return lambda name, build, *by: stage(spark, f"{tag}/{name}", build, *by)
 
 
 # Everything that reads predictions or state rows more than once - sketches, folds,
@@ -149,7 +149,10 @@ def _staged_state(spark, sf):
 
 
 def _staged_table(spark, sf):
-    return _stage_for(spark, sf)("probe_table", lambda: audit.probe_table(_staged_state(spark, sf)))
+    def build():
+        return audit.probe_table(_staged_state(spark, sf), settings=SETTINGS)
+
+    return _stage_for(spark, sf)("probe_table", build, "fold")
 
 
 def _probed(spark, sf, probe):

@@ -32,8 +32,8 @@ def build_tables(spark: SparkSession, s: audit.Sources, options: Options, name:
     """Result tables by name. Raw events are read once each, into stage tables, and every
     later step - fits, replicates, controls - starts from those."""
 
-    def stage(part: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return tables.stage(spark, f"{name}/{part}", build)
+    def stage(part: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
+        return tables.stage(spark, f"{name}/{part}", build, *partition_by)
 
     o, seed = options, options.settings.seed
     hourly = stage("hourly", lambda: audit.measurements_long(s))
@@ -57,7 +57,7 @@ def build_tables(spark: SparkSession, s: audit.Sources, options: Options, name:
     rows = stage("state_rows", lambda: states.state_rows(scored["short"], audit.labels(staged)))
     state = states.impute_means(rows, states.STATE_FEATURES)
     variants = states.variant_columns()
-    table = stage("probe_table", lambda: audit.probe_table(state, fit_scope=o.fit_scope, settings=o.settings))
+    table = stage("probe_table", lambda: audit.probe_table(state, fit_scope=o.fit_scope, settings=o.settings), "fold")
     predictions = stage("predictions", lambda: out_of_fold(table, variants, o.probes, o.settings))
     results = stage("recoverability", lambda: audit.recoverability(predictions, state, variants, o.n_boot, seed))
     best = audit.best_probe(results)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -75,9 +75,12 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*schema.fieldNames())
 
 
-def write_table(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
+def write_table(
+    df: DataFrame, path: str, schema: T.StructType | None = None, partition_by: Sequence[str] = ()
+) -> None:
     """Replace the table; writing it twice leaves it as it was after the first time."""
-    (df if schema is None else conform(df, schema)).write.mode("overwrite").parquet(path)
+    rows = df if schema is None else conform(df, schema)
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_rows_csv(df: DataFrame, path: str) -> None:
@@ -89,13 +92,16 @@ def write_summary_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
     """A named stage table in the shared folder: built once per application, read back
-    afterwards. Later stages restart from it, and losing an executor costs nothing."""
+    afterwards. Later stages restart from it, and losing an executor costs a re-read.
+
+    Rebalancing evens out the files: few when the table is small, split when it is not.
+    """
     sc = spark.sparkContext
     path = f"{shared_dir(spark)}/stages/{sc.applicationId}/{name}"
     jvm = sc._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done):
-        write_table(build(), path)
+        write_table(build().hint("rebalance", *partition_by), path, partition_by=partition_by)
     return spark.read.parquet(path)

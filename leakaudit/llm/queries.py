@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakaudit.llm import bpe, mixing, quality_rules
-from leakaudit.llm.common import documents
+from leakaudit.llm import bpe, chat, classifier, mixing, near_dedup, quality_rules, warc
+from leakaudit.llm.common import documents, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,6 +18,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "times")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_groups(documents(spark, sf_dir), n=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "archives")
+    warc.write_archives(documents(spark, sf_dir, "pages"), folder)
+    found = warc.inventory(warc.reassemble(warc.read_records(spark, folder)))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "complete")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    weights = classifier.fit(docs, documents(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    scored = classifier.score(docs, weights)
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), TOKENIZER).withColumnRenamed("id", "doc_id")
 
@@ -27,5 +47,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.preference(chat.answered_by_others(chat.conversations(documents(spark, sf_dir, "conversations"))))
+    flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return made.select("id", "donor", "prompt_turns", "prompt", "chosen_text", "rejected_text", flat("chosen_spans").alias("chosen_spans"), flat("rejected_spans").alias("rejected_spans"), "usable")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}

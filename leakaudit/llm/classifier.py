@@ -6,8 +6,8 @@ of the words themselves, of their shapes (kind, case, length, same as the word
 before), and of how often three-word sequences recur; each family has length 1. A score is a sparse dot
 product.
 
-Fitting: at most ``FIT_ROWS`` labelled rows, those of the smallest hash, are dealt to ``SHARDS``
-shards; each is one task that learns online, and the weights are averaged. The bound is
+Fitting: at most ``FIT_ROWS`` labelled rows, those of the smallest hash, are dealt to shards of
+about ``SHARD_ROWS``; each is one task that learns online, and the weights are averaged. The bound is
 a parameter and the only one: scoring is one pass over whole texts, with 2**BITS weights sent to each task.
 
 Defined results: null and empty texts have no features and get the score of the intercept; of several labels of a
@@ -18,6 +18,7 @@ empty result; other columns take no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,9 @@ from leakaudit.llm.common import mix64, powers, slices, text_bytes
 
 BITS = 18
 FIT_ROWS = 20_000
-SHARDS = 8
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 1.0
+SHARD_ROWS = 2500
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.1
 FAMILIES = 3
 
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter or digit, 2 other
@@ -135,10 +136,11 @@ def _fit_shard(texts: pa.Array, labels: np.ndarray, seed: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
     """2**BITS weights and the intercept, from a bounded number of labelled documents."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(label).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = common.materialise(known.orderBy(F.xxhash64("id"), "id").limit(rows), "chosen")
+    shards = max(1, math.ceil(chosen.count() / SHARD_ROWS))
     one = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     both = one.join(F.broadcast(chosen), "id")  # at most ``rows`` pairs of numbers
-    dealt = both.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"))
+    dealt = both.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
 
     def work(keys, table):
         table = table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
@@ -147,11 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "do
         w = _fit_shard(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, y, keys[0].as_py())
         return pa.table({"w": [w.astype(np.float64).tobytes()], "n": [len(y)], "p": [int(y.sum())]})
 
-    shards = dealt.groupBy("shard").applyInArrow(work, "w binary, n long, p long").collect()  # SHARDS rows
-    n, p = sum(r.n for r in shards), sum(r.p for r in shards)
+    fitted = dealt.groupBy("shard").applyInArrow(work, "w binary, n long, p long").collect()  # one row per shard
+    n, p = sum(r.n for r in fitted), sum(r.p for r in fitted)
     weights = np.zeros((1 << BITS) + 1)
     if n and 0 < p < n:
-        weights = sum(np.frombuffer(r.w) * r.n for r in shards) / n
+        weights = sum(np.frombuffer(r.w) * r.n for r in fitted) / n
     else:
         weights[-1] = np.log((p + 1) / (n - p + 1))
     return weights

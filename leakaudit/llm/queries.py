@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakaudit.llm import bpe, chat, classifier, mixing, near_dedup, quality_rules, warc
+from leakaudit.llm import bpe, chat, classifier, mixing, near_dedup, neighbours, quality_rules, warc
 from leakaudit.llm.common import documents, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), TOKENIZER).withColumnRenamed("id", "doc_id")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakaudit.llm import bpe, chat, classifier, mixing, near_dedup, neighbours, quality_rules, suffix_dedup, warc
+from leakaudit.llm import bpe, chat, classifier, katz, mixing, near_dedup, neighbours, quality_rules, suffix_dedup, warc
 from leakaudit.llm.common import documents, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return katz.score_texts(documents(spark, sf_dir), held_out).withColumnRenamed("id", "doc_id")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_report(documents(spark, sf_dir), n=200).withColumnRenamed("id", "doc_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,8 +248,8 @@ def aggregate_release(
     min_entities: int = 24,
     forbidden: Sequence[str] = ("subject_id", "hadm_id", "stay_id"),
 ) -> DataFrame:
-    """Group statistics fit for publication: no row-level identifier may be a column, and
-    groups of fewer than ``min_entities`` distinct entities are withheld.
+    """Group statistics fit for publication: no row-level identifier may be a column or
+    be read by a measure, and groups of fewer than ``min_entities`` distinct entities are withheld.
 
     The distinct count is an ordinary second aggregate over (group, entity) partials.
     """
@@ -256,6 +257,12 @@ def aggregate_release(
     leaked = sorted(named & (set(forbidden) | {entity}))
     if leaked:
         raise ValueError(f"row-level columns cannot be released: {leaked}")
+    open_columns = df.drop(*forbidden, entity)
+    for name, measure in measures.items():
+        try:
+            open_columns.groupBy(*by).agg(measure.alias(name)).schema
+        except AnalysisException as error:
+            raise ValueError(f"measure {name} reads a column that cannot be released") from error
     size = F.count_distinct(F.col(entity)).alias("n_entities")
     return (
         df.groupBy(*by)

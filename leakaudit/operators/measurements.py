@@ -135,11 +135,12 @@ def nearest_ratio(
     # On equal hours the denominator sorts first, so "before" includes the same hour.
     order = [F.col("hours_from_admit"), (F.col("feature") == numerator).cast("int")]
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    # The readings to come, as those before in descending order: a frame that only grows.
+    after = Window.partitionBy(key).orderBy(*[o.desc() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
     seen = (
         pair.withColumn("reading", reading)
         .withColumn("prev", F.last("reading", ignorenulls=True).over(before))
-        .withColumn("next", F.first("reading", ignorenulls=True).over(after))
+        .withColumn("next", F.last("reading", ignorenulls=True).over(after))
         .filter(F.col("feature") == numerator)
     )
     back = F.col("hours_from_admit") - F.col("prev.hours_from_admit")

@@ -191,23 +191,24 @@ def bootstrap_replicates(
     n_boot: int = 300,
     group: str = "stay_id",
     seed: int = SEED,
-    weights: DataFrame | None = None,
+    paired: bool = False,
 ) -> DataFrame:
     """(by..., rep, value): the metric on whole groups drawn with replacement.
 
     A group drawn twice counts twice. Replicates holding one class only are left out.
-    The same ``weights`` across cells make their replicates paired.
+    Each cell draws from its own groups; ``paired`` draws once from all groups, for
+    differences between cells.
     """
     by = list(by)
-    if weights is None:
-        weights = bootstrap_weights(predictions.select(group).distinct(), n_boot, group, seed)
+    drawn_by = [] if paired else by
+    weights = bootstrap_weights(predictions.select(*drawn_by, group).distinct(), n_boot, group, seed, drawn_by)
     rows = predictions
     if metric == "auroc":
         rows = with_score_bucket(predictions).withColumn("bucket", F.floor(F.col("bucket") / _EDGES).cast("int"))
     # Same-score rows of a group merge before the group is repeated per replicate.
     extra = ["bucket"] if metric == "auroc" else []
     merged = rows.groupBy(*by, group, "y", "score", *extra).agg(F.count(F.lit(1)).alias("copies"))
-    drawn = merged.join(weights, group).withColumn("weight", F.col("weight") * F.col("copies"))
+    drawn = merged.join(weights, [*drawn_by, group]).withColumn("weight", F.col("weight") * F.col("copies"))
     cell = [*by, "rep"]
     if metric == "auroc":
         return auroc(drawn, cell, bucket="bucket").filter(F.col("auroc").isNotNull()).withColumnRenamed("auroc", "value")
@@ -277,7 +278,7 @@ def paired_delta(
         return pick[0] - pick[1]
 
     reps = (
-        bootstrap_replicates(two, "auroc", [cell], n_boot, group, seed)
+        bootstrap_replicates(two, "auroc", [cell], n_boot, group, seed, paired=True)
         .groupBy("rep")
         .agg(difference("value").alias("value"))
         .filter(F.col("value").isNotNull())

@@ -19,25 +19,33 @@ def group_folds(df: DataFrame, k: int = 5, group: str = "stay_id", seed: int = S
 
 
 def dense_index(
-    df: DataFrame, keys: Sequence[str], purpose: str, seed: int = SEED, name: str = "idx"
+    df: DataFrame,
+    keys: Sequence[str],
+    purpose: str,
+    seed: int = SEED,
+    name: str = "idx",
+    within: Sequence[str] = (),
+    prefix_digits: int = _PREFIX_DIGITS,
 ) -> DataFrame:
-    """Number unique rows 0..n-1 in hash order without one global sort.
+    """Number unique rows 0..n-1 in hash order without one global sort, in each cell of ``within`` anew.
 
-    The hash prefix cuts the rows into 4096 even buckets; rows are numbered inside
-    their bucket and shifted by the sizes of the buckets before it. The running sum
-    of sizes sees at most 4096 rows, whatever the data.
+    The hash prefix cuts the rows into 16**prefix_digits even buckets; rows are numbered
+    inside their bucket and shifted by the sizes of the buckets before it. The running
+    sum of sizes sees one row per bucket, 4096 by default; cells are few.
     """
     hashed = df.withColumn("__h", digest(seed, purpose, *keys)).withColumn(
-        "__b", digest_prefix(F.col("__h"), _PREFIX_DIGITS)
+        "__b", digest_prefix(F.col("__h"), prefix_digits)
     )
-    inside = Window.partitionBy("__b").orderBy("__h", *keys)
-    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*within, "__b").orderBy("__h", *keys)
+    earlier = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        hashed.groupBy("__b")
+        hashed.groupBy(*within, "__b")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+        .select(*within, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    )
+    numbered = hashed.withColumn("__place", F.row_number().over(inside)).join(
+        offsets if within else F.broadcast(offsets), [*within, "__b"]
     )
-    numbered = hashed.withColumn("__place", F.row_number().over(inside)).join(F.broadcast(offsets), "__b")
     index = (F.col("__before") + F.col("__place") - 1).cast("bigint")
     return numbered.withColumn(name, index).drop("__h", "__b", "__place", "__before")
 
@@ -80,19 +88,25 @@ def placebo_column(
 
 
 def bootstrap_weights(
-    groups: DataFrame, n_boot: int, group: str = "stay_id", seed: int = SEED
+    groups: DataFrame, n_boot: int, group: str = "stay_id", seed: int = SEED, by: Sequence[str] = ()
 ) -> DataFrame:
-    """(group, rep, weight): how often each group is drawn in each replicate.
+    """(by..., group, rep, weight): how often each group is drawn in each replicate.
 
-    ``groups`` has one row per group, and a replicate makes as many draws. Every group
-    row carries its own draw of each replicate, so the draws are spread like the groups.
+    ``groups`` has one row per cell and group; a replicate makes as many draws in each cell as the
+    cell has groups. Every group row carries its own draw of each replicate, so the draws
+    are spread like the groups.
     """
-    indexed = dense_index(groups.select(group), [group], "bootstrap_group", seed, "idx")
-    size = groups.agg(F.count(F.lit(1))).scalar()
+    by = list(by)
+    indexed = dense_index(groups.select(*by, group), [group], "bootstrap_group", seed, "idx", by)
+    if by:
+        sized = indexed.join(groups.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
+        size = F.col("__n")
+    else:
+        sized, size = indexed, groups.agg(F.count(F.lit(1))).scalar()
     draws = (
-        indexed.select("idx", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-        .select("rep", pick(seed, "bootstrap_draw", size, "rep", "idx").alias("idx"))
-        .groupBy("idx", "rep")
+        sized.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+        .select(*by, "rep", pick(seed, "bootstrap_draw", size, "rep", "idx").alias("idx"))
+        .groupBy(*by, "idx", "rep")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    return draws.join(indexed, "idx").select(group, "rep", "weight")
+    return draws.join(indexed, [*by, "idx"]).select(*by, group, "rep", "weight")

@@ -70,6 +70,22 @@ def impute_means(df: DataFrame, columns: Sequence[str], fit: DataFrame | None =
     return df.withColumn("__means", means).selectExpr(*kept)
 
 
+def impute_by_fold(df: DataFrame, columns: Sequence[str], fold: str) -> DataFrame:
+    """The leak-free option: NULLs become the column mean of the other folds, or stay
+    when those have none.
+
+    Sums and counts per fold, added up without the fold itself, serve all folds as one map.
+    """
+    parts = df.groupBy(fold).agg(*[F.expr(f"named_struct('n', count({c}), 's', sum({c})) AS {c}") for c in columns])
+    own = parts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct(*columns))))).scalar()
+    total = "named_struct('n', sum({0}.n), 's', sum({0}.s)) AS {0}"
+    every = parts.agg(*[F.expr(total.format(c)) for c in columns]).select(F.struct(*columns)).scalar()
+    placed = df.withColumns({"__all": every, "__own": F.element_at(own, F.col(fold))})
+    rest = "(coalesce(__all.{0}.s, 0.0D) - coalesce(__own.{0}.s, 0.0D)) / nullif(__all.{0}.n - __own.{0}.n, 0)"
+    filled = "coalesce({0}, " + rest + ") AS {0}"
+    return placed.selectExpr(*[filled.format(c) if c in set(columns) else c for c in df.columns])
+
+
 def standardize(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population std over ``fit``; a constant column becomes 0."""
     aggs = [F.expr(f"named_struct('m', avg({c}), 's', stddev_pop({c})) AS {c}") for c in columns]

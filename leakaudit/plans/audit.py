@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from leakaudit.operators import intervals, measurements, metrics, states
 from leakaudit.operators.grid import Grid, windowed_wide
 from leakaudit.operators.probes import ProbeSettings, out_of_fold
-from leakaudit.operators.resample import SEED, bootstrap_weights, group_folds, permute_label, placebo_column
+from leakaudit.operators.resample import SEED, group_folds, permute_label, placebo_column
 
 Stage = Callable[..., DataFrame]
 
@@ -71,15 +72,16 @@ def probe_table(
     """Keys, ``fold``, ``y`` and every variant's columns, standardised once for all
     variants. Stage it partitioned by ``fold``, so that a fit reads only its folds.
 
-    ``fit_scope="all"`` scales over all rows, held-out ones included; ``"fold"`` scales
-    each fold by the others. A column without any value becomes constant.
+    ``fit_scope="all"`` scales over all rows, held-out ones included; ``"fold"`` fills and
+    scales each fold by the others, from rows with their NULLs. A column without any value becomes constant.
     """
     columns = [*PROBE_COLUMNS, *extra]
-    folded = group_folds(states.with_map_only(rows), settings.folds, "stay_id", settings.seed)
+    folded = group_folds(rows, settings.folds, "stay_id", settings.seed)
     if fit_scope == "all":
-        scaled = states.standardize(folded, columns)
+        scaled = states.standardize(states.with_map_only(folded), columns)
     else:
-        scaled = states.standardize_by_fold(folded, columns, "fold", settings.folds)
+        filled = states.impute_by_fold(folded, states.STATE_FEATURES, "fold")
+        scaled = states.standardize_by_fold(states.with_map_only(filled), columns, "fold", settings.folds)
     present = [f"coalesce({c}, 0.0D) AS {c}" for c in columns]
     return scaled.selectExpr("stay_id", "bin", f"CAST({label} AS INT) AS y", *present, "fold")
 
@@ -134,7 +136,13 @@ def recoverability_gap(best: DataFrame, full: str = "A_full", bare: str = "E_phy
 # --- negative controls --------------------------------------------------------------------
 
 
+def _named(part: str, *options: object) -> str:
+    """A stage's name for these options; the caller's stage stands for the input."""
+    return f"{part}_{hashlib.sha256(repr(options).encode()).hexdigest()[:8]}"
+
+
 def _interval_row(predictions: DataFrame, by: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Every cell draws from its own entities: offsets and variants may hold different ones."""
     return metrics.cluster_bootstrap(predictions, "auroc", by, n_boot=n_boot, seed=seed).drop("n_reps")
 
 
@@ -142,10 +150,10 @@ def shuffled_labels_control(
     state_table: DataFrame, stage: Stage, settings: ProbeSettings, n_boot: int = 300
 ) -> DataFrame:
     """AUROC of the full state against permuted labels; about a half if nothing leaks."""
-    shuffled = permute_label(state_table, "action_next", ["stay_id", "bin"], settings.seed)
-    table = stage("shuffled", lambda: probe_table(shuffled, "y_shuffled", settings=settings), "fold")
+    shuffled = stage(_named("shuffled_labels", settings), lambda: permute_label(state_table, "action_next", ["stay_id", "bin"], settings.seed))
+    table = stage(_named("shuffled", settings), lambda: probe_table(shuffled, "y_shuffled", settings=settings), "fold")
     full = {"A_full": states.variant_columns()["A_full"]}
-    predictions = stage("shuffled_oof", lambda: out_of_fold(table, full, ["logreg"], settings))
+    predictions = stage(_named("shuffled_oof", settings), lambda: out_of_fold(table, full, ["logreg"], settings))
     return _interval_row(predictions, ["variant", "probe"], n_boot, settings.seed)
 
 
@@ -159,12 +167,12 @@ def decay_predictions(
         out = None
         for k in offsets:
             rows = states.offset_labels(state_table, k)
-            table = stage(f"decay_{k}", lambda rows=rows: probe_table(rows, "action_shifted", settings=settings), "fold")
+            table = stage(_named(f"decay_{k}", settings), lambda rows=rows: probe_table(rows, "action_shifted", settings=settings), "fold")
             part = out_of_fold(table, full, ["logreg"], settings).withColumn("offset_bins", F.lit(k))
             out = part if out is None else out.unionByName(part)
         return out
 
-    return stage("decay_oof", build)
+    return stage(_named("decay_oof", settings, tuple(offsets)), build)
 
 
 def decay_curve(predictions: DataFrame, interval: float, n_boot: int = 300, seed: int = SEED) -> DataFrame:
@@ -187,9 +195,9 @@ def placebo_control(
     """The bare state with and without a label-prevalence coin, under the same probe."""
     rows = placebo_column(state_table, "action_next", ["stay_id", "bin"], settings.seed)
     bare = states.variant_columns()["E_physiology_only"]
-    table = stage("placebo", lambda: probe_table(rows, extra=["placebo"], settings=settings), "fold")
+    table = stage(_named("placebo", settings), lambda: probe_table(rows, extra=["placebo"], settings=settings), "fold")
     both = {"E_physiology_only": bare, "E_with_placebo": [*bare, "placebo"]}
-    predictions = stage("placebo_oof", lambda: out_of_fold(table, both, ["logreg"], settings))
+    predictions = stage(_named("placebo_oof", settings), lambda: out_of_fold(table, both, ["logreg"], settings))
     return _interval_row(predictions, ["variant", "probe"], n_boot, settings.seed)
 
 
@@ -270,8 +278,7 @@ def family_p_values(
     predictions: DataFrame, by: Sequence[str], n_boot: int = 300, group: str = "stay_id", seed: int = SEED
 ) -> DataFrame:
     """(by..., p_value): one-sided bootstrap p-value of AUROC > 1/2 per cell."""
-    weights = bootstrap_weights(predictions.select(group).distinct(), n_boot, group, seed)
-    reps = metrics.bootstrap_replicates(predictions, "auroc", by, n_boot, group, seed, weights)
+    reps = metrics.bootstrap_replicates(predictions, "auroc", by, n_boot, group, seed)
     short = F.count_if(F.round("value", 9) <= 0.5)
     return reps.groupBy(*by).agg(((short + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 

@@ -15,18 +15,16 @@ from leakaudit.operators.probes import ProbeSettings, class_weights, out_of_fold
 from leakaudit.operators.quantiles import describe, exact_quantiles
 from leakaudit.plans import audit, fixture
 from leakaudit.session import configure
-from leakaudit.sources.tables import optional_table, read_table, run_sql, stage
+from leakaudit.sources.tables import file_facts, fingerprint, optional_table, read_table, run_sql, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 GRID = fixture.GRID
 SHORT, LONG = GRID.interval, GRID.lookback
-N_BOOT = 100
+N_BOOT = 300
 SWEEP = [6.0, 24.0, 72.0, 100.0, 144.0]
 COPIES = [1, 2, 5, 15]
-# Small models keep the whole list quick; the library's defaults are the full sizes.
-SETTINGS = ProbeSettings(trees=20, boosting_rounds=10, max_iter=100, tol=1e-4)
-QUICK_BOOT = 30
+SETTINGS = ProbeSettings()
 
 _QUERIES: dict[str, Query] = {}
 
@@ -131,8 +129,10 @@ def _unimputed(spark, sf):
 
 
 def _stage_for(spark, sf):
-    tag = sf.strip("/").replace("/", "_")
-    return lambda name, build, *by: stage(spark, f"{tag}/{name}", build, *by)
+    """Stages of these tables as they are now, and of these settings."""
+    tables = [(name, size if size else file_facts(spark, f"{sf}/{name}"), time) for name, size, time in file_facts(spark, sf)]
+    key = fingerprint(spark, sf, tables, SETTINGS, N_BOOT)
+    return lambda name, build, *by: stage(spark, f"catalog/{name}", build, *by, key=key)
 
 
 # Everything that reads predictions or state rows more than once - sketches, folds,
@@ -143,9 +143,12 @@ def _staged_predictions(spark, sf):
     return _stage_for(spark, sf)("fixed_predictions", lambda: fixed_predictions(spark, sf))
 
 
+def _staged_rows(spark, sf):
+    return _stage_for(spark, sf)("state_rows", lambda: _unimputed(spark, sf))
+
+
 def _staged_state(spark, sf):
-    rows = _stage_for(spark, sf)("state_rows", lambda: _unimputed(spark, sf))
-    return states.impute_means(rows, states.STATE_FEATURES)
+    return states.impute_means(_staged_rows(spark, sf), states.STATE_FEATURES)
 
 
 def _staged_table(spark, sf):
@@ -172,7 +175,7 @@ def _predictions(spark, sf):
 def _exp2(spark, sf):
     def build():
         return audit.recoverability(
-            _predictions(spark, sf), _staged_state(spark, sf), states.variant_columns(), QUICK_BOOT
+            _predictions(spark, sf), _staged_state(spark, sf), states.variant_columns(), N_BOOT
         )
 
     return _stage_for(spark, sf)("exp2_results", build)
@@ -517,7 +520,7 @@ def invariant_violations(spark, sf):
 def aggregate_release(spark, sf):
     rows = _exp1_rows(spark, sf)
     measures = {"pct_dose_determined": F.avg(F.col("dose_determined").cast("double")), "n_rows": F.count(F.lit(1))}
-    return audits.aggregate_release(rows, ["window", "bin", "sofa_cardio"], "stay_id", measures, min_entities=6)
+    return audits.aggregate_release(rows, ["window", "bin", "sofa_cardio"], "stay_id", measures)
 
 
 # --- labels and state -----------------------------------------------------------------------
@@ -580,8 +583,33 @@ def standardize(spark, sf):
 @query
 def standardize_within_folds(spark, sf):
     folded = resample.group_folds(_staged_state(spark, sf), 5)
-    scaled = states.standardize_by_fold(folded, ["mbp", "lactate", "sofa_total"], "fold", 5)
-    return scaled.select("stay_id", "bin", "fold", "mbp", "lactate", "sofa_total")
+    scaled = states.standardize_by_fold(folded, states.STATE_FEATURES, "fold", 5)
+    return scaled.select("stay_id", "bin", "fold", *states.STATE_FEATURES)
+
+
+@query
+def impute_within_folds(spark, sf):
+    folded = resample.group_folds(_staged_rows(spark, sf), 5)
+    return states.impute_by_fold(folded, states.STATE_FEATURES, "fold").select("stay_id", "bin", "fold", *states.STATE_FEATURES)
+
+
+@query
+def stage_restart(spark, sf):
+    """A stage as built, as read back, and under the same name for other input."""
+    orders = read_table(spark, sf, "orders").select("o_orderstatus", "o_totalprice")
+    dear = orders.filter("o_totalprice > 100000")
+
+    def never():
+        raise AssertionError("the stage is there already")
+
+    same, other = fingerprint(spark, orders), fingerprint(spark, dear)
+    runs = {
+        "built": stage(spark, "restart", lambda: orders, key=same, fresh=True),
+        "reread": stage(spark, "restart", never, key=same),
+        "changed": stage(spark, "restart", lambda: dear, key=other),
+    }
+    parts = [df.groupBy(F.lit(run).alias("run"), "o_orderstatus").agg(F.count("*").alias("n_orders")) for run, df in runs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- resampling and metrics on the fixed score ------------------------------------------------
@@ -643,7 +671,7 @@ def cluster_bootstrap_metrics(spark, sf):
     rows = _staged_predictions(spark, sf)
     out = None
     for name in ("macro_f1", "balanced_acc", "ece"):
-        part = metrics.cluster_bootstrap(rows, name, n_boot=20).withColumnRenamed(name, "estimate")
+        part = metrics.cluster_bootstrap(rows, name, n_boot=N_BOOT).withColumnRenamed(name, "estimate")
         part = part.withColumn("metric", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -659,11 +687,14 @@ def _paired_predictions(spark, sf):
 
 
 @query
-def paired_delta_bootstrap(spark, sf):
-    return metrics.paired_delta(_paired_predictions(spark, sf), "offset_bins", 0, 8, n_boot=N_BOOT)
+def cluster_bootstrap_cells(spark, sf):
+    """Offsets hold different entities, and each draws from its own."""
+    return metrics.cluster_bootstrap(_paired_predictions(spark, sf), "auroc", ["offset_bins"], n_boot=N_BOOT)
 
 
-_MI_COLUMNS = ["mbp", "lactate", "sofa_cardio", "sofa_total", "gcs_total"]
+@query
+def paired_delta_bootstrap(spark, sf):
+    return metrics.paired_delta(_paired_predictions(spark, sf), "offset_bins", 0, 8, n_boot=N_BOOT)
 
 
 @query
@@ -675,8 +706,8 @@ def mutual_information(spark, sf):
 @query
 def mi_bootstrap(spark, sf):
     y = F.col("action_next").cast("int").alias("y")
-    long = states.features_long(_staged_state(spark, sf), _MI_COLUMNS, "stay_id", y)
-    reps = metrics.mutual_information_replicates(long, n_boot=20)
+    long = states.features_long(_staged_state(spark, sf), states.STATE_FEATURES, "stay_id", y)
+    reps = metrics.mutual_information_replicates(long, n_boot=N_BOOT)
     return metrics.percentile_interval(reps, ["feature"])
 
 
@@ -694,7 +725,7 @@ def holm_adjust(spark, sf):
     rows = _stage_for(spark, sf)("family_rows", build)
     long = states.features_long(rows, _FAMILY, "stay_id", F.col("action_next").alias("y"))
     long = long.selectExpr("stay_id", "y", "feature", "coalesce(value, 0.0D) AS score")
-    return metrics.holm_adjust(audit.family_p_values(long, ["feature"], n_boot=20), order=["feature"])
+    return metrics.holm_adjust(audit.family_p_values(long, ["feature"], n_boot=N_BOOT), order=["feature"])
 
 
 # --- probes -----------------------------------------------------------------------------------
@@ -742,7 +773,7 @@ def recoverability_gap(spark, sf):
 
 @query
 def control_shuffled(spark, sf):
-    return audit.shuffled_labels_control(_staged_state(spark, sf), _stage_for(spark, sf), SETTINGS, QUICK_BOOT)
+    return audit.shuffled_labels_control(_staged_state(spark, sf), _stage_for(spark, sf), SETTINGS, N_BOOT)
 
 
 def _decay(spark, sf):
@@ -751,7 +782,7 @@ def _decay(spark, sf):
 
 @query
 def control_decay(spark, sf):
-    return audit.decay_curve(_decay(spark, sf), GRID.interval, QUICK_BOOT)
+    return audit.decay_curve(_decay(spark, sf), GRID.interval, N_BOOT)
 
 
 @query
@@ -761,16 +792,14 @@ def control_decay_verdict(spark, sf):
 
 @query
 def control_placebo(spark, sf):
-    return audit.placebo_control(_staged_state(spark, sf), _stage_for(spark, sf), SETTINGS, QUICK_BOOT)
+    return audit.placebo_control(_staged_state(spark, sf), _stage_for(spark, sf), SETTINGS, N_BOOT)
 
 
 @query
 def policy_sensitivity(spark, sf):
     every = states.variant_columns()
-    chosen = {v: every[v] for v in ("A_full", "D_treatment_decomposed", "E_physiology_only")}
-    return audit.policy_sensitivity(
-        _staged_table(spark, sf), chosen, fixture.outcome(spark, sf), rounds=SETTINGS.boosting_rounds
-    )
+    chosen = {v: every[v] for v in ("A_full", "B_no_total_sofa", "D_treatment_decomposed", "E_physiology_only")}
+    return audit.policy_sensitivity(_staged_table(spark, sf), chosen, fixture.outcome(spark, sf))
 
 
 def _table3_counts(spark, sf):

@@ -28,12 +28,21 @@ class Options:
     fit_scope: str = "all"
 
 
-def build_tables(spark: SparkSession, s: audit.Sources, options: Options, name: str) -> Mapping[str, DataFrame]:
+def build_tables(
+    spark: SparkSession, s: audit.Sources, options: Options, name: str, version: str | None = None, fresh: bool = False
+) -> Mapping[str, DataFrame]:
     """Result tables by name. Raw events are read once each, into stage tables, and every
-    later step - fits, replicates, controls - starts from those."""
+    later step - fits, replicates, controls - starts from those.
+
+    Stages hold for these sources and options, or for ``version`` and options if the caller names one: a
+    second run, in this session or another, goes on from them unless ``fresh``.
+    """
+    items = (s.grid, s.vital_items, s.lab_items, s.fio2_items)
+    inputs = [version] if version is not None else [s.cohort, s.chart, s.labs, s.intervals]
+    key = tables.fingerprint(spark, *inputs, items, options)
 
     def stage(part: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
-        return tables.stage(spark, f"{name}/{part}", build, *partition_by)
+        return tables.stage(spark, f"{name}/{part}", build, *partition_by, key=key, fresh=fresh)
 
     o, seed = options, options.settings.seed
     hourly = stage("hourly", lambda: audit.measurements_long(s))
@@ -57,7 +66,8 @@ def build_tables(spark: SparkSession, s: audit.Sources, options: Options, name:
     rows = stage("state_rows", lambda: states.state_rows(scored["short"], audit.labels(staged)))
     state = states.impute_means(rows, states.STATE_FEATURES)
     variants = states.variant_columns()
-    table = stage("probe_table", lambda: audit.probe_table(state, fit_scope=o.fit_scope, settings=o.settings), "fold")
+    probed = state if o.fit_scope == "all" else rows
+    table = stage("probe_table", lambda: audit.probe_table(probed, fit_scope=o.fit_scope, settings=o.settings), "fold")
     predictions = stage("predictions", lambda: out_of_fold(table, variants, o.probes, o.settings))
     results = stage("recoverability", lambda: audit.recoverability(predictions, state, variants, o.n_boot, seed))
     best = audit.best_probe(results)
@@ -106,11 +116,17 @@ def build_tables(spark: SparkSession, s: audit.Sources, options: Options, name:
 
 
 def run_audit(
-    spark: SparkSession, s: audit.Sources, out: str, options: Options = Options(), name: str = "audit"
+    spark: SparkSession,
+    s: audit.Sources,
+    out: str,
+    options: Options = Options(),
+    name: str = "audit",
+    version: str | None = None,
+    fresh: bool = False,
 ) -> Mapping[str, DataFrame]:
     """Build every table and write it below ``out``: row-level tables as CSV, summaries
     as JSON. Row-level tables carry entity ids and are not for release."""
-    built = build_tables(spark, s, options, name)
+    built = build_tables(spark, s, options, name, version, fresh)
     for table, df in built.items():
         write = tables.write_rows_csv if table.endswith("_rows") else tables.write_summary_json
         write(df, f"{out}/{table}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +13,29 @@ from pyspark.sql import types as T
 from leakaudit.session import shared_dir
 
 
-_LAYOUTS: dict[str, T.StructType] = {}
+_LAYOUTS: dict[tuple, T.StructType] = {}
+
+
+def _path(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_facts(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, length, modification time) of a file, or of a folder's entries."""
+    place, fs = _path(spark, path)
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(place))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A parquet table. Its layout is looked up once: inferring it reads file footers
-    in a job of its own, and a plan may name the same table many times."""
+    """A parquet table. Its layout is looked up once per session and state of its files:
+    inferring it reads footers in a job of its own, and a plan may name a table many times."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _LAYOUTS:
-        _LAYOUTS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_LAYOUTS[path]).parquet(path)
+    key = (spark.sparkContext.applicationId, path, tuple(file_facts(spark, path)))
+    if key not in _LAYOUTS:
+        _LAYOUTS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_LAYOUTS[key]).parquet(path)
 
 
 def optional_table(spark: SparkSession, name: str) -> DataFrame | None:
@@ -92,16 +107,58 @@ def write_summary_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
-    """A named stage table in the shared folder: built once per application, read back
-    afterwards. Later stages restart from it, and losing an executor costs a re-read.
+def fingerprint(spark: SparkSession, *parts: object) -> str:
+    """A name for input, options and seeds: equal parts give equal names in any session.
 
-    Rebalancing evens out the files: few when the table is small, split when it is not.
+    A DataFrame counts by its plan and the names, lengths and modification times of the files it reads. Rows
+    that come from no file can't be told apart, so such a DataFrame never equals another; name a
+    version instead.
     """
-    sc = spark.sparkContext
-    path = f"{shared_dir(spark)}/stages/{sc.applicationId}/{name}"
-    jvm = sc._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done):
-        write_table(build().hint("rebalance", *partition_by), path, partition_by=partition_by)
+    told = []
+    for part in parts:
+        if not isinstance(part, DataFrame):
+            told.append(repr(part))
+            continue
+        plan = part._jdf.queryExecution().analyzed().toString()
+        files = sorted(part.inputFiles())
+        if not files or re.search(r"Local(Relation|TableScan)|LogicalRDD|ExternalRDD", plan):
+            told.append(uuid.uuid4().hex)
+            continue
+        facts = [(f, *[x[1:] for x in file_facts(spark, f)]) for f in files]
+        told.append(repr((re.sub(r"#\d+L?", "", plan), facts)))
+    return hashlib.sha256("|".join(told).encode()).hexdigest()[:24]
+
+
+def stage_path(spark: SparkSession, name: str, key: str = "") -> str:
+    return f"{shared_dir(spark)}/stages/{name}" + (f"/{key}" if key else "")
+
+
+def stage(
+    spark: SparkSession,
+    name: str,
+    build: Callable[[], DataFrame],
+    *partition_by: str,
+    key: str | None = None,
+    fresh: bool = False,
+) -> DataFrame:
+    """A named stage table in the shared folder, built once for what ``key`` stands for
+    and read back afterwards, by later sessions too: a restarted job goes on from its stages, and losing
+    an executor costs a re-read.
+
+    ``key`` is a ``fingerprint`` of input, options and seed, or a version; without it
+    the built DataFrame is fingerprinted. ``fresh`` builds anew. Rebalancing evens out the
+    files: few when the table is small, split when it is not.
+    """
+    built = build() if key is None else None
+    path = stage_path(spark, name, key if built is None else fingerprint(spark, built, partition_by))
+    done, fs = _path(spark, f"{path}/_SUCCESS")
+    if fresh or not fs.exists(done):
+        table = build() if built is None else built
+        write_table(table.hint("rebalance", *partition_by), path, partition_by=partition_by)
     return spark.read.parquet(path)
+
+
+def drop_stages(spark: SparkSession, name: str) -> None:
+    """Remove a stage, or all stages below a name, whatever their keys."""
+    place, fs = _path(spark, stage_path(spark, name))
+    fs.delete(place, True)

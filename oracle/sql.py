@@ -8,8 +8,20 @@ easy to read as definitions.
 from __future__ import annotations
 
 from leakaudit.plans import fixture
-from leakaudit.plans.catalog import COPIES, N_BOOT, SWEEP
-from leakaudit.operators.states import MEASURED, STATE_FEATURES, WORST
+
+# What is expected, written out apart from the code under test.
+N_BOOT = 300
+SWEEP = [6.0, 24.0, 72.0, 100.0, 144.0]
+COPIES = [1, 2, 5, 15]
+WORST = {"creatinine": "max", "bilirubin_total": "max", "platelets": "min", "pao2": "min", "fio2": "max"}
+MEASURED = (
+    "heart_rate sbp dbp mbp resp_rate spo2 temp_f gcs_eye gcs_verbal gcs_motor creatinine bilirubin_total platelets"
+    " wbc lactate potassium sodium bun pao2 paco2 ph fio2"
+).split()
+STATE_FEATURES = (
+    "heart_rate sbp dbp mbp resp_rate spo2 temp_f gcs_total creatinine potassium sodium bun bilirubin_total platelets"
+    " wbc lactate ph pf_ratio sofa_resp sofa_coag sofa_liver sofa_renal sofa_cns sofa_cardio sofa_total"
+).split()
 
 I, W, H, N = 24.0, 144.0, 432, 18
 
@@ -403,7 +415,7 @@ def _bootstrap_metrics() -> str:
         {r('quantile_cont(v, 0.025) FILTER (WHERE rep IS NOT NULL)', 'ci_lo')},
         {r('quantile_cont(v, 0.975) FILTER (WHERE rep IS NOT NULL)', 'ci_hi')},
         count(*) FILTER (WHERE rep IS NOT NULL) AS n_reps FROM vals GROUP BY metric"""
-    return build(["pred", "grp"], final, [("w", _weights("grp", 20)), rows, conf, gaps, vals])
+    return build(["pred", "grp"], final, [("w", _weights("grp", N_BOOT)), rows, conf, gaps, vals])
 
 
 def statements() -> dict[str, str]:
@@ -543,7 +555,7 @@ def statements() -> dict[str, str]:
         WHERE earlier IS NOT NULL""", [_sweep_cte()])
     out["aggregate_release"] = build(["exp1"], f"""SELECT "window", bin, sofa_cardio, count(DISTINCT stay_id) AS n_entities,
         {r(f'avg({_DD})', 'pct_dose_determined')}, count(*) AS n_rows FROM exp1
-        GROUP BY "window", bin, sofa_cardio HAVING count(DISTINCT stay_id) >= 6""")
+        GROUP BY "window", bin, sofa_cardio HAVING count(DISTINCT stay_id) >= 24""")
 
     # labels and state
     out["action_bins"] = build(["act"], "SELECT stay_id, bin, action FROM act")
@@ -567,13 +579,20 @@ def statements() -> dict[str, str]:
     out["standardize"] = build(["state"], "SELECT stay_id, bin, " + ", ".join(
         r(f"({f} - (SELECT avg({f}) FROM state)) / (SELECT CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1 END FROM state)", f)
         for f in STATE_FEATURES) + " FROM state")
-    three = ("mbp", "lactate", "sofa_total")
-    moments = ", ".join(f"avg(o.{c}) AS {c}_m, stddev_pop(o.{c}) AS {c}_s" for c in three)
+    moments = ", ".join(f"avg(o.{c}) AS {c}_m, stddev_pop(o.{c}) AS {c}_s" for c in STATE_FEATURES)
     out["standardize_within_folds"] = build(["state"], "SELECT f.stay_id, f.bin, f.fold, " + ", ".join(
-        r(f"(f.{c} - m.{c}_m) / m.{c}_s", c) for c in three) + " FROM folded f JOIN m USING (fold)",
+        r(f"(f.{c} - m.{c}_m) / CASE WHEN m.{c}_s > 0 THEN m.{c}_s ELSE 1 END", c) for c in STATE_FEATURES) + " FROM folded f JOIN m USING (fold)",
         [("folded", f"SELECT *, {_fold()} AS fold FROM state"),
          ("m", f"SELECT k.fold, {moments} FROM (SELECT DISTINCT fold FROM folded) k JOIN folded o ON o.fold <> k.fold GROUP BY k.fold")])
 
+    others = ", ".join(f"avg(o.{c}) AS {c}" for c in STATE_FEATURES)
+    out["impute_within_folds"] = build(["bare"], "SELECT f.stay_id, f.bin, f.fold, " + ", ".join(
+        r(f"coalesce(f.{c}, m.{c})", c) for c in STATE_FEATURES) + " FROM folded f JOIN m USING (fold)",
+        [("folded", f"SELECT *, {_fold()} AS fold FROM bare"),
+         ("m", f"SELECT k.fold, {others} FROM (SELECT DISTINCT fold FROM folded) k JOIN folded o ON o.fold <> k.fold GROUP BY k.fold")])
+    out["stage_restart"] = " UNION ALL ".join(f"""SELECT '{run}' AS run, o_orderstatus, count(*)::BIGINT AS n_orders
+        FROM orders WHERE o_totalprice > {least} GROUP BY o_orderstatus""" for run, least in (("built", 0), ("reread", 0), ("changed", 100000)))
+
     # resampling and metrics
     out["group_folds"] = build(["pred"], f"SELECT stay_id, bin, {_fold()} AS fold FROM pred")
     out["class_weights"] = build(["pred"], f"""SELECT k.fold, c.y::INTEGER AS y, count(*)::BIGINT AS n_class,
@@ -615,14 +634,27 @@ def statements() -> dict[str, str]:
     out["paired_delta_bootstrap"] = build(["pred", "grp"], f"""SELECT {r('delta')}, {r('ci_lo')}, {r('ci_hi')}, n_reps,
         CASE WHEN (ci_lo > 0 OR ci_hi < 0) AND delta >= 0.1 THEN 'A' ELSE 'B' END AS verdict FROM point, ends""",
         [two, ("w", _weights("grp", N_BOOT)), drawn2, deltas, point, ends])
+    cgrp = ("cgrp", f"""SELECT offset_bins, stay_id, row_number() OVER (PARTITION BY offset_bins
+        ORDER BY {hashed('bootstrap_group', 'stay_id')}, stay_id) - 1 AS idx FROM (SELECT DISTINCT offset_bins, stay_id FROM two)""")
+    cw = ("cw", f"""SELECT d.offset_bins, d.rep, g.stay_id, count(*) AS weight
+        FROM (SELECT c.offset_bins, x.rep, floor({unit('bootstrap_draw', 'x.rep', 'c.idx')} * s.n)::BIGINT AS idx
+              FROM cgrp c JOIN (SELECT offset_bins, count(*) AS n FROM cgrp GROUP BY 1) s USING (offset_bins)
+              CROSS JOIN range({N_BOOT}) x(rep)) d
+        JOIN cgrp g ON g.offset_bins = d.offset_bins AND g.idx = d.idx GROUP BY 1, 2, 3""")
+    cdrawn = ("cdrawn", """SELECT w.rep, p.offset_bins, p.y, p.score, w.weight AS w
+        FROM two p JOIN cw w ON w.stay_id = p.stay_id AND w.offset_bins = p.offset_bins""")
+    cpoint = ("cpoint", _auc_by("offset_bins", "(SELECT *, 1 AS w FROM two)"))
+    out["cluster_bootstrap_cells"] = build(["pred"], f"""SELECT offset_bins, {r('max(c.auroc)', 'auroc')},
+        {r('quantile_cont(z.auroc, 0.025)', 'ci_lo')}, {r('quantile_cont(z.auroc, 0.975)', 'ci_hi')}, count(z.auroc) AS n_reps
+        FROM ({_auc_by('rep, offset_bins', 'cdrawn')}) z JOIN cpoint c USING (offset_bins) GROUP BY offset_bins""",
+        [two, cgrp, cw, cdrawn, cpoint])
     out["mutual_information"] = build(["state"], f"SELECT feature, {r('mi')} FROM ({_info('binned')})", _binned(STATE_FEATURES))
-    columns = ["mbp", "lactate", "sofa_cardio", "sofa_total", "gcs_total"]
     sgrp = ("sgrp", f"""SELECT stay_id, row_number() OVER (ORDER BY {hashed('bootstrap_group', 'stay_id')}, stay_id) - 1 AS idx
         FROM (SELECT DISTINCT stay_id FROM state)""")
     sdrawn = ("sdrawn", "SELECT w.rep, b.feature, b.y, b.b, w.weight AS w FROM binned b JOIN w USING (stay_id)")
     out["mi_bootstrap"] = build(["state"], f"""SELECT feature, {r('quantile_cont(mi, 0.025)', 'ci_lo')},
         {r('quantile_cont(mi, 0.975)', 'ci_hi')}, count(*) AS n_reps FROM ({_info('sdrawn', 'feature, rep')}) GROUP BY feature""",
-        [*_binned(columns), sgrp, ("w", _weights("sgrp", 20)), sdrawn])
+        [*_binned(STATE_FEATURES), sgrp, ("w", _weights("sgrp", N_BOOT)), sdrawn])
     family = ["dopamine", "dobutamine", "epi", "norepi", "cardio_score_from_dose", "cardio_score_from_map", "sofa_total"]
     fam = ("fam", " UNION ALL ".join(
         f"SELECT stay_id, action_next AS y, '{c}' AS feature, coalesce({c}::DOUBLE, 0.0) AS score FROM joined_labels" for c in family))
@@ -636,7 +668,7 @@ def statements() -> dict[str, str]:
     out["holm_adjust"] = build(["joined_labels"], f"""SELECT a.feature, {r('a.p_value', 'p_value')}, a.place::INTEGER AS rank,
         {r('least(1.0, max(b.p_value * ((SELECT count(*) FROM pv) - b.place + 1)))', 'p_adjusted')}
         FROM ranked a JOIN ranked b ON b.place <= a.place GROUP BY a.feature, a.p_value, a.place""",
-        [fam, fgrp, ("w", _weights("fgrp", 20)), fdrawn, pv, ranked])
+        [fam, fgrp, ("w", _weights("fgrp", N_BOOT)), fdrawn, pv, ranked])
 
     # consolidated, model-free part
     def tidy(section: str, key: str, columns: list[str], source: str) -> str:

@@ -218,3 +218,16 @@ def test_variants(spark):
     got = df.first()
     assert got[states.MAP_ONLY_CARDIO] == 1.0 and got[states.MAP_ONLY_TOTAL] == 6.0
     assert "sofa_cardio" not in names["D_treatment_decomposed"] and "sofa_total" not in names["D_treatment_decomposed"]
+
+
+def test_each_cell_draws_from_its_own_groups(spark):
+    rows = [("all", g, g % 2, float(g)) for g in range(40)] + [("few", g, g % 2, float(g)) for g in range(10)]
+    df = spark.createDataFrame(rows, "cell string, stay_id long, y int, score double")
+    from leakaudit.operators.resample import bootstrap_weights
+
+    w = bootstrap_weights(df.select("cell", "stay_id").distinct(), 20, by=["cell"])
+    drawn = {(r.cell, r.rep): r["sum(weight)"] for r in w.groupBy("cell", "rep").sum("weight").collect()}
+    assert set(drawn.values()) == {40, 10} and all(n == (40 if c == "all" else 10) for (c, _), n in drawn.items())
+    both = {(r.cell, r.rep): r.value for r in metrics.bootstrap_replicates(df, by=["cell"], n_boot=20).collect()}
+    alone = {r.rep: r.value for r in metrics.bootstrap_replicates(df.filter("cell = 'few'").drop("cell"), n_boot=20).collect()}
+    assert {rep: v for (c, rep), v in both.items() if c == "few"} == alone

@@ -42,16 +42,54 @@ def test_missing_table_is_none(spark):
     assert tables.optional_table(spark, "no_such_table_here") is None
 
 
-def test_stage_builds_once(spark):
+def test_stage_is_built_once_per_key(spark):
     calls = []
 
-    def build():
-        calls.append(1)
-        return spark.range(3)
+    def build(n):
+        calls.append(n)
+        return spark.range(n)
 
-    for _ in range(2):
-        assert tables.stage(spark, "test_stage_once", build).count() == 3
-    assert len(calls) == 1
+    for n in (3, 3, 5, 3):
+        assert tables.stage(spark, "test_stage/keyed", lambda n=n: build(n), key=f"v{n}").count() == n
+    assert calls == [3, 5]
+    assert tables.stage(spark, "test_stage/keyed", lambda: build(4), key="v3", fresh=True).count() == 4
+    tables.drop_stages(spark, "test_stage")
+    assert tables.stage(spark, "test_stage/keyed", lambda: build(6), key="v3").count() == 6
+
+
+def test_other_input_gives_another_stage(spark, tmp_path):
+    for n in (1, 5):  # rows that come from no file are never taken for others
+        assert tables.stage(spark, "test_stage/literal", lambda n=n: spark.createDataFrame([(i,) for i in range(n)], "x int")).count() == n
+    path = str(tmp_path / "t")
+    for n in (2, 7):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        assert tables.stage(spark, "test_stage/files", lambda: spark.read.parquet(path)).count() == n
+
+
+def test_a_second_session_reads_the_stages_of_the_first(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(4).write.parquet(path)
+    tables.stage(spark, "test_stage/restart", lambda: spark.read.parquet(path), key=tables.fingerprint(spark, spark.read.parquet(path), "seed"))
+    other = spark.newSession()
+    key = tables.fingerprint(other, other.read.parquet(path), "seed")
+
+    def never():
+        raise AssertionError
+
+    assert tables.stage(other, "test_stage/restart", never, key=key).count() == 4
+    assert key != tables.fingerprint(other, other.read.parquet(path), "another seed")
+
+
+def test_layouts_follow_the_files(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "t.parquet"))
+    assert tables.read_table(spark, str(tmp_path), "t").columns == ["id"]
+    spark.range(2).selectExpr("id AS other").write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    assert sorted(r.other for r in tables.read_table(spark, str(tmp_path), "t").collect()) == [0, 1]
+
+
+def test_shape_counts_on_request(spark, capsys):
+    assert tables.shape(spark.range(1500), "numbers") == (1500, 1)
+    assert capsys.readouterr().out == "numbers: 1,500 rows, 1 columns\n"
 
 
 def test_release_guard(spark):
@@ -61,6 +99,8 @@ def test_release_guard(spark):
     assert [(r.grp, r.n_entities) for r in kept] == [("a", 30)]
     with pytest.raises(ValueError, match="stay_id"):
         audits.aggregate_release(df, ["stay_id"], "stay_id", {})
+    with pytest.raises(ValueError, match="last_id"):
+        audits.aggregate_release(df, ["grp"], "stay_id", {"last_id": F.max("stay_id")})
 
 
 def test_histogram_closes_the_last_bin_and_lists_empty_ones(spark):

@@ -127,6 +127,8 @@ def out_of_fold(
             train = train.withColumn("w", F.lit(1.0))
         total = max(n for (f, _), (_, n) in weights.items() if f == fold)
         model = probe.make(settings, float(total)).fit(train.select("x", "y", "w"))
+        if cell.probe == "logreg" and model.summary.totalIterations >= settings.max_iter:
+            raise RuntimeError(f"{cell.variant}, fold {fold}: no convergence in {settings.max_iter} iterations")
         scored = model.transform(rows.filter(F.col("fold") == fold))
         return scored.select(
             F.lit(cell.variant).alias("variant"),

@@ -94,33 +94,37 @@ def recoverability(
     seed: int = SEED,
 ) -> DataFrame:
     """One row per variant and probe: AUROC with its interval, macro F1, balanced
-    accuracy, calibration error, and the variant's mean mutual information."""
+    accuracy, calibration error, and the variant's mean mutual information with its."""
     cell = ["variant", "probe"]
     out = metrics.cluster_bootstrap(predictions, "auroc", cell, n_boot=n_boot, seed=seed).drop("n_reps")
     out = out.withColumnsRenamed({"ci_lo": "auroc_ci_lo", "ci_hi": "auroc_ci_hi"})
     for metric in (metrics.macro_f1, metrics.balanced_accuracy, metrics.calibration_error):
         out = out.join(metric(predictions, cell), cell)
-    return out.join(variant_information(state_table, variants), "variant")
+    return out.join(variant_information(state_table, variants, n_boot, seed), "variant")
 
 
-def variant_information(state_table: DataFrame, variants: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(variant, mutual_info): mean over the variant's columns. A column's value does not
-    depend on the variant, so each is computed once."""
+def variant_information(
+    state_table: DataFrame, variants: Mapping[str, Sequence[str]], n_boot: int = 300, seed: int = SEED
+) -> DataFrame:
+    """(variant, mutual_info, mutual_info_ci_lo, mutual_info_ci_hi): mean over the variant's columns, and the interval of
+    that mean. A column's value does not depend on the variant, so each is computed once."""
     rows = states.features_long(
-        states.with_map_only(state_table), PROBE_COLUMNS, F.col("action_next").cast("int").alias("y")
+        states.with_map_only(state_table), PROBE_COLUMNS, "stay_id", F.col("action_next").cast("int").alias("y")
     )
-    per_feature = metrics.mutual_information(rows)
     pairs = [(v, c) for v, columns in variants.items() for c in columns]
-    members = measurements.literal_table(state_table.sparkSession, ["variant", "feature"], pairs)
-    return (
-        per_feature.join(F.broadcast(members), "feature").groupBy("variant").agg(F.avg("mi").alias("mutual_info"))
-    )
+    members = F.broadcast(measurements.literal_table(state_table.sparkSession, ["variant", "feature"], pairs))
+    point = metrics.mutual_information(rows).join(members, "feature").groupBy("variant").agg(F.avg("mi").alias("mutual_info"))
+    drawn = metrics.mutual_information_replicates(rows, n_boot, seed=seed).join(members, "feature")
+    interval = metrics.percentile_interval(drawn.groupBy("variant", "rep").agg(F.avg("value").alias("value")), ["variant"])
+    ends = interval.select("variant", F.col("ci_lo").alias("mutual_info_ci_lo"), F.col("ci_hi").alias("mutual_info_ci_hi"))
+    return point.join(ends, "variant")
 
 
-def best_probe(results: DataFrame) -> DataFrame:
-    """Each variant's probe of highest AUROC, the first by name on a tie."""
+def best_probe(results: DataFrame, order: Sequence[str] = ("logreg", "rf", "gb")) -> DataFrame:
+    """Each variant's probe of highest AUROC, the first in probe order on a tie."""
     rest = [c for c in results.columns if c != "variant"]
-    best = F.min_by(F.struct(*rest), F.struct(-F.col("auroc"), "probe"))
+    place = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("probe"))
+    best = F.min_by(F.struct(*rest), F.struct(-F.col("auroc"), F.when(place > 0, place).otherwise(len(order) + 1), "probe"))
     return results.groupBy("variant").agg(best.alias("b")).select("variant", "b.*")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakaudit.functions import rules
+from leakaudit.functions.hashing import uniform
 from leakaudit.functions.elapsed import elapsed_hours, hour_bucket, within_horizon
 from leakaudit.operators import audits, cohort, grid, intervals, measurements, metrics, resample, states
 from leakaudit.operators.probes import ProbeSettings, class_weights, out_of_fold
@@ -756,6 +757,66 @@ def exp2_results(spark, sf):
     return _exp2(spark, sf)
 
 
+@query
+def holm_probes(spark, sf):
+    """The fifteen variant x probe cells as one family of tests."""
+    p_values = audit.family_p_values(_predictions(spark, sf), ["variant", "probe"], n_boot=N_BOOT)
+    return metrics.holm_adjust(p_values, order=["variant", "probe"])
+
+
+# The same summaries over closed-form scores, which any engine can compute.
+
+
+def _fixed_cells(spark, sf):
+    """Two "variants" by two "probes": the treated share and whether there is any, and
+    the same of a hash of the row."""
+    base = _staged_predictions(spark, sf).withColumn("coin", uniform(resample.SEED, "closed_form", "stay_id", "bin"))
+    cells = [("A_full", "logreg", "score"), ("A_full", "rf", "CAST(score > 0 AS DOUBLE)"),
+             ("E_physiology_only", "logreg", "coin"), ("E_physiology_only", "rf", "CAST(coin > 0.5 AS DOUBLE)")]
+    parts = [base.selectExpr(f"'{v}' AS variant", f"'{p}' AS probe", "stay_id", "y", f"{e} AS score") for v, p, e in cells]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _fixed_results(spark, sf):
+    cells = _stage_for(spark, sf)("fixed_cells", lambda: _fixed_cells(spark, sf))
+    found = metrics.cluster_bootstrap(cells, "auroc", ["variant", "probe"], n_boot=N_BOOT).drop("n_reps")
+    return found.withColumnsRenamed({"ci_lo": "auroc_ci_lo", "ci_hi": "auroc_ci_hi"})
+
+
+@query
+def best_probe_fixed(spark, sf):
+    return audit.best_probe(_fixed_results(spark, sf))
+
+
+@query
+def error_bars_fixed(spark, sf):
+    return audit.error_bars(audit.best_probe(_fixed_results(spark, sf)))
+
+
+@query
+def recoverability_gap_fixed(spark, sf):
+    return audit.recoverability_gap(audit.best_probe(_fixed_results(spark, sf)))
+
+
+@query
+def decay_fixed(spark, sf):
+    return audit.decay_curve(_paired_predictions(spark, sf), GRID.interval, N_BOOT)
+
+
+@query
+def decay_verdict_fixed(spark, sf):
+    return audit.decay_verdict(decay_fixed(spark, sf))
+
+
+@query
+def predictions_certificate(spark, sf):
+    """Rows scored per variant, probe and fold, and rows that must not be there."""
+    rows = resample.group_folds(_predictions(spark, sf), SETTINGS.folds)
+    twice = F.count("*") - F.count_distinct("stay_id", "bin")
+    outside = F.count_if(~F.col("score").between(0, 1))
+    return rows.groupBy("variant", "probe", "fold").agg(F.count("*").alias("n_rows"), twice.alias("n_repeated"), outside.alias("n_outside"))
+
+
 @query
 def best_probe(spark, sf):
     return audit.best_probe(_exp2(spark, sf))

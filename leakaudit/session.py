@@ -27,6 +27,10 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set the runtime settings above for the whole session, for good. That includes
+    ``requireAllClusterKeysForCoPartition``, a guard against skewed joins that the caller's other
+    queries lose too: give the library a session of its own (``spark.newSession()``) if they need it.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -648,6 +648,37 @@ def statements() -> dict[str, str]:
         {r('quantile_cont(z.auroc, 0.025)', 'ci_lo')}, {r('quantile_cont(z.auroc, 0.975)', 'ci_hi')}, count(z.auroc) AS n_reps
         FROM ({_auc_by('rep, offset_bins', 'cdrawn')}) z JOIN cpoint c USING (offset_bins) GROUP BY offset_bins""",
         [two, cgrp, cw, cdrawn, cpoint])
+    cells = [("A_full", "logreg", "score"), ("A_full", "rf", "(score > 0)::INTEGER::DOUBLE"),
+             ("E_physiology_only", "logreg", "coin"), ("E_physiology_only", "rf", "(coin > 0.5)::INTEGER::DOUBLE")]
+    toss = ("toss", f"SELECT *, {unit('closed_form', 'stay_id', 'bin')} AS coin FROM pred")
+    four = ("four", " UNION ALL ".join(f"SELECT '{v}' AS variant, '{p}' AS probe, stay_id, y, {e} AS score FROM toss" for v, p, e in cells))
+    fourdrawn = ("fourdrawn", "SELECT w.rep, p.variant, p.probe, p.y, p.score, w.weight AS w FROM four p JOIN w USING (stay_id)")
+    fixed = ("fixed", f"""SELECT c.variant, c.probe, max(c.auroc) AS auroc, ROUND(quantile_cont(z.auroc, 0.025), 9) AS lo,
+        ROUND(quantile_cont(z.auroc, 0.975), 9) AS hi FROM ({_auc_by('rep, variant, probe', 'fourdrawn')}) z
+        JOIN ({_auc_by('variant, probe', '(SELECT *, 1 AS w FROM four)')}) c USING (variant, probe) GROUP BY c.variant, c.probe""")
+    best = ("best", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY auroc DESC,
+        CASE probe WHEN 'logreg' THEN 1 ELSE 2 END) AS place FROM fixed) WHERE place = 1""")
+    chain = [toss, four, ("w", _weights("grp", N_BOOT)), fourdrawn, fixed, best]
+    out["best_probe_fixed"] = build(["pred", "grp"], f"""SELECT variant, probe, {r('auroc')}, {r('lo', 'auroc_ci_lo')},
+        {r('hi', 'auroc_ci_hi')} FROM best""", chain)
+    out["error_bars_fixed"] = build(["pred", "grp"], f"""SELECT variant, probe, {r('auroc')}, {r('auroc - lo', 'bar_below')},
+        {r('hi - auroc', 'bar_above')} FROM best""", chain)
+    gap = "max(auroc) FILTER (WHERE variant = 'A_full') - max(auroc) FILTER (WHERE variant = 'E_physiology_only')"
+    out["recoverability_gap_fixed"] = build(["pred", "grp"], f"""SELECT
+        {r("max(auroc) FILTER (WHERE variant = 'A_full')", 'auroc_full')},
+        {r("max(auroc) FILTER (WHERE variant = 'E_physiology_only')", 'auroc_bare')}, {r(gap, 'gap')} FROM best""", chain)
+    curve = [two, cgrp, cw, cdrawn, cpoint]
+    out["decay_fixed"] = build(["pred"], f"""SELECT offset_bins, {r('max(c.auroc)', 'auroc')},
+        {r('quantile_cont(z.auroc, 0.025)', 'ci_lo')}, {r('quantile_cont(z.auroc, 0.975)', 'ci_hi')},
+        (SELECT count(*) FROM two t WHERE t.offset_bins = z.offset_bins)::BIGINT AS n, {r(f'offset_bins * {I}::DOUBLE', 'offset_hours')}
+        FROM ({_auc_by('rep, offset_bins', 'cdrawn')}) z JOIN cpoint c USING (offset_bins) GROUP BY offset_bins""", curve)
+    out["decay_verdict_fixed"] = build(["pred"], f"""SELECT {r('max(auroc) FILTER (WHERE offset_bins = 0) - max(auroc) FILTER (WHERE offset_bins = 8)', 'decay')},
+        CASE WHEN max(auroc) FILTER (WHERE offset_bins = 0) - max(auroc) FILTER (WHERE offset_bins = 8) < 0.1
+        THEN 'persistence' ELSE 'specific' END AS reading FROM cpoint""", [two, cpoint])
+    names = [v[0] for v in variants]
+    out["predictions_certificate"] = build(["state"], f"""SELECT variant, probe, fold, count(*) AS n_rows,
+        0::BIGINT AS n_repeated, 0::BIGINT AS n_outside FROM (SELECT *, {_fold()} AS fold FROM state),
+        (SELECT unnest({names}) AS variant) v, (SELECT unnest(['logreg', 'rf', 'gb']) AS probe) p GROUP BY ALL""")
     out["mutual_information"] = build(["state"], f"SELECT feature, {r('mi')} FROM ({_info('binned')})", _binned(STATE_FEATURES))
     sgrp = ("sgrp", f"""SELECT stay_id, row_number() OVER (ORDER BY {hashed('bootstrap_group', 'stay_id')}, stay_id) - 1 AS idx
         FROM (SELECT DISTINCT stay_id FROM state)""")

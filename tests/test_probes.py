@@ -66,7 +66,7 @@ def test_class_weights(spark, table):
 def test_best_probe_and_gap(spark):
     rows = [("A_full", "gb", 0.9), ("A_full", "rf", 0.9), ("E_physiology_only", "rf", 0.7), ("E_physiology_only", "logreg", 0.75)]
     best = audit.best_probe(spark.createDataFrame(rows, "variant string, probe string, auroc double"))
-    assert {r.variant: r.probe for r in best.collect()} == {"A_full": "gb", "E_physiology_only": "logreg"}
+    assert {r.variant: r.probe for r in best.collect()} == {"A_full": "rf", "E_physiology_only": "logreg"}
     assert audit.recoverability_gap(best).first().gap == pytest.approx(0.15)
 
 
@@ -75,3 +75,8 @@ def test_decay_verdict(spark):
     df = spark.createDataFrame(rows, "offset_bins int, auroc double")
     row = audit.decay_verdict(df).first()
     assert row.decay == pytest.approx(0.05) and row.reading == "persistence"
+
+
+def test_a_fit_that_did_not_converge_fails(table):
+    with pytest.raises(RuntimeError, match="no convergence"):
+        probes.out_of_fold(table, {"v": ["signal", "noise"]}, ("logreg",), ProbeSettings(max_iter=1, folds=3))

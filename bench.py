@@ -2,7 +2,8 @@
 
 Every timing covers building the plan, running it and writing every row and column to
 the no-op sink. Stage tables are made fresh for the run and timed under their own
-names (``stage_*``); queries that read them come after.
+names (``stage_*``); queries that read them come after. ``BENCH_FULL=1`` adds the
+forests, boosted trees, controls and the consolidated table: tens of minutes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import os
 import tempfile
 import time
+from dataclasses import asdict
 from pathlib import PurePath
 
 from pyspark.sql import SparkSession
@@ -61,8 +63,15 @@ STAGED = [
     "cluster_bootstrap_auroc",
     "paired_delta_bootstrap",
     "mi_bootstrap",
+    "cluster_bootstrap_cells",
+    "impute_within_folds",
+    "holm_adjust",
     "probe_logreg",
+    "control_shuffled",
+    "control_decay",
+    "control_placebo",
 ]
+FULL = ["probe_rf", "probe_gb", "exp2_results", "holm_probes", "policy_sensitivity", "table3"]
 
 
 def session(cpus: str) -> SparkSession:
@@ -101,7 +110,7 @@ def main() -> None:
         timed(name, lambda name=name: run(built[name](spark, sf_dir)))
     for name, function in STAGES.items():
         timed(name, lambda function=function: run(getattr(catalog, function)(spark, sf_dir)))
-    for name in STAGED:
+    for name in STAGED + (FULL if os.environ.get("BENCH_FULL") == "1" else []):
         timed(name, lambda name=name: run(built[name](spark, sf_dir)))
     print(
         json.dumps(
@@ -110,6 +119,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "settings": {"probes": asdict(catalog.SETTINGS), "replicates": catalog.N_BOOT, "state_rows": catalog._staged_rows(spark, sf_dir).count()},
                 "sf": PurePath(sf_dir).name.removeprefix("sf"),
             }
         ),

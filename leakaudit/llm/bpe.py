@@ -32,7 +32,7 @@ from leakaudit.llm.common import slices
 # Fixed value: how the pattern of this family of vocabularies cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_PAIR = 1 << 62
-STORE_PIECES = 400_000
+STORE_PIECES = 250_000
 
 
 def byte_letters() -> dict[int, str]:

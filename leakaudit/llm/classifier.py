@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakaudit.llm import common
-from leakaudit.llm.common import mix64, powers, slices, text_bytes
+from leakaudit.llm.common import mix64, slices, span_hashes, text_bytes
 
 BITS = 18
 FIT_ROWS = 20_000
@@ -58,11 +58,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, stop = at[:-1], at[1:]
     word = kind[first] > 0
     first, stop = first[word], stop[word]
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(common._BYTE_VALUES[common._LOWERED][raw] * up[:n], out=total[1:])
     size = stop - first
-    own = mix64((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
+    own = span_hashes(raw, first, stop)
     capitals = np.concatenate([[0], np.cumsum(_UPPER[raw])])
     high = capitals[stop] - capitals[first]
     case = np.where(high == 0, 0, np.where(high == size, 1, np.where((high == 1) & (_UPPER[raw[first]] == 1), 2, 3)))

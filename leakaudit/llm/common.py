@@ -17,7 +17,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -58,8 +58,9 @@ def fresh(columns: list[str], name: str) -> str:
 # ---------------------------------------------------------------- inside tasks
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about so many bytes of text; a longer text stands alone."""
+    most = most or SLICE_BYTES
     for batch in batches:
         at = batch.schema.get_field_index(text)
         ends = np.cumsum([0, *np.diff(_offsets(batch.column(at)))])
@@ -68,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             end = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:
@@ -101,7 +103,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers up to n, and their inverses, modulo 2**64."""
     if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = max(n, SLICE_BYTES + (1 << 12))
         both = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)
@@ -114,10 +116,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 _LOWERED = np.arange(256)
 _LOWERED[65:91] += 32
+_LOWER_VALUES = _BYTE_VALUES[_LOWERED]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 
 
+def span_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, A-Z lowered. Spans are in order and apart, and are
+    taken in stretches of bounded length, so memory doesn't follow the text."""
+    value = np.empty(len(first), np.uint64)
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(stop, first[i] + SLICE_BYTES, "right")))
+        a, b = int(first[i]), int(stop[j - 1])
+        up, down = powers(b - a)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_LOWER_VALUES[raw[a:b]] * up[: b - a], out=total[1:])
+        value[i:j] = (total[stop[i:j] - a] - total[first[i:j] - a]) * down[first[i:j] - a]
+        i = j
+    return mix64(value + (stop - first).astype(np.uint64))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word with A-Z lowered, words per text), texts one after another."""
     raw, ends = text_bytes(texts)
@@ -131,10 +150,5 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     finishes = inside.copy()
     finishes[:-1] &= ~inside[1:] | edge[1:-1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(finishes)
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[_LOWERED][raw] * up[:n], out=total[1:])
-    value = (total[last + 1] - total[first]) * down[first]
-    counts = np.diff(np.searchsorted(first, ends))
-    return mix64(value + (last - first + 1).astype(np.uint64)), counts
+    first, stop = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+    return span_hashes(raw, first, stop), np.diff(np.searchsorted(first, ends))

@@ -40,8 +40,8 @@ from leakaudit.llm.common import materialise, mix64, slices, word_hashes
 
 TOP = 5
 RESERVE = 1e-3
-SLICE = 24 << 20
-BUCKET_TOKENS = 8_000_000
+SLICE = 12 << 20
+BUCKET_TOKENS = 4_000_000
 END, BEGIN = np.uint64(0xE3D0000000000001), np.uint64(0xBE61000000000002)
 _LOW48 = np.uint64((1 << 48) - 1)
 

@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakaudit.llm.common import _BYTE_VALUES, materialise, mix64, parts, powers, slices, text_bytes
+from leakaudit.llm.common import _BYTE_VALUES, SLICE_BYTES, materialise, mix64, parts, powers, slices, text_bytes
 
 LENGTH = 200
 GRAM = 32
-FLUSH_BYTES = 1 << 25
+FLUSH_BYTES = 1 << 24
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -54,11 +54,15 @@ def anchors(raw: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     lengths = np.maximum(np.diff(ends) - n + 1, 0)
     starts = starts + np.arange(len(starts)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     size = len(raw)
-    up, down = powers(size)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[raw] * up[:size], out=total[1:])
-    own = mix64((total[GRAM:] - total[: size - GRAM + 1]) * down[: size - GRAM + 1])
-    m = len(own)
+    m = size - GRAM + 1
+    own = np.empty(m, np.uint64)
+    up, down = powers(min(size, SLICE_BYTES + GRAM))
+    for a in range(0, m, SLICE_BYTES):  # in stretches, so memory doesn't follow a long text
+        piece = raw[a : a + SLICE_BYTES + GRAM - 1]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[piece] * up[: len(piece)], out=total[1:])
+        k = len(piece) - GRAM + 1
+        own[a : a + k] = mix64((total[GRAM:] - total[:k]) * down[:k])
     ranked = (own & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
     rows = -(-m // window)
     padded = np.full(rows * window, np.uint64(0xFFFFFFFFFFFFFFFF))

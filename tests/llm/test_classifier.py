@@ -55,3 +55,15 @@ def test_odd_rows(spark):
     assert classifier.score(docs.limit(0), w).count() == 0 and len(classifier.fit(docs.limit(0), labels)) == len(w)
     again = classifier.fit(docs, labels)
     assert np.array_equal(w, again) and SF
+
+
+def test_hashes_do_not_depend_on_stretches(monkeypatch):
+    from leakaudit.llm import common, suffix_dedup
+
+    texts = pa.array(["Some words here " * 30, None, "x" * 500 + " y", "éa" * 200])
+    raw, ends = common.text_bytes(texts)
+    before = common.word_hashes(texts)[0], suffix_dedup.anchors(raw, ends, 60)
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 64)
+    after = common.word_hashes(texts)[0], suffix_dedup.anchors(raw, ends, 60)
+    assert np.array_equal(before[0], after[0]) and all(np.array_equal(a, b) for a, b in zip(before[1], after[1]))

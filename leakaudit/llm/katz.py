@@ -12,7 +12,7 @@ twice:
    large part of all tokens are few, and known from here.
 2. Pairs of a slice of documents are counted in their task and sent, with the documents that hold
    them, to the bucket of their second word (frequent words are split by the first one). There r is complete, and c(w) too. Seen
-   pairs add log r and the number of small counts; unseen pairs add log P(w); each word subtracts log c(w)
+   pairs (``COUNTS`` rows of the table ``pairs``, which is partitioned by kind) add log r and the number of small counts; unseen pairs add log P(w); each word subtracts log c(w)
    as the context of the next.
 3. Sums per context go to the bucket of the context, together with the unseen pairs' contexts; ``contexts`` there get a(h).
    An unseen pair adds log a(h) and takes back log c(h).
@@ -152,7 +152,7 @@ def _word_model(words: DataFrame, buckets: int) -> tuple[WordModel, dict[int, in
 
 PARTS = "bucket int, kind int, at long, data binary"
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-DOCS, PAIRS, SUMS, CONTEXTS, UNSEEN, FEW = range(6)
+DOCS, PAIRS, SUMS, CONTEXTS, UNSEEN, FEW, COUNTS = range(7)
 
 
 def _rows(cells: list[tuple]) -> pa.RecordBatch:
@@ -266,6 +266,8 @@ def _count_pairs(model: WordModel, often: dict[int, int], buckets: int):
                 keys, at = keys[order], at[order]
                 first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])]))
                 out += _by_context(UNSEEN, [keys[first], at[first], np.diff(np.append(first, len(keys)))], buckets)
+            if seen.any():
+                out.append((0, COUNTS, 0, _pack(*_runs(w[seen]), *_split48(h[seen]), r[seen].astype(np.uint32))))
             few = np.bincount(np.minimum(r[seen], TOP + 2), minlength=TOP + 3)
             out.append((0, FEW, 0, _pack(few.astype(np.int64))))
         return pa.Table.from_batches([_rows(out)]) if out else pa.Table.from_batches([], schema=pa.schema(list(zip(["bucket", "kind", "at", "data"], _KINDS))))
@@ -273,6 +275,17 @@ def _count_pairs(model: WordModel, often: dict[int, int], buckets: int):
     return work
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how often each comes) of ordered numbers."""
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.diff(np.append(first, len(ordered))).astype(np.uint32)
+
+
+def _found_pairs(numbered: DataFrame, model: WordModel, often: dict[int, int], buckets: int) -> DataFrame:
+    sent = _send_pairs(numbered, buckets, often)
+    return materialise(sent.groupBy("bucket").applyInArrow(_count_pairs(model, often, buckets), PARTS), "pairs", "kind")
+
+
 def _by_context(kind: int, cells: list[np.ndarray], buckets: int) -> list[tuple]:
     bucket = cells[0] % np.uint64(buckets)
     out = []
@@ -341,6 +354,18 @@ def _sum_rows(d: np.ndarray, ends: int):
     return work
 
 
+def pair_counts(found: DataFrame) -> DataFrame:
+    """(word, before, n) from the ``pairs`` table: every pair of hashes that training rows hold."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                w, runs, low, high, n = _open(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(w, runs).view(np.int64)), pa.array(_join48(low, high).view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "before", "n"])
+
+    return found.where(F.col("kind") == COUNTS).select("data").mapInArrow(work, "word long, before long, n long")
+
+
 def score_texts(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``held_out``
     is a boolean column; the other rows are learned from."""
@@ -350,8 +375,7 @@ def score_texts(docs: DataFrame, held_out, key: str = "doc_id", text: str = "tex
     model, often = _word_model(words, buckets)
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    sent = _send_pairs(numbered, buckets, often)
-    found = materialise(sent.groupBy("bucket").applyInArrow(_count_pairs(model, often, buckets), PARTS), "pairs", "kind")
+    found = _found_pairs(numbered, model, often, buckets)
     few = [_open(r.data)[0] for r in found.where(F.col("kind") == FEW).select("data").collect()]  # a few numbers per bucket
     few = sum(few) if few else np.zeros(TOP + 3)
     d = discounts({r: int(few[r]) for r in range(1, TOP + 2)})

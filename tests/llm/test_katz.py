@@ -99,3 +99,13 @@ def test_discounts():
     d = katz.discounts({1: 1000, 2: 300, 3: 140, 4: 80, 5: 50, 6: 35})
     assert all(0 < x < 1 for x in d[1:]) and d[1] < d[2] < d[3]
     assert list(katz.discounts({})[1:3]) == [0.5, 0.75]
+
+
+def test_stored_pair_counts(spark):
+    rows = [(i, t) for i, t in enumerate(["a b a b", "b a", None, "a b c"] * 5)]
+    frame = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "false AS held_out", "monotonically_increasing_id() AS row")
+    words = katz._count_words(frame, 4)
+    model, often = katz._word_model(words, 3)
+    stored = katz.pair_counts(katz._found_pairs(frame, model, often, 3)).collect()
+    assert Counter(r.n for r in stored) == Counter(Model([t for _, t in rows]).r.values())
+    assert sum(r.n for r in words.collect()) == model.total == Model([t for _, t in rows]).n

@@ -135,6 +135,17 @@ def offset_labels(
     return state.join(later, [key, "bin"])
 
 
+def all_offset_labels(
+    state: DataFrame, offsets: Sequence[int], key: str = "stay_id", label: str = "action_next"
+) -> DataFrame:
+    """``offset_labels`` for several offsets at once, tagged with ``offset_bins``: one window serves them all."""
+    ahead = Window.partitionBy(key).orderBy("bin")
+    columns = [f"__l{k}" for k in offsets]
+    led = state.withColumns({c: F.lead(label, k).over(ahead) for c, k in zip(columns, offsets)})
+    pairs = F.array(*[F.struct(F.col(c).alias("action_shifted"), F.lit(k).alias("offset_bins")) for c, k in zip(columns, offsets)])
+    return led.select(*state.columns, F.inline(pairs)).filter("action_shifted IS NOT NULL")
+
+
 # --- variants -----------------------------------------------------------------------
 
 MAP_ONLY_CARDIO = "cardio_map_only"

@@ -554,19 +554,13 @@ def label_prevalence(spark, sf):
 
 @query
 def offset_labels(spark, sf):
-    rows = _unimputed(spark, sf).select("stay_id", "bin", "action_next")
-    parts = [
-        states.offset_labels(rows, k).withColumn("offset_bins", F.lit(k)) for k in (1, 2, 4, 8)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = _staged_rows(spark, sf).select("stay_id", "bin", "action_next")
+    return states.all_offset_labels(rows, (1, 2, 4, 8))
 
 
 @query
 def offset_labels_by_bin(spark, sf):
-    rows = _unimputed(spark, sf).select("stay_id", "bin", "action_next")
+    rows = _staged_rows(spark, sf).select("stay_id", "bin", "action_next")
     return states.offset_labels(rows, 4, by="bin")
 
 

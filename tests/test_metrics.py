@@ -231,3 +231,11 @@ def test_each_cell_draws_from_its_own_groups(spark):
     both = {(r.cell, r.rep): r.value for r in metrics.bootstrap_replicates(df, by=["cell"], n_boot=20).collect()}
     alone = {r.rep: r.value for r in metrics.bootstrap_replicates(df.filter("cell = 'few'").drop("cell"), n_boot=20).collect()}
     assert {rep: v for (c, rep), v in both.items() if c == "few"} == alone
+
+
+def test_one_window_serves_all_offsets(spark):
+    rows = spark.createDataFrame([(s, b, (s + b) % 2) for s in range(5) for b in range(0, 12, 1 + s % 3)], "stay_id long, bin int, action_next int")
+    many = states.all_offset_labels(rows, (1, 2, 4))
+    one = [states.offset_labels(rows, k).withColumn("offset_bins", F.lit(k)) for k in (1, 2, 4)]
+    assert sorted(many.collect()) == sorted(r for df in one for r in df.select(many.columns).collect())
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

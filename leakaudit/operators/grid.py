@@ -38,11 +38,14 @@ def decision_grid(entities: DataFrame, grid: Grid, key: str = "stay_id") -> Data
     )
 
 
-def explode_bins(df: DataFrame, first: Column, last: Column, grid: Grid) -> DataFrame:
-    """One row per bin in [first, last] clipped to the grid; rows touching none go away."""
+def explode_bins(df: DataFrame, first: Column, last: Column, grid: Grid, every: Column | None = None) -> DataFrame:
+    """One row per bin in [first, last] clipped to the grid; rows touching none go away.
+    Rows for which ``every`` is true take all bins."""
     lo = F.greatest(first.cast("int"), F.lit(0))
     hi = F.least(last.cast("int"), F.lit(grid.n_bins - 1))
     bins = F.when(lo <= hi, F.sequence(lo, hi))
+    if every is not None:
+        bins = F.when(every, F.sequence(F.lit(0), F.lit(grid.n_bins - 1))).otherwise(bins)
     return df.withColumn("bin", F.explode(bins))
 
 
@@ -58,11 +61,11 @@ def touching_bins(df: DataFrame, start: str, end: str, grid: Grid) -> DataFrame:
     return explode_bins(df, F.floor(F.col(start) / step), F.ceil(F.col(end) / step) - 1, grid)
 
 
-def covered_windows(df: DataFrame, start: str, end: str, width, grid: Grid) -> DataFrame:
+def covered_windows(df: DataFrame, start: str, end: str, width, grid: Grid, every: Column | None = None) -> DataFrame:
     """Bins whose trailing window of ``width`` hours shares time with the interval."""
     step = F.lit(float(grid.interval))
     w = width if isinstance(width, Column) else F.lit(float(width))
-    return explode_bins(df, F.floor(F.col(start) / step), F.ceil((F.col(end) + w) / step) - 2, grid)
+    return explode_bins(df, F.floor(F.col(start) / step), F.ceil((F.col(end) + w) / step) - 2, grid, every)
 
 
 # --- trailing-window aggregates ---------------------------------------------------

@@ -81,13 +81,15 @@ def _by_start(intervals: DataFrame, key: str) -> DataFrame:
     )
 
 
-def interval_union(intervals: DataFrame, key: str = "stay_id") -> DataFrame:
-    """(key, start_h, end_h): overlapping or touching intervals merged."""
+def interval_union(intervals: DataFrame, key: str = "stay_id", mark_first: bool = False) -> DataFrame:
+    """(key, start_h, end_h): overlapping or touching intervals merged. ``mark_first`` adds
+    ``is_first``, true for an entity's earliest, from which a dense grid can start."""
     opens = F.col("reach").isNull() | (F.col("start_h") > F.col("reach"))
     so_far = Window.partitionBy(key).orderBy("start_h").rowsBetween(Window.unboundedPreceding, 0)
     head = F.last(F.when(opens, F.col("start_h")), ignorenulls=True).over(so_far)
     islands = _by_start(intervals, key).withColumn("head", head).groupBy(key, "head")
-    return islands.agg(F.max("end_h").alias("end_h")).select(key, F.col("head").alias("start_h"), "end_h")
+    ends = islands.agg(F.max("end_h").alias("end_h"), F.max(F.col("reach").isNull()).alias("is_first"))
+    return ends.select(key, F.col("head").alias("start_h"), "end_h", *(["is_first"] if mark_first else []))
 
 
 def overlapping_entities(intervals: DataFrame, key: str = "stay_id") -> DataFrame:
@@ -124,6 +126,11 @@ def _covered(intervals: DataFrame, grid: Grid, width, key: str, by: Sequence[str
     w = width if isinstance(width, Column) else F.lit(float(width))
     decision = (F.col("bin") + 1) * F.lit(float(grid.interval))
     piece = rules.overlap("start_h", "end_h", decision - w, decision)
+    if "is_first" in intervals.columns:
+        # The entity's first island visits every bin, so the grid is dense without a second read.
+        placed = covered_windows(intervals, "start_h", "end_h", w, grid, F.col("is_first"))
+        pieces = placed.select(key, *by, "bin", piece.alias("hours"))
+        return pieces.groupBy(key, *by, "bin").agg(_measured(F.sum("hours")).alias("contaminated_hours"))
     pieces = covered_windows(intervals, "start_h", "end_h", w, grid)
     pieces = pieces.select(key, *by, "bin", piece.alias("hours"))
     entities = intervals.select(key, *by).distinct()
@@ -153,7 +160,7 @@ def window_contamination(
     ``denominator="observed"`` divides by the part of the window after the origin.
     Pass ``merged=True`` when the input already is an ``interval_union``.
     """
-    islands = intervals if merged else interval_union(intervals, key)
+    islands = intervals if merged else interval_union(intervals, key, mark_first=True)
     return _with_share(_covered(islands, grid, width, key), grid, width, denominator)
 
 
@@ -169,7 +176,7 @@ def window_sweep_rows(
     intervals: DataFrame, grid: Grid, widths: Sequence[float], key: str = "stay_id", merged: bool = False
 ) -> DataFrame:
     """``window_contamination`` for several widths from one union and one aggregate."""
-    islands = intervals if merged else interval_union(intervals, key)
+    islands = intervals if merged else interval_union(intervals, key, mark_first=True)
     each = islands.withColumn("width", F.explode(F.array(*[F.lit(float(w)) for w in widths])))
     w = F.col("width")
     return _with_share(_covered(each, grid, w, key, ["width"]), grid, w)

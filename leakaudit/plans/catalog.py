@@ -101,7 +101,7 @@ def _contamination(spark, sf, width):
 
 
 def _both_conditions(spark, sf):
-    islands = intervals.interval_union(_intervals(spark, sf))
+    islands = intervals.interval_union(_intervals(spark, sf), mark_first=True)
     return audits.tagged(
         {
             "before_correction": intervals.window_contamination(islands, GRID, LONG, merged=True),

@@ -47,7 +47,7 @@ def build_tables(
     o, seed = options, options.settings.seed
     hourly = stage("hourly", lambda: audit.measurements_long(s))
     cleaned = stage("intervals", lambda: s.intervals)
-    islands = stage("islands", lambda: intervals.interval_union(cleaned))
+    islands = stage("islands", lambda: intervals.interval_union(cleaned, mark_first=True))
     staged = audit.Sources(
         s.cohort, s.chart, s.labs, cleaned, s.grid, s.vital_items, s.lab_items, s.fio2_items
     )

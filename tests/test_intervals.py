@@ -124,3 +124,12 @@ def test_actions_and_their_lead(spark):
     labels = iv.next_action(acts)
     assert labels.count() == 2 * (GRID.n_bins - 1)
     assert {(r.stay_id, r.bin) for r in labels.filter("action_next = 1").collect()} == {(1, 0)}
+
+
+def test_dense_coverage_reads_the_intervals_once(spark):
+    from leakaudit.plans import catalog, fixture
+
+    sf = "/root/testdata/sf0.001"
+    plan = iv.window_contamination(catalog._intervals(spark, sf), fixture.GRID, 24.0)._jdf.queryExecution().optimizedPlan().toString()
+    once = iv.interval_union(catalog._intervals(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == once.count("Relation [")

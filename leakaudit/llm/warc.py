@@ -11,6 +11,8 @@ Reading: each archive file is parsed in one task; files are bounded by records p
 Segments are grouped by origin, ordered by number, their total length verified, and the
 transfer framing decoded. A revisit takes the length of its payload from the record that it refers to.
 
+Pages are read twice and numbered in the order of their files, so ``pages`` has to be a table, not the result of a shuffle.
+
 Defined results: a null payload is empty; a null id is never the smallest of its payload unless all are null, and
 stays null; rows equal in id and payload are each a record, both of them responses if the
 id is the smallest; an unusable address is left out; broken archives give ``complete`` = false
@@ -121,6 +123,7 @@ def write_archives(
     first = seen.where(F.col("n") >= least).groupBy("print").agg(F.min_by(F.struct("id", "seq"), order).alias("f"), F.count("*").alias("held"))
     later = seen.join(first.where("held > 1"), "print").where(~F.col("id").eqNullSafe(F.col("f.id")))
     refers = later.select(F.col("seq").alias("of"), F.concat_ws(":", F.coalesce(F.col("f.id").cast("string"), F.lit("null")), F.col("f.seq").cast("string")).alias("refers"))
+    refers = materialise(refers, "refers")  # its size is known, so few revisits don't move the payloads
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

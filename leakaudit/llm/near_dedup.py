@@ -8,18 +8,21 @@
    each, so only these are posted; pairs held once are skipped. At similarity 0.8 the
    number of agreements is binomial, and falls below that bound with probability 4e-6.
 3. In each posting list every class meets a few pivots of the list, so a list of m
-   classes gives a multiple of m pairs. Collisions are counted over the whole signature
+   classes gives a multiple of m pairs. The first pivot is the class whose pairs are held most: the middle
+   of a family of copies. Collisions are counted over the whole signature
    (``AGREE`` of ``COORDINATES`` four-bit values, missed at 0.8 with probability 1e-6), and what is
    above is confirmed on the full shingle sets.
 4. Links are closed to components. Whatever meets in a posting list but still lies in
    different components is then compared as well, outside a list's largest component, so that
-   no link depends on the choice of pivots.
+   no link depends on the choice of pivots: first with further pivots of that component, then with
+   every class left, each pair in the rarest list that it shares. Here a finer signature of ``FINE`` coordinates counts
+   (``FINE_AGREE`` are missed at 0.8 with probability 1e-6), which the near misses of a family rarely reach.
 
 Texts are shuffled once to find those of the classes in question.
 
 Defined results: null, empty and blank texts have an empty set, no links, and stay; a text
 shorter than a shingle is one shingle; a null id is never the smallest of a group unless all
-are null; rows that share an id and a text share one decision; an empty table gives an empty
+are null; rows that share an id and a text share one decision, and one of them is kept; an empty table gives an empty
 result; other columns pass through under any name.
 """
 
@@ -40,10 +43,13 @@ COORDINATES = 128
 POSTED = 32
 PREFIX = 19
 AGREE = 82
-PIVOTS = 3
+FINE = 512
+FINE_AGREE = 372
+HASHED_PIVOTS = 2
+ROUNDS, ROUND_PIVOTS = 2, 6
 
-_MULTIPLIERS = (mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SHIFTS = (mix64(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_MULTIPLIERS = (mix64(np.arange(1, FINE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SHIFTS = (mix64(np.arange(1001, 1001 + FINE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _PLACES = [np.uint64(x) for x in mix64(np.arange(501, 533, dtype=np.uint64)) | np.uint64(1)]
 
 
@@ -68,6 +74,24 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nd
     return value[new], np.bincount(owner[new], minlength=len(counts))
 
 
+def _minima(values: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest-hash coordinates of each text's shingles."""
+    full = np.flatnonzero(many)
+    starts = (np.cumsum(many) - many)[full]
+    signature = np.zeros((len(many), k), np.uint32)
+    if len(full):
+        narrow = (values >> np.uint64(32)).astype(np.uint32)
+        for i in range(k):
+            signature[full, i] = np.minimum.reduceat(narrow * _MULTIPLIERS[i] + _SHIFTS[i], starts)
+    return signature
+
+
+def _four_bits(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen to a number."""
+    short = ((signature * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64).reshape(len(signature), -1, 16)
+    return np.bitwise_or.reduce(short << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
     """(id, mark, n_shingles, print, posted, s0..): mark tells texts of one id apart."""
 
@@ -79,15 +103,11 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
             starts = (np.cumsum(many) - many)[full]
             rows = len(many)
             prints = np.zeros((rows, 2), np.uint64)
-            signature = np.zeros((rows, COORDINATES), np.uint32)
             if len(full):
                 prints[full, 0] = np.add.reduceat(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 prints[full, 1] = np.bitwise_xor.reduceat(mix64(values * _PLACES[0]), starts) + many[full].astype(np.uint64)
-                narrow = (values >> np.uint64(32)).astype(np.uint32)
-                for k in range(COORDINATES):
-                    signature[full, k] = np.minimum.reduceat(narrow * _MULTIPLIERS[k] + _SHIFTS[k], starts)
-            short = ((signature * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64).reshape(rows, -1, 16)
-            packed = np.bitwise_or.reduce(short << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+            signature = _minima(values, many, COORDINATES)
+            packed = _four_bits(signature)
             posted = (np.arange(POSTED, dtype=np.int64) << 32) | signature[:, :POSTED].astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * POSTED), pa.array(posted.ravel()))
             print_ = pa.array([p.tobytes() for p in prints], pa.binary())
@@ -110,17 +130,18 @@ def _longs():
 
 
 _CELLS = [f"s{j}" for j in range(COORDINATES // 16)]
+_FINE_CELLS = [f"s{j}" for j in range(FINE // 16)]
 
 
-def _agreements(a: str, b: str) -> F.Column:
+def _agreements(a: str, b: str, cells: list[str]) -> F.Column:
     """Equal four-bit values of two packed signatures."""
     total = []
-    for c in _CELLS:
+    for c in cells:
         differ = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
         half = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
         some = half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(F.lit(0x1111111111111111))
         total.append(F.bit_count(some))
-    return F.lit(COORDINATES) - reduce(lambda x, y: x + y, total)
+    return F.lit(16 * len(cells)) - reduce(lambda x, y: x + y, total)
 
 
 def _similar_size(a: str, b: str, percent: int) -> F.Column:
@@ -128,6 +149,21 @@ def _similar_size(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _fine(texts: DataFrame, n: int) -> DataFrame:
+    """(print, s0 .. ) of the classes' texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            values, many = shingle_hashes(*word_hashes(batch.column("text")), n)
+            packed = _four_bits(_minima(values, many, FINE))
+            yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(many.astype(np.int64)), *[pa.array(np.ascontiguousarray(packed[:, j])) for j in range(packed.shape[1])]], names=schema.names)
+
+    schema = texts.select("print").schema.add("n_shingles", "long")
+    for c in _FINE_CELLS:
+        schema = schema.add(c, "long")
+    return texts.select("print", "text").mapInArrow(work, schema)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
@@ -171,18 +207,20 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     shared = materialise(posted.join(often, "token"), "shared")
     of_class = Window.partitionBy("print")
     rank = F.row_number().over(of_class.orderBy("held", "token")) + POSTED - F.count("*").over(of_class)
-    postings = shared.select("print", "token", rank.alias("rank")).where(F.col("rank") <= PREFIX).select("print", "token")
+    centre = F.sum(F.round(F.log2("held") * 1024).cast("long")).over(of_class)
+    postings = shared.select("print", "token", "held", rank.alias("rank"), centre.alias("centre")).where(F.col("rank") <= PREFIX).select("print", "token", "held", "centre")
     alone = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     postings = materialise(postings.join(alone, "token"), "postings")
 
-    pivots = postings.groupBy("token").agg(*[F.min(F.struct(F.xxhash64("print", F.lit(i)).alias("h"), "print"))["print"].alias(f"p{i}") for i in range(PIVOTS)])
-    met = postings.join(pivots, "token").select("print", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("pivot"))
+    hashed = [F.min(F.struct(F.xxhash64("print", F.lit(i)).alias("h"), "print"))["print"] for i in range(HASHED_PIVOTS)]
+    pivots = postings.groupBy("token").agg(F.array_distinct(F.array(F.max(F.struct("centre", "print"))["print"], *hashed)).alias("pivots"))
+    met = postings.join(pivots, "token").select("print", F.explode("pivots").alias("pivot"))
     counted = met.where("print <> pivot").select(*_ordered("print", "pivot")).groupBy("a", "b").agg(F.count("*").alias("collisions"))
 
     def above(pairs: DataFrame) -> DataFrame:
         x, y = signatures.alias("x"), signatures.alias("y")
         joined = pairs.join(x, F.col("a") == F.col("x.print")).join(y, F.col("b") == F.col("y.print"))
-        agree = _agreements("x", "y").alias("agree")
+        agree = _agreements("x", "y", _CELLS).alias("agree")
         return joined.where(_similar_size("x", "y", percent)).select("a", "b", agree).where(F.col("agree") >= AGREE)
 
     pairs = materialise(above(counted), "pairs")
@@ -194,8 +232,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
 
     # the best pair of each class first; what they join needs no further look
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    links = materialise(_confirm(best, texts, n, percent), "links")
-    labels = components(links)
+    labels = components(materialise(_confirm(best, texts, n, percent), "links"))
 
     def apart(candidates: DataFrame, labels: DataFrame) -> DataFrame:
         for end in ("a", "b"):
@@ -205,21 +242,37 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
 
     tested = pairs.select("a", "b")
     rest = apart(tested.join(best, ["a", "b"], "left_anti"), labels)
-    links = materialise(links.unionByName(_confirm(rest, texts, n, percent)), "links")
-    labels = components(links)
-
-    # lists that still hold several components
-    placed = postings.join(labels, F.col("print") == F.col("node"), "left").select("token", "print", F.coalesce("component", "print").alias("c"))
-    by = placed.groupBy("token", "c").agg(F.count("*").alias("n"))
-    main = by.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("token", "main")
-    open_lists = materialise(placed.join(main, "token"), "open")
-    sides = open_lists.join(signatures, "print")
+    labels = components(materialise(_confirm(rest, texts, n, percent), "links"), labels)
+
+    def still_open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """Lists that hold several components, with each class's own and the list's main one."""
+        placed = lists.join(labels, F.col("print") == F.col("node"), "left").select("token", "held", "print", F.coalesce("component", "print").alias("c"))
+        by = placed.groupBy("token", "c").agg(F.count("*").alias("n"))
+        main = by.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("token", "main")
+        return materialise(placed.join(main, "token"), "open")
+
+    open_lists = still_open(postings, labels)
+    fine = materialise(_fine(texts.join(open_lists.select("print").distinct(), "print"), n), "fine")
+    for i in range(ROUNDS):  # further members of the main component as pivots for the others
+        drawn = [F.min(F.struct(F.xxhash64("print", F.lit(100 + ROUND_PIVOTS * i + j)).alias("h"), "print"))["print"] for j in range(ROUND_PIVOTS)]
+        members = open_lists.where("c = main").groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
+        met = open_lists.where("c <> main").join(members, "token").select("print", F.explode("pivots").alias("pivot"))
+        new = met.select(*_ordered("print", "pivot")).distinct().join(tested, ["a", "b"], "left_anti")
+        near = new.join(fine.alias("x"), F.col("a") == F.col("x.print")).join(fine.alias("y"), F.col("b") == F.col("y.print"))
+        near = near.where(_similar_size("x", "y", percent) & (_agreements("x", "y", _FINE_CELLS) >= FINE_AGREE)).select("a", "b")
+        near = materialise(near, "near")
+        labels = components(materialise(_confirm(near, texts, n, percent), "links"), labels)
+        tested = tested.unionByName(near)
+        open_lists = still_open(open_lists.select("token", "held", "print"), labels)
+
+    # all that is left, each pair once: in the rarest list that both are in
+    own_tokens = postings.groupBy("print").agg(F.transform(F.sort_array(F.collect_list(F.struct("held", "token"))), lambda t: t["token"]).alias("tokens"))
+    sides = open_lists.join(fine, "print").join(own_tokens, "print")
     x, y = sides.where("c <> main").alias("x"), sides.alias("y")
     different = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.print") < F.col("y.print")))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & different & _similar_size("x", "y", percent) & (_agreements("x", "y") >= AGREE))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & different & _similar_size("x", "y", percent) & (_agreements("x", "y", _FINE_CELLS) >= FINE_AGREE) & (F.get(F.array_intersect("x.tokens", "y.tokens"), F.lit(0)) == F.col("x.token")))
     met = met.select(*_ordered("x.print", "y.print")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(_confirm(met, texts, n, percent)), "links")
-    labels = components(links)
+    labels = components(materialise(_confirm(met, texts, n, percent), "links"), labels)
 
     reps = classes.select("print", F.col("id").alias("rep")).join(labels, F.col("print") == F.col("node")).select("print", "component", "rep")
     smallest = reps.groupBy("component").agg(F.min("rep").alias("smallest"))
@@ -230,8 +283,14 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that have a smaller near-duplicate, columns unchanged."""
-    groups = near_groups(docs, n, percent, key, text)
+    """The documents without those that have a smaller near-duplicate, columns unchanged. Of
+    rows equal in id and text one stays, unless the text has no words."""
+    groups = materialise(near_groups(docs, n, percent, key, text), "groups")
     gone = groups.where(~F.col("component_id").eqNullSafe(F.col("id"))).select("id", "mark").distinct().alias("g")
     same = F.col(f"d.{key}").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.mark"))
-    return docs.alias("d").join(gone, same, "left_anti")
+    kept = docs.alias("d").join(gone, same, "left_anti")
+    again = groups.where("n_shingles > 0").groupBy("id", "mark").count().where("count > 1").alias("g")
+    if again.isEmpty():
+        return kept
+    repeated = kept.alias("d").join(again, same, "left_semi").dropDuplicates([key, text])
+    return kept.alias("d").join(again, same, "left_anti").unionByName(repeated)

@@ -30,6 +30,10 @@ def test_components_of_edges(spark):
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {300: 300}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+    first = connected(spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
+    more = connected(spark.createDataFrame([(6, 2), (9, 8), (20, 21), (21, 5)], "a long, b long"), first)
+    assert {r.node: r.component for r in more.collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 20: 1, 21: 1, 8: 8, 9: 8}
+    assert connected(spark.createDataFrame([(1, 2)], "a long, b long"), first).count() == 6
 
 
 def test_shingles_count_as_plain_sets():
@@ -59,6 +63,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.id or 0), r.n_shingles, r.component_id or 0) for r in near_dedup.near_groups(docs, 4).collect())
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 39998, 7), (8, 39997, 7), (9, 2, 9), (9, 2, 9), (0, 2, 9), (0, 2, 0)])
+    kept = near_dedup.keep_one(docs, 4).collect()
+    assert sorted(((r.doc_id or 0), (r.text or "")[:5]) for r in kept) == sorted([(1, ""), (2, ""), (3, " \n"), (4, "a b"), (6, "a b c"), (7, "w0 w1"), (9, "x y z"), (0, "q r s")])
     assert near_dedup.near_groups(docs.limit(0)).count() == 0 and near_dedup.keep_one(docs.limit(0)).count() == 0
 
 

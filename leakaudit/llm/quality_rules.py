@@ -158,7 +158,7 @@ def _concentrate(both: DataFrame, estimates: DataFrame) -> DataFrame:
     bins = near.groupBy("group", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("group")
     reach = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)).where(F.col("upto") >= F.ceil(F.col("all") * SUPPORT))
-    reach = reach.groupBy("group").agg(F.min("bin").alias("reach"))
+    reach = materialise(reach.groupBy("group").agg(F.min("bin").alias("reach")), "reach")  # a row per group, of known size
     kept = near.join(reach, "group").where("bin <= reach")
     total = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
     sums = kept.groupBy("group").agg(F.count("*").cast("double").alias("n"), *[total(x[i]).alias(f"t{i}") for i in range(DIMS)], *[total(x[i] * x[j]).alias(f"q{i}{j}") for i, j in _PAIRS])

@@ -126,6 +126,16 @@ def _nearest(ids: np.ndarray, rows: np.ndarray, q_id: int, q: np.ndarray, k: int
     return iter(out.items())
 
 
+def _distinct(found: list[tuple[float, int, int]], k: int) -> list[tuple[float, int, int]]:
+    """The k best (-score, id, leaf), each id once."""
+    out: dict[int, tuple[float, int, int]] = {}
+    for f in sorted(found):
+        if len(out) == k:
+            break
+        out.setdefault(f[1], f)
+    return list(out.values())
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score, ...): the k best of what tasks have found."""
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("leaf").alias("leaf"))
@@ -207,11 +217,20 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     meet = packed.where("not asks").join(asks, F.col("leaf") == F.col("at")).select("leaf", "ids", "x", "q_ids", "q")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int, int]]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 leaf, *cells = [c[i].as_py() for c in batch.columns]
                 ids, q_ids = np.frombuffer(cells[0], np.int64), np.frombuffer(cells[2], np.int64)
                 x, q = np.frombuffer(cells[1]).reshape(len(ids), -1), np.frombuffer(cells[3]).reshape(len(q_ids), -1)
-                yield _found([(int(a), j, s, leaf) for a, v in zip(q_ids, q) for j, s in _nearest(ids, x, a, v, k)])
+                for a, v in zip(q_ids.tolist(), q):
+                    own = best.setdefault(a, [])
+                    own += [(-s, j, leaf) for j, s in _nearest(ids, x, a, v, k)]
+                    if len(own) > 16 * k:
+                        best[a] = _distinct(own, k)
+            if len(best) > 4096:
+                yield _found([(a, j, -s, leaf) for a, own in best.items() for s, j, leaf in _distinct(own, k)])
+                best = {}
+        yield _found([(a, j, -s, leaf) for a, own in best.items() for s, j, leaf in _distinct(own, k)])
 
     return _top(meet.mapInArrow(search, FOUND), k).select("query_id", "rank", "vec_id", "score")

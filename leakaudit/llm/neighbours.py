@@ -2,8 +2,11 @@
 
 The tree is fitted on at most ``FIT_ROWS`` vectors of the smallest hash and sent to every task, but every row is
 assigned to a leaf. A query walks the tree best-bin-first: a priority queue of nodes by similarity of their centre gives its
-leaves in order. How many leaves are visited is calibrated: ``CALIBRATION`` vectors are
-searched by brute force, in blocks against all rows, and visits widen until the tree finds ``RECALL`` of those neighbours.
+leaves in order. How many leaves are visited is calibrated per class of queries, a class being how many ids the query's own leaf holds
+and how far from its centre the query lies: ``CALIBRATION`` queries of each class are
+searched by brute force, in blocks against all rows, and the class's visits widen until the tree finds ``RECALL`` of those neighbours; as many
+rows of the whole table give the least for all classes. A query
+goes on beyond them until its leaves hold k other ids.
 
 Vectors and queries of a leaf meet as packed blocks, so what is shuffled grows with the
 rows and visits, and a crowded leaf is many blocks. Scores are formed from the original components in double precision, row by row, so equal
@@ -115,6 +118,8 @@ def _nearest(ids: np.ndarray, rows: np.ndarray, q_id: int, q: np.ndarray, k: int
     if len(ids) > 4 * k:
         bar = np.partition(score, len(score) - k)[len(score) - k]
         at = np.flatnonzero(score >= bar)
+        if len(np.unique(ids[at])) < k:  # rows that share an id
+            at = np.arange(len(ids))
     else:
         at = np.arange(len(ids))
     at = at[np.lexsort((ids[at], -score[at]))]
@@ -142,31 +147,99 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], names=["query_id", "vec_id", "score", "leaf"])
 
 
+def _candidates(ids: np.ndarray, score: np.ndarray, q_id: int, k: int) -> np.ndarray:
+    """Where the k best can be, by scores that are right to many digits."""
+    if len(ids) <= 4 * k:
+        return np.arange(len(ids))
+    score = np.where(ids == q_id, -np.inf, score)
+    at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9)
+    return at if len(np.unique(ids[at])) >= k else np.arange(len(ids))
+
+
 def brute_force(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, tree: Tree | None = None) -> DataFrame:
     """The true neighbours of a stated, bounded list of queries, in blocks against all rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            leaf = tree.leaf_of(_unit(x)) if tree and len(x) else np.zeros(len(x), np.int64)
+            if not len(x) or not queries:
+                yield _found([])
+                continue
+            unit = _unit(x)
+            leaf = tree.leaf_of(unit) if tree else np.zeros(len(x), np.int64)
             of = dict(zip(ids.tolist(), leaf.tolist()))
-            yield _found([(q, i, s, of[i]) for q, v in queries for i, s in _nearest(ids, x, q, v, k)] if len(x) else [])
+            for j in range(0, len(queries), QUERY_BLOCK):
+                block = queries[j : j + QUERY_BLOCK]
+                near = _unit(np.array([v for _, v in block])) @ unit.T
+                at = [_candidates(ids, score, q, k) for score, (q, _) in zip(near, block)]
+                yield _found([(q, i, s, of[i]) for here, (q, v) in zip(at, block) for i, s in _nearest(ids[here], x[here], q, v, k)])
 
     return _top(rows.mapInArrow(work, FOUND), k)
 
 
-def calibrate(rows: DataFrame, tree: Tree, k: int, recall: float = RECALL) -> int:
-    """The number of leaves to visit."""
-    chosen = [(r.id, np.array(r.v)) for r in rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).collect()]
-    true = brute_force(rows, chosen, k, tree).select("query_id", "leaf").collect()  # k rows per chosen vector
-    at = {q: {leaf: i for i, leaf in enumerate(tree.best_bins(_unit(v[None])[0]))} for q, v in chosen}
-    needed = np.sort([at[r.query_id][r.leaf] + 1 for r in true])
-    if not len(needed):
-        return 1
-    visits, most = 1, sum(not c for c in tree.children)
-    while visits < most and (needed <= visits).mean() < recall:
-        visits = visits + max(1, visits // 4)
-    return min(visits, most)
+def leaf_ids(packed: DataFrame) -> dict[int, int]:
+    """How many ids each leaf holds; an id of several leaves counts in one, so sums over leaves never exceed the ids there."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(c.as_py(), np.int64) for c in batch.column("ids")]
+            leaf = np.repeat(batch.column("leaf").to_numpy(), [len(i) for i in ids])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(leaf)], names=["id", "leaf"])
+
+    one = packed.select("leaf", "ids").mapInArrow(work, "id long, leaf long").groupBy("id").agg(F.min("leaf").alias("leaf"))
+    return {r.leaf: r.n for r in one.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per leaf
+
+
+def classes(tree: Tree, held: dict[int, int], unit: np.ndarray, k: int) -> np.ndarray:
+    """The class of each unit vector: by the ids in its leaf (none to spare, up to about 2 k, 4 k, more) and the angle to its centre in eighths of a half turn."""
+    leaf = tree.leaf_of(unit)
+    crowd = np.array([min((held.get(n, 0) // (k + 1)).bit_length(), 3) for n in leaf.tolist()], np.int64)
+    angle = np.arccos(np.clip((unit * tree.centre_matrix[leaf]).sum(1), -1, 1))
+    return crowd * 8 + np.minimum((angle * 8 / np.pi).astype(np.int64), 7)
+
+
+def calibrate(asking: DataFrame, rows: DataFrame, tree: Tree, held: dict[int, int], k: int, recall: float = RECALL) -> dict[int, int]:
+    """The number of leaves to visit by class of query. ``asking`` holds the queries among ``rows``."""
+    schema = "id long, v array<double>, class long"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            kind = classes(tree, held, _unit(x), k) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(kind)], names=["id", "v", "class"])
+
+    order = F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64("id", F.lit(3)), "id"))
+    few = asking.mapInArrow(work, schema).withColumn("n", order).where(F.col("n") <= CALIBRATION).collect()  # bounded per class
+    chosen = [(r.id, np.array(r.v), r["class"]) for r in few]
+    chosen += [(r.id, np.array(r.v), None) for r in rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).collect()]  # of the whole table: the least for all
+    chosen = list({(q, kind): (q, v, kind) for q, v, kind in chosen}.values())
+    true = brute_force(rows, list({q: (q, v) for q, v, _ in chosen}.values()), k, tree).select("query_id", "leaf").collect()  # k rows per chosen vector
+    by: dict[int, list[int]] = {}
+    for r in true:
+        by.setdefault(r.query_id, []).append(r.leaf)
+    most = sum(not c for c in tree.children)
+    needed: dict[int | None, list[int]] = {}
+    for q, v, kind in chosen:
+        at = {leaf: i for i, leaf in enumerate(tree.best_bins(_unit(v[None])[0]))}
+        needed.setdefault(kind, []).extend(at[leaf] + 1 for leaf in by.get(q, []))
+    out = {}
+    for kind, ranks in needed.items():
+        visits = 1
+        while ranks and visits < most and (np.array(ranks) <= visits).mean() < recall:
+            visits = visits + max(1, visits // 4)
+        out[kind] = min(visits, most)
+    least = out.pop(None, 1)
+    return {kind: max(least, visits) for kind, visits in out.items()}
+
+
+def walk(tree: Tree, held: dict[int, int], unit: np.ndarray, visits: int, k: int) -> Iterator[int]:
+    """The leaves a query visits: ``visits`` of them, and more until they hold k ids besides its own."""
+    seen = 0
+    for j, n in enumerate(tree.best_bins(unit)):
+        if j >= visits and seen > k:
+            return
+        seen += held.get(n, 0)
+        yield n
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -176,35 +249,45 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     if not sample:
         return rows.selectExpr("id query_id", "cast(0 as int) rank", "id vec_id", "cast(0 as double) score")
     tree = Tree(_unit(np.array([r.v for r in sample])))
-    visits = calibrate(rows, tree, k, recall)
     sent = rows.sparkSession.sparkContext.broadcast(tree)  # of FIT_ROWS / LEAF_ROWS x BRANCHES centres at most
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
+            leaf = sent.value.leaf_of(_unit(x))
+            cells = [(int(n), ids[at].tobytes(), x[at].tobytes()) for n in np.unique(leaf) for at in [np.flatnonzero(leaf == n)]]
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*cells), kinds)], names=["leaf", "ids", "x"])
+
+    packed = materialise(rows.mapInArrow(pack, "leaf long, ids binary, x binary"), "leaves")
+    held = leaf_ids(packed)
+    asking = rows.where(F.col("id") % every == 0)
+    visits = calibrate(asking, rows, tree, held, k, recall)
+    widest = max(visits.values(), default=1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
             unit = _unit(x)
-            leaf = t.leaf_of(unit)
-            cells: list[tuple] = []
-            for n in np.unique(leaf):
-                at = np.flatnonzero(leaf == n)
-                cells.append((int(n), False, ids[at].tobytes(), x[at].tobytes()))
             wanted: dict[int, list[int]] = {}
-            for i in np.flatnonzero(ids % every == 0):
-                for n, _ in zip(t.best_bins(unit[i]), range(visits)):
+            for i, kind in enumerate(classes(t, held, unit, k).tolist()):
+                for n in walk(t, held, unit[i], visits.get(kind, widest), k):
                     wanted.setdefault(n, []).append(i)
+            cells: list[tuple] = []
             for n, at in wanted.items():
                 for j in range(0, len(at), QUERY_BLOCK):
                     block = at[j : j + QUERY_BLOCK]
-                    cells.append((n, True, ids[block].tobytes(), x[block].tobytes()))
-            kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*cells), kinds)], names=["leaf", "asks", "ids", "x"])
+                    cells.append((n, ids[block].tobytes(), x[block].tobytes()))
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*cells), kinds)], names=["at", "q_ids", "q"])
 
-    packed = materialise(rows.mapInArrow(pack, "leaf long, asks boolean, ids binary, x binary"), "leaves")
-    asks = packed.where("asks").select(F.col("leaf").alias("at"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    meet = packed.where("not asks").join(asks, F.col("leaf") == F.col("at")).select("leaf", "ids", "x", "q_ids", "q")
+    asks = materialise(asking.mapInArrow(ask, "at long, q_ids binary, q binary"), "asks")
+    meet = packed.join(asks, F.col("leaf") == F.col("at")).select("leaf", "ids", "x", "q_ids", "q")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

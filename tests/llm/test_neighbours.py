@@ -65,3 +65,35 @@ def test_walk_gives_every_leaf_once():
     tree = neighbours.Tree(x)
     leaves = list(tree.best_bins(x[0]))
     assert len(leaves) == len(set(leaves)) == sum(not c for c in tree.children) and set(tree.leaf_of(x)) <= set(leaves)
+
+
+def test_copies_and_isolated_vectors(spark):
+    rng = np.random.default_rng(4)
+    heads, lone = rng.normal(size=(20, 16)), rng.normal(size=(40, 16))
+    rows = [(i, (lone[i // 50] if i % 50 == 0 else heads[i % 20]).tolist()) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = {}
+    for every in (50, 25):  # isolated queries alone, and beside copies
+        got = neighbours.nearest(frame, every=every).collect()
+        want = brute(rows, every, 5)
+        assert {(r.query_id, r.rank) for r in got} == set(want)
+        lonely = [(r.query_id, r.vec_id) for r in got if r.query_id % 50 == 0]
+        true = {(q, v[0]) for (q, _), v in want.items()}
+        assert sum(p in true for p in lonely) / len(lonely) >= 0.9
+
+
+def test_rows_that_share_an_id_do_not_crowd_out_others(spark):
+    rows = [(7, [1.0, 0.0, 0.0])] * 30 + [(i, [1.0, 0.1 * i, 0.0]) for i in (0, 1, 2, 3, 4, 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(frame).collect()}
+    assert got == brute(rows, 50, 5) and len(got) == 5
+
+
+def test_a_walk_goes_on_until_it_holds_enough():
+    rng = np.random.default_rng(5)
+    tree = neighbours.Tree(neighbours._unit(rng.normal(size=(800, 8))))
+    q = neighbours._unit(rng.normal(size=(1, 8)))[0]
+    order = list(tree.best_bins(q))
+    assert list(neighbours.walk(tree, {n: 1 for n in order}, q, 2, 5)) == order[:6]
+    assert list(neighbours.walk(tree, {n: 9 for n in order}, q, 2, 5)) == order[:2]
+    assert list(neighbours.walk(tree, {order[0]: 3}, q, 2, 5)) == order

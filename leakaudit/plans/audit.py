@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -208,6 +208,18 @@ def placebo_control(
 # --- policy sensitivity -------------------------------------------------------------------
 
 
+def best_clustering(rows: DataFrame, clusters: int, starts: int = 10, rounds: int = 300, seed: int = SEED) -> KMeansModel:
+    """The k-means model of least cost among ``starts`` seeded ones, of the vectors in column ``x``."""
+    best = None
+    for start in range(starts):
+        model = KMeans(featuresCol="x", predictionCol="cluster", k=clusters, maxIter=rounds, seed=seed + start).fit(rows)
+        if model.summary.numIter >= rounds:
+            raise RuntimeError(f"k-means start {start}: no convergence in {rounds} iterations")
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    return best
+
+
 def policy_sensitivity(
     table: DataFrame,
     variants: Mapping[str, Sequence[str]],
@@ -215,6 +227,8 @@ def policy_sensitivity(
     clusters: int = 50,
     rounds: int = 100,
     seed: int = SEED,
+    starts: int = 10,
+    cluster_rounds: int = 300,
 ) -> DataFrame:
     """(variant, greedy_action_rate, q_gap_mean): states clustered, reward regressed on
     (cluster, action), greedy action read off. A probe of sensitivity, not of a policy.
@@ -225,7 +239,7 @@ def policy_sensitivity(
     out = None
     for name, columns in variants.items():
         assembled = VectorAssembler(inputCols=list(columns), outputCol="x").transform(rows)
-        clustering = KMeans(featuresCol="x", predictionCol="cluster", k=clusters, seed=seed).fit(assembled)
+        clustering = best_clustering(assembled, clusters, starts, cluster_rounds, seed)
         placed = clustering.transform(assembled).select("cluster", F.col("y").cast("double").alias("a"), "reward")
         pair = VectorAssembler(inputCols=["cluster", "a"], outputCol="sa")
         model = GBTRegressor(

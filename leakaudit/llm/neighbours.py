@@ -12,14 +12,15 @@ Vectors and queries of a leaf meet as packed blocks, so what is shuffled grows w
 rows and visits, and a crowded leaf is many blocks. Scores are formed from the original components in double precision, row by row, so equal
 vectors have equal scores.
 
-Defined results: vectors that are null, zero, of another length than that of the smallest id, or hold null or non-finite components take no
-part, nor do null ids; rows that share an id count once, with the best score, and are never
+Defined results: vectors that are null, zero, or hold null or non-finite components take no
+part, nor do null ids; vectors of each length are searched among themselves, with a tree each; rows that share an id count once, with the best score, and are never
 their own neighbour; ties go to the smaller id; with fewer candidates all are returned; an empty
 table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -43,9 +44,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v) of the vectors that take part, v in double precision."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.coalesce(fine, F.lit(False)))
-    first = rows.agg(F.min_by(F.size("v"), "id").alias("n")).first()["n"]
-    return rows.where(F.size("v") == F.lit(first if first is not None else 0))
+    return rows.where(F.coalesce(fine, F.lit(False)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -245,9 +244,17 @@ def walk(tree: Tree, held: dict[int, int], unit: np.ndarray, visits: int, k: int
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): neighbours of the rows whose id is divisible by ``every``."""
     rows = materialise(usable(vectors, key, vector), "vectors")
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("asking"))
+    found = [_nearest_of_length(rows.where(F.size("v") == r.size), every, k, recall) for r in sizes.where("n > 1 and asking > 0").orderBy("size").collect()]
+    if not found:
+        return rows.limit(0).selectExpr("id query_id", "cast(0 as int) rank", "id vec_id", "cast(0 as double) score")
+    every_length = found[0] if len(found) == 1 else _top(functools.reduce(DataFrame.unionByName, found), k)  # an id can have several lengths
+    return every_length.select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of_length(rows: DataFrame, every: int, k: int, recall: float) -> DataFrame:
+    """(query_id, rank, vec_id, score, leaf) among vectors of one length."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()  # bounded
-    if not sample:
-        return rows.selectExpr("id query_id", "cast(0 as int) rank", "id vec_id", "cast(0 as double) score")
     tree = Tree(_unit(np.array([r.v for r in sample])))
     sent = rows.sparkSession.sparkContext.broadcast(tree)  # of FIT_ROWS / LEAF_ROWS x BRANCHES centres at most
 
@@ -297,4 +304,4 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
                 x, q = np.frombuffer(cells[1]).reshape(len(ids), -1), np.frombuffer(cells[3]).reshape(len(q_ids), -1)
                 yield _found([(int(a), j, s, leaf) for a, v in zip(q_ids, q) for j, s in _nearest(ids, x, a, v, k)])
 
-    return _top(meet.mapInArrow(search, FOUND), k).select("query_id", "rank", "vec_id", "score")
+    return _top(meet.mapInArrow(search, FOUND), k)

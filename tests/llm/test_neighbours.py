@@ -97,3 +97,14 @@ def test_a_walk_goes_on_until_it_holds_enough():
     assert list(neighbours.walk(tree, {n: 1 for n in order}, q, 2, 5)) == order[:6]
     assert list(neighbours.walk(tree, {n: 9 for n in order}, q, 2, 5)) == order[:2]
     assert list(neighbours.walk(tree, {order[0]: 3}, q, 2, 5)) == order
+
+
+def test_a_vector_of_another_length_loses_only_itself(spark):
+    long = [(i, [1.0, 0.1 * i, 0.2]) for i in (0, 1, 2, 3, 50)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = lambda rows: {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(frame(rows)).collect()}
+    assert got([(-1, [1.0, 2.0]), *long]) == brute(long, 50, 5) and len(brute(long, 50, 5)) == 8
+    short = [(100, [1.0, 2.0]), (101, [2.0, 1.0])]
+    assert got(long + short) == brute(long, 50, 5) | brute(short, 50, 5)
+    both = got([*long, (0, [1.0, 2.0]), (1, [1.0, 2.0]), (9, [2.0, 1.0])])
+    assert [both[0, r][0] for r in range(1, 6)] == [1, 2, 3, 9, 50] and abs(both[0, 1][1] - 1) < 1e-9

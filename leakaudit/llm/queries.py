@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakaudit.llm import bpe, chat, classifier, katz, mixing, near_dedup, neighbours, quality_rules, suffix_dedup, warc
+from leakaudit.llm import bpe, chat, chunk_dedup, classifier, katz, mixing, near_dedup, neighbours, quality_rules, spelling, suffix_dedup, turn_trie, warc
 from leakaudit.llm.common import documents, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,5 +66,19 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "donor", "prompt_turns", "prompt", "chosen_text", "rejected_text", flat("chosen_spans").alias("chosen_spans"), flat("rejected_spans").alias("rejected_spans"), "usable")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.exact_groups(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = turn_trie.rebuilt(documents(spark, sf_dir, "conversations"), every=20, most=3)
+    return turn_trie.prefix_trie(rebuilt).withColumnsRenamed({"id": "conv_id", "parent_id": "parent_conv_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}

@@ -104,6 +104,76 @@ SELECT id, donor, prompt_turns::INTEGER AS prompt_turns, prompt,
 FROM u
 """
 
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, {LOWERED.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
+# CRC-32 of a list of bytes, by the table t.steps of the steps of each byte.
+CRC_STEPS = "(SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps)"
+
+
+def _crc(bytes_: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda a, b: xor(a >> 8, t.steps[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+_LATIN = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))"
+
+OP12 = f"""
+WITH RECURSIVE t AS {CRC_STEPS},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]{{6,}}')) AS run FROM documents),
+each AS (SELECT id, run, count(*) AS n FROM runs GROUP BY ALL),
+h AS (SELECT run, n, {_crc(_LATIN.format("id || ':' || run"))} AS h FROM each, t),
+kept AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM p),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.head || c.tail
+  UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON v.word = c.head || c.tail),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+first AS (SELECT b.word, b.n_near, b.top, min(near.other) AS other FROM best b JOIN near ON near.word = b.word AND near.other_n = b.top GROUP BY ALL),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * v.n THEN other END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN first USING (word)),
+walk(word, here, next) AS (SELECT word, word, form FROM f UNION ALL SELECT walk.word, walk.next, f.form FROM walk JOIN f ON f.word = walk.next)
+SELECT f.word, f.form, walk.here AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+OP13 = f"""
+WITH RECURSIVE t AS {CRC_STEPS},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations),
+convs AS (SELECT conv_id AS id, ({_crc("list_transform(string_split(coalesce(conv_id::VARCHAR, ''), ''), lambda c: unicode(c)::BIGINT)")} % 4) AS h FROM (SELECT DISTINCT conv_id FROM conversations), t),
+own AS (
+  SELECT id, 0 AS part, k, role, text FROM convs JOIN turns ON turns.conv_id = id - (id % 20 + 20) % 20 AND k <= h
+  UNION ALL SELECT id, 1, k, role, text FROM convs JOIN turns ON turns.conv_id IS NOT DISTINCT FROM id AND k > h),
+numbered AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, k) AS d, sha256(length(role) || ':' || role || text) AS turn,
+         len(regexp_extract_all(text, {WORD})) AS words FROM own),
+walk(id, d, path, parent, words) AS (
+  SELECT id, 0, '', NULL::VARCHAR, 0 FROM convs
+  UNION ALL SELECT w.id, n.d::INTEGER, sha256(w.path || n.turn), w.path, n.words::INTEGER FROM walk w JOIN numbered n ON n.id IS NOT DISTINCT FROM w.id AND n.d = w.d + 1),
+sizes AS (SELECT id, max(d) AS last FROM walk GROUP BY id),
+nodes AS (
+  SELECT path, any_value(parent) AS parent, any_value(words) AS words, d, min(w.id) AS first, count(*) AS n,
+         sha256(coalesce(string_agg(w.id::VARCHAR, ',' ORDER BY w.id) FILTER (d = last), '')) AS ends_sha256
+  FROM walk w JOIN sizes s ON s.id IS NOT DISTINCT FROM w.id GROUP BY path, d),
+kids AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+up(path, above, leaf, saved) AS (
+  SELECT n.path, n.path, kids.n IS NULL, (n.n - 1) * n.words FROM nodes n LEFT JOIN kids ON kids.parent = n.path
+  UNION ALL SELECT up.path, n.parent, up.leaf, up.saved FROM up JOIN nodes n ON n.path = up.above WHERE n.parent IS NOT NULL),
+sums AS (SELECT above, sum(leaf::INTEGER)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY above)
+SELECT n.first AS conv_id, n.d::BIGINT AS depth, p.first AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums ON sums.above = n.path LEFT JOIN kids ON kids.parent = n.path LEFT JOIN nodes p ON p.path = n.parent
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_near_dedup": OP2, "op5_warc": OP5, "op10_preference": OP10}
+    return {"op1_mixing": OP1, "op2_near_dedup": OP2, "op5_warc": OP5, "op10_preference": OP10, "op11_exact_dedup": OP11, "op12_spelling_variants": OP12, "op13_prefix_trie": OP13}

@@ -1,4 +1,7 @@
-"""Out-of-fold probe predictions with MLlib estimators."""
+"""Out-of-fold probe predictions: all variants and folds of a probe are fitted in shared passes over the rows.
+
+``separate_fits`` does the same with one MLlib estimator per variant, probe and fold; it is kept to compare with.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakaudit.operators import logistic, trees
 from leakaudit.operators.resample import SEED, group_folds
+from leakaudit.operators.trees import BINS
 
 
 @dataclass(frozen=True)
@@ -29,6 +34,7 @@ class ProbeSettings:
     folds: int = 5
     seed: int = SEED
     parallel_fits: int = 8
+    bins: int = BINS
 
 
 @dataclass(frozen=True)
@@ -100,10 +106,48 @@ def out_of_fold(
     probes: Sequence[str] = ("logreg", "rf", "gb"),
     settings: ProbeSettings = ProbeSettings(),
     keys: Sequence[str] = ("stay_id", "bin"),
+    part: str | None = None,
 ) -> DataFrame:
     """(variant, probe, keys..., y, score) for a table of standardised columns, ``y`` and
     the keys, folded by the first key unless it brings its own ``fold``.
 
+    The table should be a stage table: it is read once for every pass. A probe's models of all variants and folds
+    share their passes, and the probes run side by side. ``part`` names a column of which every value has models of its
+    own (logistic ones only); it is kept as a last column.
+    """
+    folded = table if "fold" in table.columns else group_folds(table, settings.folds, keys[0], settings.seed)
+    columns = list(dict.fromkeys(c for own in variants.values() for c in own))
+
+    def logreg() -> DataFrame:
+        cells = logistic.cells_of(folded, variants, part)
+        return logistic.score(folded, cells, logistic.fit(folded, cells, part, settings.max_iter), keys, part)
+
+    def forest() -> DataFrame:
+        weights = {(r["fold"], r["y"]): r["weight"] for r in class_weights(folded, k=settings.folds).collect()}
+        return trees.forests(folded, columns, variants, keys, settings.trees, settings.tree_depth, weights, settings.bins, settings.seed)
+
+    def boosted() -> DataFrame:
+        return trees.boosted(folded, columns, variants, keys, settings.boosting_rounds, settings.boosting_depth, settings.bins, settings.seed)
+
+    fits = {"logreg": logreg, "rf": forest, "gb": boosted}
+    if part is not None and set(probes) - {"logreg"}:
+        raise ValueError("only logistic models are fitted by part")
+    with ThreadPoolExecutor(max(1, len(probes))) as pool:
+        scored = list(pool.map(lambda p: fits[p](), probes))
+    tail = [part] if part else []
+    parts = [df.select("variant", F.lit(p).alias("probe"), *keys, "y", "score", *tail) for p, df in zip(probes, scored)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def separate_fits(
+    table: DataFrame,
+    variants: Mapping[str, Sequence[str]],
+    probes: Sequence[str] = ("logreg", "rf", "gb"),
+    settings: ProbeSettings = ProbeSettings(),
+    keys: Sequence[str] = ("stay_id", "bin"),
+) -> DataFrame:
+    """The columns of ``out_of_fold``, from an MLlib fit per variant, probe and fold.
+
     The table should be a stage table partitioned by fold: each of the variant x probe
     x fold fits reads the other folds and scores its own. What reaches the driver is 2k class counts and
     the fitted models. Fits are independent jobs, submitted from a small thread pool.

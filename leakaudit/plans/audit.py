@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
@@ -167,14 +168,14 @@ def decay_predictions(
     """Refitted predictions of the label each offset ahead, tagged with ``offset_bins``."""
     full = {"A_full": states.variant_columns()["A_full"]}
 
+    def labelled(k: int) -> DataFrame:
+        rows = probe_table(states.offset_labels(state_table, k), "action_shifted", settings=settings)
+        return rows.withColumn("offset_bins", F.lit(k))
+
     def build() -> DataFrame:
-        out = None
-        for k in offsets:
-            rows = states.offset_labels(state_table, k)
-            table = stage(_named(f"decay_{k}", settings), lambda rows=rows: probe_table(rows, "action_shifted", settings=settings), "fold")
-            part = out_of_fold(table, full, ["logreg"], settings).withColumn("offset_bins", F.lit(k))
-            out = part if out is None else out.unionByName(part)
-        return out
+        name = _named("decay_tables", settings, tuple(offsets))
+        table = stage(name, lambda: reduce(DataFrame.unionByName, [labelled(k) for k in offsets]), "fold")
+        return out_of_fold(table, full, ["logreg"], settings, part="offset_bins")
 
     return stage(_named("decay_oof", settings, tuple(offsets)), build)
 

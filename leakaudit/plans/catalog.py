@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from leakaudit.functions import rules
 from leakaudit.functions.hashing import uniform
 from leakaudit.functions.elapsed import elapsed_hours, hour_bucket, within_horizon
-from leakaudit.operators import audits, cohort, grid, intervals, measurements, metrics, resample, states
+from leakaudit.operators import audits, cohort, grid, intervals, logistic, measurements, metrics, resample, states
 from leakaudit.operators.probes import ProbeSettings, class_weights, out_of_fold
 from leakaudit.operators.quantiles import describe, exact_quantiles
 from leakaudit.plans import audit, fixture
@@ -811,6 +811,16 @@ def predictions_certificate(spark, sf):
     return rows.groupBy("variant", "probe", "fold").agg(F.count("*").alias("n_rows"), twice.alias("n_repeated"), outside.alias("n_outside"))
 
 
+@query
+def fit_certificate(spark, sf):
+    """Whether the gradient of every logistic fit's loss, formed anew from the rows, is none at its coefficients."""
+    table = _staged_table(spark, sf)
+    cells = logistic.cells_of(table, states.variant_columns(), None)
+    fits = logistic.fit(table, cells, None, SETTINGS.max_iter)
+    told = logistic.certificate(table, cells, fits).join(class_weights(table, k=SETTINGS.folds).filter("y = 1"), "fold")
+    return told.select("variant", "fold", "n_train", F.col("n_class").alias("n_positive"), F.col("converged").cast("int").alias("converged"))
+
+
 @query
 def best_probe(spark, sf):
     return audit.best_probe(_exp2(spark, sf))

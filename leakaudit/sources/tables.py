@@ -158,6 +158,13 @@ def stage(
     return spark.read.parquet(path)
 
 
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as an unnamed table in the shared folder: plans start anew from it, and losing an executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/scratch/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_stages(spark: SparkSession, name: str) -> None:
     """Remove a stage, or all stages below a name, whatever their keys."""
     place, fs = _path(spark, stage_path(spark, name))

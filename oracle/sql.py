@@ -679,6 +679,10 @@ def statements() -> dict[str, str]:
     out["predictions_certificate"] = build(["state"], f"""SELECT variant, probe, fold, count(*) AS n_rows,
         0::BIGINT AS n_repeated, 0::BIGINT AS n_outside FROM (SELECT *, {_fold()} AS fold FROM state),
         (SELECT unnest({names}) AS variant) v, (SELECT unnest(['logreg', 'rf', 'gb']) AS probe) p GROUP BY ALL""")
+    # Every fit must have ended where its loss is least: 1 for each, with the rows it learnt from.
+    out["fit_certificate"] = build(["state"], f"""SELECT variant, f.fold::INTEGER AS fold, count(*) AS n_train, count(*) FILTER (WHERE action_next = 1) AS n_positive,
+        1::INTEGER AS converged FROM (SELECT *, {_fold()} AS fold FROM state) s JOIN (SELECT DISTINCT {_fold()} AS fold FROM state) f ON s.fold <> f.fold,
+        (SELECT unnest({names}) AS variant) v GROUP BY ALL""")
     out["mutual_information"] = build(["state"], f"SELECT feature, {r('mi')} FROM ({_info('binned')})", _binned(STATE_FEATURES))
     sgrp = ("sgrp", f"""SELECT stay_id, row_number() OVER (ORDER BY {hashed('bootstrap_group', 'stay_id')}, stay_id) - 1 AS idx
         FROM (SELECT DISTINCT stay_id FROM state)""")

@@ -7,13 +7,18 @@ same aggregation, so a bootstrap is one query rather than a loop.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakaudit.operators.quantiles import exact_quantiles
-from leakaudit.operators.resample import SEED, bootstrap_weights
+from leakaudit.operators.resample import SEED, bootstrap_vectors
 
 _EDGES = 32
 
@@ -117,15 +122,25 @@ def calibration_error(df: DataFrame, by: Sequence[str] = (), n_bins: int = 10) -
     """Expected calibration error over equal score bins [lo, hi). A score of exactly 1
     lies in no bin yet counts in the denominator."""
     w = F.col("weight") if "weight" in df.columns else F.lit(1)
+    per_bin = df.groupBy(*by, equal_bin("score", n_bins).alias("bin_no")).agg(
+        F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("hits"), F.sum(w * F.col("score")).alias("claimed")
+    )
+    return calibration_of_bins(per_bin, by)
+
+
+def equal_bin(score: str, n_bins: int = 10) -> Column:
+    """Which of the equal bins [lo, hi) holds the score; NULL for none."""
     edges = equal_edges(n_bins)
     bin_no = F.lit(None).cast("int")
     for i in range(n_bins):
-        bin_no = F.when((F.col("score") >= edges[i]) & (F.col("score") < edges[i + 1]), F.lit(i)).otherwise(bin_no)
-    per_bin = df.groupBy(*by, bin_no.alias("bin_no")).agg(
-        F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("hits"), F.sum(w * F.col("score")).alias("claimed")
-    )
+        bin_no = F.when((F.col(score) >= edges[i]) & (F.col(score) < edges[i + 1]), F.lit(i)).otherwise(bin_no)
+    return bin_no
+
+
+def calibration_of_bins(per_bin: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+    """The error from (by..., bin_no, n, hits, claimed), beside further aggregates."""
     gap = F.when(F.col("bin_no").isNotNull(), F.abs(F.col("hits") - F.col("claimed"))).otherwise(0.0)
-    return per_bin.groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"))
+    return per_bin.groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"), *more)
 
 
 # --- mutual information ---------------------------------------------------------------
@@ -184,6 +199,125 @@ METRICS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def _drawn_totals(rows: DataFrame, vectors: DataFrame, keys: Sequence[str], on: Sequence[str], totals: Mapping[str, str]) -> DataFrame:
+    """(keys..., rep, totals...): per replicate the sums of columns of ``rows`` times how often their group is drawn;
+    the first is a count of at least 1.
+
+    A key's sums are one vector over all replicates, added on the map side, so rows are never multiplied by
+    replicates: only sums are, once for each key.
+    """
+    names = list(totals)
+    own = vectors.select(*on, array_to_vector(F.col("drawn").cast("array<double>")).alias("__drawn"), *(["drawn"] if names[1:] else []))
+    joined = rows.join(own, list(on))
+
+    def scaled(c: str) -> Column:
+        return array_to_vector(F.transform("drawn", lambda d: d * F.col(c).cast("double")))
+
+    # The first column counts rows, so it serves as a weight; a weight may not be 0 throughout, as the others may.
+    sums = [Summarizer.sum(F.col("__drawn"), F.col(totals[names[0]]).cast("double")), *[Summarizer.sum(scaled(totals[c])) for c in names[1:]]]
+    sums = [vector_to_array(s).alias(name) for s, name in zip(sums, names)]
+    added = joined.groupBy(*keys).agg(*sums)
+    each = F.transform(names[0], lambda v, i: F.struct(i.alias("rep"), *[F.get(n, i).alias(n) for n in names]))
+    return added.select(*keys, F.inline(each))
+
+
+def _auroc_vectors(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """(by..., rep, value) of rows (by..., bucket, score, y, copies, drawn): the area under the curve of all replicates in one sweep.
+
+    Rows are swept in score order within their bucket, a vector over the replicates for each running count; the
+    buckets' sums, one row each, are swept again per cell. Memory is a few vectors, whatever a bucket holds.
+    """
+    by = list(by)
+    kept = rows.select(*by, "bucket", "score", F.col("y").cast("int").alias("y"), F.col("copies").cast("long").alias("copies"), "drawn")
+
+    def lists(found: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate(found) if found else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * n), pa.array(flat))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, score, open_, sums, done = None, None, None, None, []
+
+        def close() -> None:
+            """The rows of one score: they beat what lies below, and half of each other."""
+            sums[0] += open_[0] * (sums[2] + open_[1] / 2)
+            sums[1] += open_[0]
+            sums[2] += open_[1]
+
+        def told() -> pa.RecordBatch:
+            cells = [pa.array([d[0][j] for d in done], kinds[j]) for j in range(len(by) + 1)]
+            out = pa.RecordBatch.from_arrays([*cells, *[lists([d[1][j] for d in done]) for j in range(3)]], names=[*by, "bucket", "wins", "pos", "neg"])
+            done.clear()
+            return out
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in [*by, "bucket"]]
+            keys = list(zip(*[batch.column(c).to_pylist() for c in [*by, "bucket"]]))
+            scores = batch.column("score").to_pylist()
+            y, copies = batch.column("y").to_numpy(), batch.column("copies").to_numpy()
+            drawn = batch.column("drawn")
+            flat = drawn.flatten().to_numpy().reshape(-1, n).astype(np.float64) * copies[:, None]
+            starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or scores[i] != scores[i - 1]]]
+            pos = np.add.reduceat(flat * (y == 1)[:, None], starts)
+            neg = np.add.reduceat(flat * (y != 1)[:, None], starts)
+            for at, p, q in zip(starts, pos, neg):
+                if keys[at] != key:
+                    if key is not None:
+                        close()
+                        done.append((key, sums))
+                    key, sums, open_, score = keys[at], np.zeros((3, n)), np.zeros((2, n)), scores[at]
+                elif scores[at] != score:
+                    close()
+                    open_, score = np.zeros((2, n)), scores[at]
+                open_[0] += p
+                open_[1] += q
+            yield told()
+        if key is not None:
+            close()
+            done.append((key, sums))
+            yield told()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, wins, pos, neg, done = None, None, None, None, []
+
+        def told() -> pa.RecordBatch:
+            cells = [pa.array([d[0][j] for d in done], kinds[j]) for j in range(len(by))]
+            out = pa.RecordBatch.from_arrays([*cells, pa.array([d[1] for d in done], pa.list_(pa.float64()))], names=[*by, "values"])
+            done.clear()
+            return out
+
+        def close() -> None:
+            both = pos * neg
+            done.append((key, [float(w / b) if b > 0 else None for w, b in zip(wins, both)]))
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
+            three = [batch.column(c).flatten().to_numpy().reshape(-1, n) for c in ("wins", "pos", "neg")]
+            for i, own in enumerate(keys):
+                if own != key:
+                    if key is not None:
+                        close()
+                    key, wins, pos, neg = own, np.zeros(n), np.zeros(n), np.zeros(n)
+                wins = wins + three[0][i] + three[1][i] * neg
+                pos, neg = pos + three[1][i], neg + three[2][i]
+            yield told()
+        if key is not None:
+            close()
+            yield told()
+
+    fields = {f.name: f.dataType for f in kept.schema.fields}
+    numbers = T.ArrayType(T.DoubleType())
+    cells = [T.StructField(c, fields[c]) for c in by]
+    sorted_rows = kept.repartition(*by, "bucket").sortWithinPartitions(*by, "bucket", "score")
+    parts = sorted_rows.mapInArrow(within, T.StructType([*cells, T.StructField("bucket", fields["bucket"]), *[T.StructField(c, numbers) for c in ("wins", "pos", "neg")]]))
+    placed = parts.repartition(*by) if by else parts.repartition(1)
+    values = placed.sortWithinPartitions(*by, "bucket").mapInArrow(across, T.StructType([*cells, T.StructField("values", numbers)]))
+    return values.select(*by, F.posexplode("values").alias("rep", "value")).filter("value IS NOT NULL")
+
+
+_SWEPT = 4  # score buckets swept as one
+
+
 def bootstrap_replicates(
     predictions: DataFrame,
     metric: str = "auroc",
@@ -197,21 +331,26 @@ def bootstrap_replicates(
 
     A group drawn twice counts twice. Replicates holding one class only are left out.
     Each cell draws from its own groups; ``paired`` draws once from all groups, for
-    differences between cells.
+    differences between cells. A group's draws travel as one vector over the replicates.
     """
     by = list(by)
     drawn_by = [] if paired else by
-    weights = bootstrap_weights(predictions.select(*drawn_by, group).distinct(), n_boot, group, seed, drawn_by)
-    rows = predictions
-    if metric == "auroc":
-        rows = with_score_bucket(predictions).withColumn("bucket", F.floor(F.col("bucket") / _EDGES).cast("int"))
-    # Same-score rows of a group merge before the group is repeated per replicate.
-    extra = ["bucket"] if metric == "auroc" else []
-    merged = rows.groupBy(*by, group, "y", "score", *extra).agg(F.count(F.lit(1)).alias("copies"))
-    drawn = merged.join(weights, [*drawn_by, group]).withColumn("weight", F.col("weight") * F.col("copies"))
-    cell = [*by, "rep"]
+    vectors = bootstrap_vectors(predictions.select(*drawn_by, group).distinct(), n_boot, group, seed, drawn_by)
+    on, cell = [*drawn_by, group], [*by, "rep"]
     if metric == "auroc":
-        return auroc(drawn, cell, bucket="bucket").filter(F.col("auroc").isNotNull()).withColumnRenamed("auroc", "value")
+        rows = with_score_bucket(predictions).withColumn("bucket", F.floor(F.col("bucket") / _SWEPT).cast("int"))
+        merged = rows.groupBy(*by, group, "y", "score", "bucket").agg(F.count(F.lit(1)).alias("copies"))
+        return _auroc_vectors(merged.join(vectors, on), by, n_boot)
+    if metric == "ece":
+        binned = predictions.groupBy(*by, group, equal_bin("score").alias("bin_no")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"), F.sum("score").alias("claimed")
+        )
+        per_bin = _drawn_totals(binned, vectors, [*by, "bin_no"], on, {"n": "n", "hits": "hits", "claimed": "claimed"}).filter("n > 0")
+        both = (F.sum("hits") > 0) & (F.sum(F.col("n") - F.col("hits")) > 0)
+        return calibration_of_bins(per_bin, cell, both.alias("both")).filter("both").select(*cell, F.col("ece").alias("value"))
+    # What was said and what was true is all that the thresholded metrics see.
+    said = predictions.groupBy(*by, group, "y", (F.col("score") > 0.5).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("copies"))
+    drawn = _drawn_totals(said, vectors, [*by, "y", "score"], on, {"weight": "copies"}).filter("weight > 0")
     two_classes = drawn.groupBy(*cell).agg((F.min("y") != F.max("y")).alias("both")).filter("both").drop("both")
     return METRICS[metric](drawn, cell).join(two_classes, cell, "left_semi").withColumnRenamed(metric, "value")
 
@@ -246,15 +385,13 @@ def mutual_information_replicates(
     n_bins: int = 10,
     group: str = "stay_id",
     seed: int = SEED,
-    weights: DataFrame | None = None,
 ) -> DataFrame:
     """(feature, rep, value) for rows of (group, feature, value, y). Bins stay those of
-    the full data; each group's table of bins by class is what gets repeated."""
-    if weights is None:
-        weights = bootstrap_weights(long.select(group).distinct(), n_boot, group, seed)
+    the full data; each group's table of bins by class is what gets drawn."""
+    vectors = bootstrap_vectors(long.select(group).distinct(), n_boot, group, seed)
     binned = discretize(long, quantile_edges(long, n_bins))
     merged = binned.groupBy(group, "feature", "value_bin", "y").agg(F.count(F.lit(1)).alias("copies"))
-    drawn = merged.join(weights, group).withColumn("weight", F.col("weight") * F.col("copies"))
+    drawn = _drawn_totals(merged, vectors, ["feature", "value_bin", "y"], [group], {"weight": "copies"}).filter("weight > 0")
     return mutual_information_by_feature(drawn, ["feature", "rep"]).withColumnRenamed("mi", "value")
 
 

@@ -110,3 +110,19 @@ def bootstrap_weights(
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     return draws.join(indexed, [*by, "idx"]).select(*by, group, "rep", "weight")
+
+
+def bootstrap_vectors(
+    groups: DataFrame, n_boot: int, group: str = "stay_id", seed: int = SEED, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by..., group, drawn): the weights of ``bootstrap_weights`` as one vector per group, a number per replicate. A group that
+    no replicate draws has no row."""
+    each = bootstrap_weights(groups, n_boot, group, seed, by)
+    entry = F.collect_list(F.struct("rep", F.col("weight").cast("int").alias("weight")))
+    return each.groupBy(*by, group).agg(dense(entry, n_boot).cast("array<smallint>").alias("drawn"))
+
+
+def dense(entries, n: int):
+    """An array of n integers from (rep, weight) entries; what has no entry is 0."""
+    found = F.map_from_entries(entries)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0)))

@@ -259,17 +259,24 @@ def _auroc_vectors(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
             starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or scores[i] != scores[i - 1]]]
             pos = np.add.reduceat(flat * (y == 1)[:, None], starts)
             neg = np.add.reduceat(flat * (y != 1)[:, None], starts)
-            for at, p, q in zip(starts, pos, neg):
-                if keys[at] != key:
+            runs = [0, *[i for i in range(1, len(starts)) if keys[starts[i]] != keys[starts[i - 1]]], len(starts)]
+            for a, b in zip(runs[:-1], runs[1:]):  # the scores of one bucket
+                if keys[starts[a]] != key:
                     if key is not None:
                         close()
                         done.append((key, sums))
-                    key, sums, open_, score = keys[at], np.zeros((3, n)), np.zeros((2, n)), scores[at]
-                elif scores[at] != score:
+                    key, sums, open_ = keys[starts[a]], np.zeros((3, n)), np.zeros((2, n))
+                elif scores[starts[a]] != score:
                     close()
-                    open_, score = np.zeros((2, n)), scores[at]
-                open_[0] += p
-                open_[1] += q
+                    open_ = np.zeros((2, n))
+                p, q = pos[a:b], neg[a:b]
+                p[0] += open_[0]
+                q[0] += open_[1]
+                below = np.cumsum(q[:-1], axis=0) - q[:-1] / 2
+                sums[0] += (p[:-1] * (sums[2] + below)).sum(0)
+                sums[1] += p[:-1].sum(0)
+                sums[2] += q[:-1].sum(0)
+                open_, score = np.stack([p[-1], q[-1]]), scores[starts[b - 1]]
             yield told()
         if key is not None:
             close()
@@ -308,7 +315,9 @@ def _auroc_vectors(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     fields = {f.name: f.dataType for f in kept.schema.fields}
     numbers = T.ArrayType(T.DoubleType())
     cells = [T.StructField(c, fields[c]) for c in by]
-    sorted_rows = kept.repartition(*by, "bucket").sortWithinPartitions(*by, "bucket", "score")
+    # a fixed number: the sweep's work is a vector per row, which merging partitions by size doesn't see
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = kept.repartition(tasks, *by, "bucket").sortWithinPartitions(*by, "bucket", "score")
     parts = sorted_rows.mapInArrow(within, T.StructType([*cells, T.StructField("bucket", fields["bucket"]), *[T.StructField(c, numbers) for c in ("wins", "pos", "neg")]]))
     placed = parts.repartition(*by) if by else parts.repartition(1)
     values = placed.sortWithinPartitions(*by, "bucket").mapInArrow(across, T.StructType([*cells, T.StructField("values", numbers)]))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakaudit.functions.hashing import digest, digest_prefix, pick, uniform
 
@@ -103,8 +106,10 @@ def bootstrap_weights(
         size = F.col("__n")
     else:
         sized, size = indexed, groups.agg(F.count(F.lit(1))).scalar()
+    # a fixed number: a small table of groups still means n_boot draws for each
+    spread = sized.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "idx")
     draws = (
-        sized.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+        spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
         .select(*by, "rep", pick(seed, "bootstrap_draw", size, "rep", "idx").alias("idx"))
         .groupBy(*by, "idx", "rep")
         .agg(F.count(F.lit(1)).alias("weight"))
@@ -118,11 +123,17 @@ def bootstrap_vectors(
     """(by..., group, drawn): the weights of ``bootstrap_weights`` as one vector per group, a number per replicate. A group that
     no replicate draws has no row."""
     each = bootstrap_weights(groups, n_boot, group, seed, by)
-    entry = F.collect_list(F.struct("rep", F.col("weight").cast("int").alias("weight")))
-    return each.groupBy(*by, group).agg(dense(entry, n_boot).cast("array<smallint>").alias("drawn"))
-
-
-def dense(entries, n: int):
-    """An array of n integers from (rep, weight) entries; what has no entry is 0."""
-    found = F.map_from_entries(entries)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0)))
+    listed = each.groupBy(*by, group).agg(F.collect_list(F.struct(F.col("rep").cast("int"), F.col("weight").cast("int").alias("weight"))).alias("entries"))
+    names = [*by, group]
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries = batch.column("entries")
+            flat, many = entries.flatten(), np.diff(entries.offsets.to_numpy())
+            drawn = np.zeros((batch.num_rows, n_boot), np.int16)
+            drawn[np.repeat(np.arange(len(many)), many), flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1, dtype=np.int32) * n_boot), pa.array(drawn.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], vectors], names=[*names, "drawn"])
+
+    schema = T.StructType([*listed.select(*names).schema.fields, T.StructField("drawn", T.ArrayType(T.ShortType()))])
+    return listed.mapInArrow(dense, schema)

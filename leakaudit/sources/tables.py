@@ -119,16 +119,65 @@ def fingerprint(spark: SparkSession, *parts: object) -> str:
         if not isinstance(part, DataFrame):
             told.append(repr(part))
             continue
-        plan = part._jdf.queryExecution().analyzed().toString()
+        # Spark cuts long column lists short in a plan's plain text; here every column counts.
+        plan = part._jdf.queryExecution().analyzed().treeString(True, False, 2**31 - 1, False, False)
         files = sorted(part.inputFiles())
         if not files or re.search(r"Local(Relation|TableScan)|LogicalRDD|ExternalRDD", plan):
             told.append(uuid.uuid4().hex)
             continue
-        facts = [(f, *[x[1:] for x in file_facts(spark, f)]) for f in files]
-        told.append(repr((re.sub(r"#\d+L?", "", plan), facts)))
+        told.append(repr((re.sub(r"#\d+L?", "", plan), _facts_of(spark, files))))
     return hashlib.sha256("|".join(told).encode()).hexdigest()[:24]
 
 
+def _facts_of(spark: SparkSession, files: Sequence[str]) -> list[tuple]:
+    """(file, length, modification time), one request per folder instead of one per file."""
+    by_folder: dict[str, list[str]] = {}
+    for f in files:
+        folder, _, _ = f.rpartition("/")
+        by_folder.setdefault(folder, []).append(f)
+    told = []
+    for folder, own in by_folder.items():
+        place, fs = _path(spark, folder)
+        wanted = {_path(spark, f)[0].getName(): f for f in own}
+        told += [(wanted[x.getPath().getName()], x.getLen(), x.getModificationTime()) for x in fs.listStatus(place) if x.getPath().getName() in wanted]
+    return sorted(told)
+
+
+_MARKER = "_published_"
+
+
+def _published(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """(number of the last marker, folder of the last whole build) of a stage."""
+    place, fs = _path(spark, path)
+    if not fs.exists(place):
+        return 0, None
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    numbers = sorted((int(n.removeprefix(_MARKER)) for n in names if n.startswith(_MARKER)), reverse=True)
+    for number in numbers:
+        stream = fs.open(_path(spark, f"{path}/{_MARKER}{number}")[0])
+        try:
+            build = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        if build and fs.exists(_path(spark, f"{path}/{build}/_SUCCESS")[0]):
+            return numbers[0], f"{path}/{build}"
+    return max(numbers, default=0), None
+
+
+def _publish(spark: SparkSession, path: str, build: str, number: int) -> bool:
+    """Name the build in the marker of that number; False if another builder has taken the number."""
+    marker, fs = _path(spark, f"{path}/{_MARKER}{number}")
+    try:
+        stream = fs.create(marker, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e) or "already exists" in str(e):
+            return False
+        raise
+    stream.write(bytearray(build.encode()))
+    stream.close()
+    return True
+
+
 def stage_path(spark: SparkSession, name: str, key: str = "") -> str:
     return f"{shared_dir(spark)}/stages/{name}" + (f"/{key}" if key else "")
 
@@ -148,14 +197,20 @@ def stage(
     ``key`` is a ``fingerprint`` of input, options and seed, or a version; without it
     the built DataFrame is fingerprinted. ``fresh`` builds anew. Rebalancing evens out the
     files: few when the table is small, split when it is not.
+
+    A build goes to a folder of its own and counts once a marker names it. Numbers of markers are taken once, so of two builders
+    the first to end is read by both; a build that breaks off, or a new one that does, leaves the last whole one in place.
     """
     built = build() if key is None else None
     path = stage_path(spark, name, key if built is None else fingerprint(spark, built, partition_by))
-    done, fs = _path(spark, f"{path}/_SUCCESS")
-    if fresh or not fs.exists(done):
+    number, found = _published(spark, path)
+    if fresh or found is None:
         table = build() if built is None else built
-        write_table(table.hint("rebalance", *partition_by), path, partition_by=partition_by)
-    return spark.read.parquet(path)
+        own = f"build_{uuid.uuid4().hex}"
+        write_table(table.hint("rebalance", *partition_by), f"{path}/{own}", partition_by=partition_by)
+        _publish(spark, path, own, number + 1)
+        _, found = _published(spark, path)
+    return spark.read.parquet(found)
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:

@@ -120,3 +120,45 @@ def test_key_fanout(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (2,)], "k int")
     row = audits.key_fanout(df, ["k"]).first()
     assert (row.n_rows, row.n_keys, row.max_copies, row.n_repeated_keys, row.fanout) == (4, 2, 3, 1, 2.0)
+
+
+def test_wide_plans_are_told_apart(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(5).selectExpr("id", "id % 2 AS x").write.parquet(path)
+
+    def wide(times):
+        last = F.col("id") * times
+        return spark.read.parquet(path).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(39)], last.alias("c39"))
+
+    assert tables.fingerprint(spark, wide(1)) != tables.fingerprint(spark, wide(1000))
+    assert tables.fingerprint(spark, wide(1)) == tables.fingerprint(spark, wide(1))
+    for times in (1, 1000):
+        assert tables.stage(spark, "test_stage/wide", lambda times=times: wide(times)).agg(F.max("c39")).first()[0] == 4 * times
+
+
+def test_two_builders_read_one_build(spark):
+    def inner():
+        tables.stage(spark, "test_stage/twice", lambda: spark.range(3), key="k")  # the other builder is done first
+        return spark.range(7)
+
+    assert tables.stage(spark, "test_stage/twice", inner, key="k").count() == 3
+    assert tables.stage(spark, "test_stage/twice", lambda: spark.range(9), key="k").count() == 3
+
+
+def test_a_build_that_breaks_off_leaves_the_last_one(spark, monkeypatch):
+    def run(n, **more):
+        return tables.stage(spark, "test_stage/crash", lambda: spark.range(n), key="k", **more).count()
+
+    def broken(*args):
+        raise OSError("lost before it was published")
+
+    assert run(4) == 4
+    monkeypatch.setattr(tables, "_publish", broken)
+    with pytest.raises(OSError):
+        run(6, fresh=True)
+    monkeypatch.undo()
+    assert run(6) == 4 and run(6, fresh=True) == 6
+    path = tables.stage_path(spark, "test_stage/crash", "k")
+    place, fs = tables._path(spark, f"{path}/_published_9")
+    fs.create(place, False).close()  # a marker without a name, as a crash may leave it
+    assert run(8) == 6 and run(8, fresh=True) == 8

@@ -67,6 +67,7 @@ STAGED = [
     "impute_within_folds",
     "holm_adjust",
     "probe_logreg",
+    "fit_certificate",
     "control_shuffled",
     "control_decay",
     "control_placebo",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,7 +170,9 @@ def _probed(spark, sf, probe):
 
 
 def _predictions(spark, sf):
-    parts = [_probed(spark, sf, p) for p in ("logreg", "rf", "gb")]
+    _staged_table(spark, sf)  # what all three start from
+    with ThreadPoolExecutor(3) as pool:
+        parts = list(pool.map(lambda p: _probed(spark, sf, p), ("logreg", "rf", "gb")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

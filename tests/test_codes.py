@@ -42,6 +42,12 @@ def test_quantiles_of_ties_signs_and_nothing(spark):
     assert exact_quantiles(df.filter("v > 100"), [], "v", probs).count() == 0
 
 
+def test_a_null_score_counts_as_the_lowest(spark):
+    df = spark.createDataFrame([(1, None), (0, 0.2), (1, 0.9), (0, -0.5)], "y int, score double")
+    assert metrics.auroc(df).first().auroc == pytest.approx(2 / 4)
+    assert metrics.auroc(df, buckets=False).first().auroc == pytest.approx(2 / 4)
+
+
 def test_auroc_of_crowded_scores(spark):
     """All scores share their leading digits; some are equal."""
     df = spark.range(20000).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") % 2 == 0).cast("int").alias("y"), (0.5 + (F.xxhash64("id", F.lit(1)) % 5000) * 2.0**-52).alias("score"))

@@ -269,3 +269,42 @@ def aggregate_release(
         .agg(size, *[m.alias(name) for name, m in measures.items()])
         .filter(F.col("n_entities") >= min_entities)
     )
+
+
+def withhold_small(
+    cells: DataFrame, sizes: DataFrame, by: Sequence[str], within: Sequence[str], min_entities: int = 24
+) -> DataFrame:
+    """Cells of a released table, with all but ``by`` NULL where ``withheld``, which is added.
+
+    ``sizes`` gives ``n_entities`` by cell. Cells of 1 to ``min_entities`` - 1 entities are withheld. Cells of one margin (``within``)
+    add up to a total that is released too, so the smallest other cell that holds anybody is withheld along with them: what
+    can be computed of the withheld ones is a sum over two cells or more and ``min_entities`` entities or more. One more is also the least
+    that does. Empty cells stay, they hold nobody. Tables of cells are small, one row per cell.
+    """
+    sized = cells.join(sizes.select(*by, "n_entities"), list(by), "left")
+    sized = sized.withColumn("__n", F.coalesce("n_entities", F.lit(0))).drop("n_entities")
+    small = (F.col("__n") > 0) & (F.col("__n") < min_entities)
+    margin = Window.partitionBy(*within)
+    large_first = Window.partitionBy(*within, F.col("__n") >= min_entities).orderBy("__n", *by)
+    marked = sized.withColumn("__any", F.max(small).over(margin)).withColumn("__place", F.row_number().over(large_first))
+    hidden = small | (F.col("__any") & (F.col("__n") >= min_entities) & (F.col("__place") == 1))
+    marked = marked.withColumn("withheld", hidden)
+    rest = [F.when(~F.col("withheld"), F.col(c)).alias(c) for c in cells.columns if c not in by]
+    return marked.select(*by, *rest, "withheld")
+
+
+def decomposition_released(rows: DataFrame, min_entities: int = 24, key: str = "stay_id") -> Mapping[str, DataFrame]:
+    """``summary``, ``by_severity`` and ``by_bin`` of the score decomposition as they may be published together."""
+    band = F.lit(None).cast("int")
+    for i, (lo, hi) in enumerate(SEVERITY_BANDS):
+        band = F.when((F.col("sofa_total") > lo) & (F.col("sofa_total") <= hi), F.lit(i + 1)).otherwise(band)
+
+    def sizes(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.count_distinct(key).alias("n_entities"))
+
+    whole = withhold_small(decomposition_summary(rows), sizes(rows, "window"), ["window"], ["window"], min_entities)
+    banded = sizes(rows.withColumn("band_no", band).filter("band_no IS NOT NULL"), "window", "band_no")
+    bands = withhold_small(by_severity(rows), banded, ["window", "band_no"], ["window"], min_entities)
+    names = F.element_at(F.array(*[F.lit(f"({lo}, {hi}]") for lo, hi in SEVERITY_BANDS]), F.col("band_no"))
+    bins = withhold_small(by_bin(rows), sizes(rows, "window", "bin"), ["window", "bin"], ["window"], min_entities)
+    return {"summary": whole, "by_severity": bands.withColumn("band", names), "by_bin": bins}

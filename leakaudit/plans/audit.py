@@ -196,6 +196,11 @@ def decay_verdict(curve: DataFrame, threshold: float = 0.10) -> DataFrame:
     return curve.agg((first - last).alias("decay"), kind.alias("reading"))
 
 
+def decay_paired(predictions: DataFrame, offsets: Sequence[int] = (0, 1, 2, 4, 8), n_boot: int = 300, seed: int = SEED) -> DataFrame:
+    """The registered test on the fitted offsets: AUROC of the first minus the last on the same drawn entities, with interval and verdict."""
+    return metrics.paired_delta(predictions, "offset_bins", min(offsets), max(offsets), n_boot=n_boot, seed=seed)
+
+
 def placebo_control(
     state_table: DataFrame, stage: Stage, settings: ProbeSettings, n_boot: int = 300
 ) -> DataFrame:

@@ -858,6 +858,26 @@ def control_decay_verdict(spark, sf):
     return audit.decay_verdict(control_decay(spark, sf))
 
 
+@query
+def control_decay_paired(spark, sf):
+    return audit.decay_paired(_decay(spark, sf), n_boot=N_BOOT)
+
+
+def _released(spark, sf, part):
+    return audits.decomposition_released(_exp1_rows(spark, sf))[part]
+
+
+@query
+def release_by_severity(spark, sf):
+    """Severity bands as published: small ones withheld, with the one that would give them away."""
+    return _released(spark, sf, "by_severity")
+
+
+@query
+def release_by_bin(spark, sf):
+    return _released(spark, sf, "by_bin")
+
+
 @query
 def control_placebo(spark, sf):
     return audit.placebo_control(_staged_state(spark, sf), _stage_for(spark, sf), SETTINGS, N_BOOT)
@@ -909,6 +929,7 @@ def table3(spark, sf):
         ("shuffled_labels", control_shuffled(spark, sf).drop("variant"), ["probe"]),
         ("offset_decay", control_decay(spark, sf), ["offset_bins"]),
         ("offset_decay_slope", control_decay_verdict(spark, sf), ["reading"]),
+        ("offset_decay_slope", control_decay_paired(spark, sf), ["verdict"]),
         ("physiology_only_reference", bare, ["probe"]),
         ("placebo", control_placebo(spark, sf), ["variant", "probe"]),
     ]

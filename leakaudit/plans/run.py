@@ -26,6 +26,7 @@ class Options:
     offsets: Sequence[int] = OFFSETS
     n_boot: int = 300
     fit_scope: str = "all"
+    min_entities: int = 24  # of a published cell
 
 
 def build_tables(
@@ -77,8 +78,11 @@ def build_tables(
     decay = stage("c_decay", lambda: audit.decay_curve(shifted, s.grid.interval, o.n_boot, seed))
     placebo = stage("c_placebo", lambda: audit.placebo_control(state, stage, o.settings, o.n_boot))
 
-    summary = audits.decomposition_summary(decomposed)
-    bands, bins = audits.by_severity(decomposed), audits.by_bin(decomposed)
+    paired = stage("c_decay_paired", lambda: audit.decay_paired(shifted, o.offsets, o.n_boot, seed))
+
+    # What is published of groups leaves out small ones, here and in the consolidated table.
+    released = audits.decomposition_released(decomposed, o.min_entities)
+    summary, bands, bins = released["summary"], released["by_severity"], released["by_bin"]
     contamination = audits.before_after(provenance, "before_correction", "after_correction")
     bare = best.filter(F.col("variant") == "E_physiology_only").select("probe", "auroc")
     consolidated = audit.consolidated(
@@ -92,6 +96,7 @@ def build_tables(
             ("shuffled_labels", shuffled.drop("variant"), ["probe"]),
             ("offset_decay", decay, ["offset_bins"]),
             ("offset_decay_slope", audit.decay_verdict(decay), ["reading"]),
+            ("offset_decay_slope", paired, ["verdict"]),
             ("physiology_only_reference", bare, ["probe"]),
             ("placebo", placebo, ["variant", "probe"]),
             ("cohort", audits.prevalence(rows), []),
@@ -110,6 +115,7 @@ def build_tables(
         "window_histogram": audits.histogram(provenance, "window_condition", "pct_of_window"),
         "control_shuffled": shuffled,
         "control_decay": decay,
+        "control_decay_paired": paired,
         "control_placebo": placebo,
         "all_metrics": consolidated,
     }

@@ -567,6 +567,21 @@ def statements() -> dict[str, str]:
     shifted = " UNION ALL ".join(f"""SELECT stay_id, bin, action_next, lead(action_next, {k}) OVER
         (PARTITION BY stay_id ORDER BY bin) AS action_shifted, {k}::INTEGER AS offset_bins FROM bare""" for k in (1, 2, 4, 8))
     out["offset_labels"] = build(["bare"], f"SELECT * FROM ({shifted}) WHERE action_shifted IS NOT NULL")
+    # Small cells of a margin are withheld, and the smallest of the others with them.
+    def released(cells: str, sizes: str, cell: str, values: list[str]) -> str:
+        shown = ", ".join(f"CASE WHEN NOT hidden THEN {v} END AS {v}" for v in values)
+        return f"""SELECT * FROM (WITH sized AS (SELECT c.*, coalesce(s.k, 0) AS k FROM ({cells}) c LEFT JOIN ({sizes}) s ON c."window" = s."window" AND c.{cell} = s.{cell}),
+            fewest AS (SELECT "window", count(*) FILTER (WHERE k BETWEEN 1 AND 23) AS n_small, min((k, {cell})) FILTER (WHERE k >= 24) AS other FROM sized GROUP BY "window"),
+            marked AS (SELECT sized.*, k BETWEEN 1 AND 23 OR (n_small > 0 AND k >= 24 AND (k, {cell}) = other) AS hidden FROM sized JOIN fewest USING ("window"))
+            SELECT "window", {cell}{', band' if cell == 'band_no' else ''}, {shown}, hidden AS withheld FROM marked)"""
+
+    band_of = "CASE " + " ".join(f"WHEN sofa_total > {lo} AND sofa_total <= {hi} THEN {i + 1}" for i, (lo, hi) in enumerate([(-1, 5), (5, 10), (10, 15), (15, 24)])) + " END"
+    out["release_by_severity"] = build(["exp1"], released(
+        f'SELECT "window", band_no, band, n, {r("pct_dose_determined")} FROM ({_BANDED})',
+        f'SELECT "window", {band_of} AS band_no, count(DISTINCT stay_id) AS k FROM exp1 GROUP BY ALL', "band_no", ["n", "pct_dose_determined"]))
+    out["release_by_bin"] = build(["exp1"], released(
+        f"""SELECT "window", bin, count(*) AS n, {r(f'avg({_DD})', 'pct_dose_determined')} FROM exp1 GROUP BY "window", bin""",
+        'SELECT "window", bin, count(DISTINCT stay_id) AS k FROM exp1 GROUP BY ALL', "bin", ["n", "pct_dose_determined"]))
     out["offset_labels_by_bin"] = build(["bare"], """SELECT a.stay_id, a.bin, a.action_next, b.action_next AS action_shifted
         FROM bare a JOIN bare b ON b.stay_id = a.stay_id AND b.bin = a.bin + 4""")
     low = "(CASE WHEN mbp < 70 THEN 1.0 ELSE 0.0 END)::DOUBLE"

@@ -15,7 +15,10 @@
 4. Links are closed to components. Whatever meets in a posting list but still lies in
    different components is then compared as well, outside a list's largest component, so that
    no link depends on the choice of pivots: first with further pivots of that component, then with
-   every class left, each pair in the rarest list that it shares. Here a finer signature of ``FINE`` coordinates counts
+   every class left, each pair in the rarest list that it shares. Lists skip what can't reach the threshold: a shingle
+   that no other open class holds is in no intersection, so its class shares at most the rest with any other. A class
+   whose rest is too small beside the least set of a list leaves that list, and a pair is only formed if the rest of both
+   suffices. The bound is exact. What is formed counts on a finer signature of ``FINE`` coordinates
    (``FINE_AGREE`` are missed at 0.8 with probability 1e-6), which the near misses of a family rarely reach.
 
 Texts are shuffled once to find those of the classes in question.
@@ -47,6 +50,7 @@ FINE = 512
 FINE_AGREE = 372
 HASHED_PIVOTS = 2
 ROUNDS, ROUND_PIVOTS = 2, 6
+SKIPS = 2
 
 _MULTIPLIERS = (mix64(np.arange(1, FINE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (mix64(np.arange(1001, 1001 + FINE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -164,6 +168,25 @@ def _fine(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("print", "text").mapInArrow(work, schema)
 
 
+def _own_shingles(texts: DataFrame, n: int) -> DataFrame:
+    """(print, own): how many shingles of a class no other of these classes holds."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            values, many = shingle_hashes(*word_hashes(batch.column("text")), n)
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int32), many)
+            yield pa.RecordBatch.from_arrays([batch.column("print").take(pa.array(owner)), pa.array(values.view(np.int64))], names=["print", "shingle"])
+
+    held = texts.select("print", "text").mapInArrow(work, texts.select("print").schema.add("shingle", "long"))
+    single = held.groupBy("shingle").agg(F.count("*").alias("held"), F.min("print").alias("print")).where("held = 1")
+    return single.groupBy("print").agg(F.count("*").alias("own"))
+
+
+def _reaches(shared: F.Column, total: F.Column, percent: int) -> F.Column:
+    """Whether two sets of ``total`` shingles together that share at most ``shared`` can be similar enough."""
+    return (100 + percent) * shared >= percent * total
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
@@ -215,7 +238,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     hashed = [F.min(F.struct(F.xxhash64("print", F.lit(i)).alias("h"), "print"))["print"] for i in range(HASHED_PIVOTS)]
     pivots = postings.groupBy("token").agg(F.array_distinct(F.array(F.max(F.struct("centre", "print"))["print"], *hashed)).alias("pivots"))
     met = postings.join(pivots, "token").select("print", F.explode("pivots").alias("pivot"))
-    counted = met.where("print <> pivot").select(*_ordered("print", "pivot")).groupBy("a", "b").agg(F.count("*").alias("collisions"))
+    candidates = met.where("print <> pivot").select(*_ordered("print", "pivot")).distinct()
 
     def above(pairs: DataFrame) -> DataFrame:
         x, y = signatures.alias("x"), signatures.alias("y")
@@ -223,7 +246,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
         agree = _agreements("x", "y", _CELLS).alias("agree")
         return joined.where(_similar_size("x", "y", percent)).select("a", "b", agree).where(F.col("agree") >= AGREE)
 
-    pairs = materialise(above(counted), "pairs")
+    pairs = materialise(above(candidates), "pairs")
 
     # texts of the classes that may have a link: all that are posted beside another
     wanted = postings.select("print").distinct().join(classes.select("print", "id", "mark"), "print")
@@ -251,15 +274,29 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
         main = by.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("token", "main")
         return materialise(placed.join(main, "token"), "open")
 
+    def able(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+        """The lists without the classes whose shared shingles can't suffice beside their least set."""
+        sized = lists.join(sizes, "print")
+        least = sized.groupBy("token").agg(F.min("n_shingles").alias("least"))
+        total = F.col("n_shingles") + F.greatest("least", F.ceil(F.col("n_shingles") * percent / 100))
+        return sized.join(least, "token").where(_reaches(F.col("shared"), total, percent)).select("token", "held", "print")
+
     open_lists = still_open(postings, labels)
-    fine = materialise(_fine(texts.join(open_lists.select("print").distinct(), "print"), n), "fine")
+    for _ in range(SKIPS):  # who leaves takes shingles along, so others may follow
+        open_texts = texts.join(open_lists.select("print").distinct(), "print")
+        sizes = open_texts.select("print").join(classes.select("print", "n_shingles"), "print").join(_own_shingles(open_texts, n), "print", "left")
+        sizes = materialise(sizes.select("print", "n_shingles", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared")), "sizes")
+        open_lists = still_open(able(open_lists, sizes), labels)
+    fine = _fine(texts.join(open_lists.select("print").distinct(), "print"), n)
+    fine = materialise(fine.join(sizes.select("print", "shared"), "print"), "fine")
+    both_reach = _reaches(F.least("x.shared", "y.shared"), F.col("x.n_shingles") + F.col("y.n_shingles"), percent)
     for i in range(ROUNDS):  # further members of the main component as pivots for the others
         drawn = [F.min(F.struct(F.xxhash64("print", F.lit(100 + ROUND_PIVOTS * i + j)).alias("h"), "print"))["print"] for j in range(ROUND_PIVOTS)]
         members = open_lists.where("c = main").groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
         met = open_lists.where("c <> main").join(members, "token").select("print", F.explode("pivots").alias("pivot"))
         new = met.select(*_ordered("print", "pivot")).distinct().join(tested, ["a", "b"], "left_anti")
         near = new.join(fine.alias("x"), F.col("a") == F.col("x.print")).join(fine.alias("y"), F.col("b") == F.col("y.print"))
-        near = near.where(_similar_size("x", "y", percent) & (_agreements("x", "y", _FINE_CELLS) >= FINE_AGREE)).select("a", "b")
+        near = near.where(_similar_size("x", "y", percent) & both_reach & (_agreements("x", "y", _FINE_CELLS) >= FINE_AGREE)).select("a", "b")
         near = materialise(near, "near")
         labels = components(materialise(_confirm(near, texts, n, percent), "links"), labels)
         tested = tested.unionByName(near)
@@ -270,7 +307,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     sides = open_lists.join(fine, "print").join(own_tokens, "print")
     x, y = sides.where("c <> main").alias("x"), sides.alias("y")
     different = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.print") < F.col("y.print")))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & different & _similar_size("x", "y", percent) & (_agreements("x", "y", _FINE_CELLS) >= FINE_AGREE) & (F.get(F.array_intersect("x.tokens", "y.tokens"), F.lit(0)) == F.col("x.token")))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & different & _similar_size("x", "y", percent) & both_reach & (_agreements("x", "y", _FINE_CELLS) >= FINE_AGREE) & (F.get(F.array_intersect("x.tokens", "y.tokens"), F.lit(0)) == F.col("x.token")))
     met = met.select(*_ordered("x.print", "y.print")).distinct().join(tested, ["a", "b"], "left_anti")
     labels = components(materialise(_confirm(met, texts, n, percent), "links"), labels)
 

@@ -203,7 +203,7 @@ def score_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that pass, columns unchanged. Counts are formed a second time
-    instead of shuffling the texts to them."""
-    found = with_counts(docs, text, lang, source)
+    """The documents that pass, columns unchanged. Rows and counts are written once, side by side: counts aren't formed
+    again, and texts aren't shuffled to them."""
+    found = materialise(with_counts(docs, text, lang, source), "counted")
     return judge(found, estimate(found)).where("kept").select("row.*")

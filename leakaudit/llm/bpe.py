@@ -183,6 +183,11 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _id_lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.uint32).astype(np.int32)))
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The documents with their token ids (array of int)."""
 
@@ -190,27 +195,31 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         c = codec(tokenizer)
         for batch in slices(batches, text):
             found = [c.encode(t or "") for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *[len(x) // 4 for x in found]]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), np.uint32).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=[*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(found)], names=[*batch.schema.names, ids])
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
-def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id, n_tokens, ids_sha256, decoded_sha256, after encoding and decoding."""
+def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per document: id, n_tokens, ids_sha256, decoded_sha256, after encoding and decoding; ``with_ids`` adds ids, the tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for batch in slices(batches, "text"):
             out: list[tuple[int, str, str]] = []
+            tokens: list[bytes] = []
             for t in batch.column("text").to_pylist():
                 packed = c.encode(t or "")
                 ids = np.frombuffer(packed, np.uint32)
                 decoded = c.decode(ids).encode()
+                tokens.append(packed)
                 out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             n, a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = [batch.column("id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
+            yield pa.RecordBatch.from_arrays([*found, _id_lists(tokens)] if with_ids else found, names=schema.names)
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, rows.select("id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+    schema = rows.select("id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(work, schema)

@@ -26,7 +26,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, TOKENIZER).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(docs, TOKENIZER, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,27 @@ def test_one_window_serves_all_offsets(spark):
     one = [states.offset_labels(rows, k).withColumn("offset_bins", F.lit(k)) for k in (1, 2, 4)]
     assert sorted(many.collect()) == sorted(r for df in one for r in df.select(many.columns).collect())
     assert many._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_packed_draws_are_the_weights(spark, monkeypatch):
+    """Cells of equal size share draws, blocks are counted apart, and a number above 255 takes a wider vector."""
+    monkeypatch.setattr(resample, "_BLOCK", 3)
+    monkeypatch.setattr(resample, "_BLOCKS", 4)
+    rows = [(c, g) for c, size in (("a", 30), ("b", 30), ("c", 7), ("d", 1)) for g in range(size)]
+    df = spark.createDataFrame(rows, "cell string, stay_id long")
+    want = {(r.cell, r.stay_id, r.rep): r.weight for r in resample.bootstrap_weights(df, 9, by=["cell"]).collect()}
+    found = {}
+    for r in resample.bootstrap_vectors(df, 9, by=["cell"]).collect():
+        found |= {(r.cell, r.stay_id, rep): w for rep, w in enumerate(r.drawn) if w}
+    assert found == want
+    wide = np.array([1, 2, 700], np.uint32).tobytes()
+    assert resample.drawn_matrix(pa.array([bytes([3, 0, 255]), wide]), 3).tolist() == [[3, 0, 255], [1, 2, 700]]
+
+
+@pytest.mark.parametrize("metric", ["auroc", "macro_f1", "ece"])
+def test_draws_are_never_broadcast(spark, tmp_path, metric):
+    """A file of groups looks small to a plan, and what 300 replicates make of it is not: it must not go through the driver."""
+    spark.createDataFrame(predictions(40, 2), PRED).write.parquet(str(tmp_path / "p"))
+    reps = metrics.bootstrap_replicates(spark.read.parquet(str(tmp_path / "p")), metric)
+    joins = [line for line in reps._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "idx#" in line or "stay_id#" in line]

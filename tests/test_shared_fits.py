@@ -1,6 +1,7 @@
 """The shared fits against independent ones: MLlib, a plain grower of trees, a Newton solver."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,53 @@ def test_steps_that_overshoot_are_halved(spark):
     cells = logistic.cells_of(far, {"v": ["x"]}, None)
     found = logistic.fit(far, cells)
     assert all(r.converged for r in logistic.certificate(far, cells, found).collect())
+
+
+def test_trees_walk_alike_either_way(monkeypatch):
+    """Question by question over many rows, or step by step over few; nodes that aren't split keep their rows."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 32, (700, 9)).astype(np.uint8)
+    column, cut = rng.integers(-1, 9, (12, 63)).astype(np.int16), rng.integers(0, 32, (12, 63)).astype(np.uint8)
+    for depth in range(7):
+        monkeypatch.setattr(trees, "_MANY", 1)
+        fast = trees.walk(x, column, cut, depth)
+        monkeypatch.setattr(trees, "_MANY", 1 << 30)
+        assert (fast == trees.walk(x, column, cut, depth)).all()
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_shared_sums_are_those_of_the_rows(level):
+    """Histograms by matrix products and by shared draws, against one addition per row."""
+    rng = np.random.default_rng(level)
+    n, bins, sets = 300, 8, (np.array([0, 2, 3]), np.array([1, 3]))
+    x, y, fold, h = rng.integers(0, bins, (n, 4)).astype(np.uint8), rng.integers(0, 2, n), rng.integers(0, 2, n), rng.integers(0, 1 << 60, n)
+    batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y), pa.array(fold), pa.array(h)], names=["x", "y", "fold", "h"])
+    every = np.array([(v, f, k) for v in (0, 1) for f in (0, 1) for k in (0, 5)])
+    for more in ({"considered": 1, "weights": np.array([[0.7, 1.5], [0.6, 2.0]])}, {"prior": rng.normal(size=len(every))}):
+        g = trees._empty(sets, *every.T, 3, seed=4, **more)
+        for t in range(len(every)):
+            for i in range((1 << level) - 1):
+                g.column[t, i], g.cut[t, i] = rng.choice([-1, *sets[every[t, 0]]]), rng.integers(1, bins)
+        g = trees.replace(g, level=level, value=None)
+        nodes, width = 1 << level, g.width
+        asked = np.zeros((len(every), nodes, width), np.int64)
+        want = np.zeros((2 if g.prior is None else 3, len(every), nodes, width, bins))
+        for t, (_, f, k) in enumerate(every):
+            own = g.choice(t)
+            asked[t, :, : own.shape[1]] = own
+            for i in range(n):
+                node = int(trees.walk(x[i : i + 1], g.column[t : t + 1], g.cut[t : t + 1], level)[0, 0]) - (nodes - 1)
+                if fold[i] == f or node < 0:
+                    continue
+                if g.prior is None:
+                    u = trees._mix(np.array([h[i]], np.uint64) ^ trees._mix(np.array([k], np.uint64) + np.uint64(4 << 20))) >> np.uint64(11)
+                    w = g.weights[f, y[i]] * np.searchsorted(trees._POISSON, u / float(1 << 53), "right")[0]
+                    stats = (w * y[i], w)
+                else:
+                    p = 1 / (1 + np.exp(-g.prior[t]))
+                    stats = (y[i] - p, 1.0, p * (1 - p))
+                for j, c in enumerate(own[node]):
+                    want[:, t, node, j, x[i, c]] += stats
+        parts = iter([batch.slice(0, 110), batch.slice(110)])
+        got = trees._forest_sums(g, asked, bins, parts) if g.prior is None else trees._boosted_sums(g, bins, parts)
+        assert np.allclose(got.reshape(want.shape), want, rtol=1e-12, atol=1e-12)

@@ -202,3 +202,55 @@ def test_shared_sums_are_those_of_the_rows(level):
         parts = iter([batch.slice(0, 110), batch.slice(110)])
         got = trees._forest_sums(g, asked, bins, parts) if g.prior is None else trees._boosted_sums(g, bins, parts)
         assert np.allclose(got.reshape(want.shape), want, rtol=1e-12, atol=1e-12)
+
+
+def alike(rng, n):
+    """A batch of n rows of few kinds, the same sorted by kind, and the kinds with their numbers."""
+    x, y, fold, h = rng.integers(0, 2, (n, 3)).astype(np.uint8), rng.integers(0, 2, n), rng.integers(0, 2, n), rng.integers(0, 1 << 60, n)
+    order = np.lexsort((fold, y, *x.T))
+    names = ["x", "y", "fold", "h"]
+    every, sorted_ = (
+        pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[i]], pa.binary()), *[pa.array(c[i]) for c in (y, fold, h)]], names=names) for i in (slice(None), order)
+    )
+    kinds, counts = np.unique(np.column_stack([x, y, fold]), axis=0, return_counts=True)
+    cells = [pa.array([r[:3].astype(np.uint8).tobytes() for r in kinds], pa.binary()), pa.array(kinds[:, 3]), pa.array(kinds[:, 4]), pa.array(counts)]
+    return every, sorted_, pa.RecordBatch.from_arrays(cells, names=["x", "y", "fold", "n"])
+
+
+def test_rows_that_are_alike_count_as_many():
+    rng = np.random.default_rng(5)
+    every, _, kinds = alike(rng, 400)
+    g = trees._empty((np.array([0, 1, 2]),), np.zeros(2, int), np.array([0, 1]), np.zeros(2, int), 2, prior=np.array([-0.4, 0.2]))
+    g.column[:, 0] = 1
+    g = trees.replace(g, level=1, value=None)
+    assert kinds.num_rows <= 32
+    assert np.allclose(trees._boosted_sums(g, 4, iter([kinds])), trees._boosted_sums(g, 4, iter([every])), rtol=1e-12, atol=1e-9)
+
+
+def test_a_forest_adds_the_draws_of_neighbours(monkeypatch):
+    rng = np.random.default_rng(6)
+    every, ordered, kinds = alike(rng, 400)
+    g = trees._empty((np.array([0, 1, 2]),), np.zeros(4, int), np.array([0, 1, 0, 1]), np.array([0, 0, 3, 3]), 2, considered=3, weights=np.ones((2, 2)), seed=2)
+    found = [f for f in trees._kinds(g, [0, 3], iter([ordered.slice(0, 150), ordered.slice(150)]))]
+    assert sum(len(f[1]) for f in found) <= kinds.num_rows + 1
+    h = every.column("h").to_numpy().view(np.uint64)
+    assert [sum(f[3][j].sum() for f in found) for j in (0, 1)] == [trees._draws(h, n, 2).sum() for n in (0, 3)]
+    asked = np.broadcast_to(np.arange(3), (4, 1, 3))
+    whole = trees._forest_sums(g, asked, 4, iter([every]))
+    monkeypatch.setattr(trees, "_KINDS_AT_ONCE", 7)
+    assert np.array_equal(trees._forest_sums(g, asked, 4, iter([ordered.slice(i, 40) for i in range(0, 400, 40)])), whole)
+
+
+def test_draws_are_those_of_the_distribution():
+    h = np.random.default_rng(7).integers(0, 1 << 62, 50000).view(np.uint64)
+    u = trees._mix(h ^ trees._mix(np.array([9], np.uint64) + np.uint64(3 << 20))) >> np.uint64(11)
+    drawn = trees._draws(h, 9, 3)
+    assert drawn.max() > 5 and (drawn == np.searchsorted(trees._POISSON, u / float(1 << 53), "right")).all()
+
+
+def test_binned_rows_are_dealt_over_the_cores(spark):
+    """A stage table of one file, of one kind of rows, must not leave a fit to one task."""
+    table = spark.range(20000).coalesce(1).selectExpr("id AS stay_id", "1 AS bin", "0 AS y", "0 AS fold", "2.0D AS a")
+    rows = trees.binned(table, ["a"], ["stay_id", "bin"])
+    held = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 20000 and len(held) >= 4 and max(held) < 8000

@@ -1,7 +1,8 @@
 """k-means of many variants and starts at once: every step is one pass over the rows for all models still moving.
 
 A model is a variant (a set of columns) and a start. Each task adds its rows into (model, cluster) counts, sums and costs, which are
-added on the map side again; what reaches the driver follows models, clusters and columns, never rows.
+added on the map side again; what reaches the driver follows models, clusters and columns, never rows. Steps read a table of the
+distinct rows and their numbers, dealt over the cores; where all rows differ that saves nothing, and the result is the same.
 
 Starts are seeded in parallel: in each of ``SEED_ROUNDS`` passes a model takes the ``2 * clusters`` rows that come first in a race whose odds are
 their squared distances to what it has, so that the number of candidates is fixed. One more pass weighs each candidate by the rows nearest
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakaudit.operators.resample import SEED
+from leakaudit.sources.tables import scratch_table
 
 SEED_ROUNDS = 5
 TOLERANCE = 1e-4
@@ -62,29 +64,56 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, _ROWS_AT_ONCE)
 
 
+def _ranked(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each distinct centre, factors): (x, 1) times the factors is the squared distance but for what all centres share."""
+    first = np.sort(np.unique(centres, axis=0, return_index=True)[1]) if centres.shape[1] else np.zeros(1, np.int64)
+    own = centres[first]
+    return first, np.vstack([-2.0 * own.T, (own**2).sum(1)])
+
+
+def _least_distances(x: np.ndarray, ranked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The squared distance to the nearest centre, with what is only rounding set to 0."""
+    factors, own = ranked[1], (x**2).sum(1)
+    apart = x @ factors[:-1] + factors[-1]
+    nearest = apart.argmin(1)
+    found = own + apart[np.arange(len(x)), nearest]
+    return np.where(found <= 1e-12 * (own + factors[-1][nearest]), 0.0, found)
+
+
+def _neighbours(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each run of equal neighbours, and the run of every row."""
+    other = np.ones(len(x), bool)
+    other[1:] = (x[1:] != x[:-1]).any(1)
+    return x[other], np.cumsum(other) - 1
+
+
 def _lists(rows: np.ndarray) -> pa.Array:
     ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
 
 
-def _sums(rows: DataFrame, columns: Sequence[tuple[str, ...]], centres: Mapping[int, np.ndarray]) -> Mapping[int, tuple[np.ndarray, np.ndarray, float]]:
-    """By model: (rows, sums) of each cluster and the cost. ``columns`` are by model too; a sum is padded to the widest."""
+def _sums(rows: DataFrame, columns: Sequence[tuple[str, ...]], centres: Mapping[int, np.ndarray], cost: bool = True) -> Mapping[int, tuple[np.ndarray, np.ndarray, float]]:
+    """By model: (rows, sums) of each cluster and, if asked for, the cost. ``columns`` are by model too; a sum is padded to the widest. A column
+    ``__n`` tells how many rows a row stands for."""
     shared = rows.sparkSession.sparkContext.broadcast(dict(centres))
     width = max(len(columns[m]) for m in centres)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {m: np.zeros((len(c), width + 2)) for m, c in shared.value.items()}
+        ranked = {m: _ranked(c) for m, c in shared.value.items()}
         for batch in _slices(batches):
-            sets = {own: matrix(batch, own) for own in {columns[m] for m in shared.value}}
+            many = batch.column("__n").to_numpy().astype(float) if "__n" in batch.schema.names else np.ones(batch.num_rows)
+            sets = {own: np.column_stack([matrix(batch, own), np.ones(batch.num_rows)]) for own in {columns[m] for m in shared.value}}
             for m, c in shared.value.items():
-                x = sets[columns[m]]
-                apart = squared_distances(x, c)
-                nearest = apart.argmin(1)
+                x, (first, scores) = sets[columns[m]], ranked[m]
+                nearest = first[(x @ scores).argmin(1)]
                 chosen = np.zeros((len(x), len(c)))
-                chosen[np.arange(len(x)), nearest] = 1.0
-                totals[m][:, 0] += chosen.sum(0)
-                totals[m][:, 1] += chosen.T @ apart[np.arange(len(x)), nearest]
-                totals[m][:, 2 : 2 + x.shape[1]] += chosen.T @ x
+                chosen[np.arange(len(x)), nearest] = many
+                found = chosen.T @ x
+                totals[m][:, 0] += found[:, -1]
+                totals[m][:, 2 : 1 + x.shape[1]] += found[:, :-1]
+                if cost:
+                    totals[m][:, 1] += np.bincount(nearest, many * ((x[:, :-1] - c[nearest]) ** 2).sum(1), len(c))
         for m, total in totals.items():
             some = np.flatnonzero(total[:, 0])
             cells = [pa.array(np.full(len(some), m), pa.int32()), pa.array(some, pa.int32()), _lists(total[some])]
@@ -108,20 +137,29 @@ def _raced(rows: DataFrame, keys: Sequence[str], columns: Sequence[tuple[str, ..
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {m: (np.zeros(0), np.zeros((0, width)), np.zeros(0, np.int64)) for m in shared.value}
+        ranked = {m: _ranked(c) for m, c in shared.value.items() if len(c)}
         for batch in _slices(batches):
             h = batch.column("__h").to_numpy().view(np.uint64)
-            sets = {own: matrix(batch, own) for own in {columns[m] for m in shared.value}}
+            sets = {own: _neighbours(matrix(batch, own)) for own in {columns[m] for m in shared.value}}
             for m, c in shared.value.items():
-                x = sets[columns[m]]
-                odds = squared_distances(x, c).min(1) if len(c) else np.ones(len(x))
+                x, run = sets[columns[m]]
+                odds = (_least_distances(x, ranked[m]) if len(c) else np.ones(len(x)))[run]
                 some = np.flatnonzero(odds > 0)
                 u = (_scatter(h[some], m, draw) >> np.uint64(11)).astype(np.float64) + 0.5
                 place = -np.log(u / float(1 << 53)) / odds[some]
-                wide = np.zeros((len(some), width))
-                wide[:, : x.shape[1]] = x[some]
-                time, found, own = (np.concatenate(p) for p in zip(held[m], (place, wide, h[some].view(np.int64))))
+                time, found, own = held[m]
+                if len(time) == most:
+                    ahead = place <= time[-1]
+                    some, place = some[ahead], place[ahead]
+                if not len(some):
+                    continue
+                time, own = np.concatenate([time, place]), np.concatenate([own, h[some].view(np.int64)])
                 first = np.lexsort((own, time))[:most]
-                held[m] = (time[first], found[first], own[first])
+                wide = np.zeros((len(first), width))
+                fresh = first >= len(found)
+                wide[~fresh] = found[first[~fresh]]
+                wide[fresh, : x.shape[1]] = x[run[some[first[fresh] - len(found)]]]
+                held[m] = (time[first], wide, own[first])
         for m, (time, found, own) in held.items():
             cells = [pa.array(np.full(len(time), m), pa.int32()), pa.array(time), pa.array(own), _lists(found)]
             yield pa.RecordBatch.from_arrays(cells, names=["model", "time", "h", "x"])
@@ -175,8 +213,14 @@ def every_start(
     models = [(v, s) for v in names for s in range(starts)]
     columns = [tuple(variants[v]) for v, _ in models]
     needed = list(dict.fromkeys(c for own in columns for c in own))
-    keyed = table.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *needed)
-    rows, hashed = keyed.select(*needed), [f"__k{i}" for i in range(len(keys))]
+    cores, hashed = table.sparkSession.sparkContext.defaultParallelism, [f"__k{i}" for i in range(len(keys))]
+    # A pass costs models x centres a row, whatever it reads: rows are written once, evenly, and not joined or read from few files in every pass.
+    points = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in needed]
+    # Equal rows stand next to each other, and distances are formed once for them.
+    keyed = table.select(*[F.col(k).alias(h) for k, h in zip(keys, hashed)], *points)
+    keyed = scratch_table(keyed.repartition(cores, *hashed).sortWithinPartitions(*needed), "points")
+    rows = scratch_table(keyed.groupBy(*needed).agg(F.count(F.lit(1)).alias("__n")).repartition(cores, *needed), "kinds")
+    rows = rows.coalesce(max(1, min(cores, -(-rows.count() // _ROWS_AT_ONCE))))
 
     chosen = {m: np.zeros((0, len(columns[m]))) for m in range(len(models))}
     for draw in range(SEED_ROUNDS + 1):
@@ -184,12 +228,12 @@ def every_start(
         chosen = {m: np.concatenate([chosen[m], more[m]]) for m in chosen}
     if not all(len(c) for c in chosen.values()):
         raise ValueError("no rows to cluster")
-    weighed = _sums(rows, columns, chosen)
+    weighed = _sums(rows, columns, chosen, cost=False)
     centres = {m: weighted_plus_plus(chosen[m], weighed[m][0], clusters, np.random.default_rng([seed, m])) for m in chosen}
 
     moving, taken = dict(centres), {}
     for step in range(1, rounds + 1):
-        found = _sums(rows, columns, moving)
+        found = _sums(rows, columns, moving, cost=False)
         for m, (n, sums, _) in found.items():
             moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], moving[m])
             far = np.sqrt(((moved - moving[m]) ** 2).sum(1).max())

@@ -124,3 +124,24 @@ def test_policy_agrees_with_its_parts(spark, table):
     moved = clusters.every_start(table, {"two": ["a", "b"]}, ["stay_id", "bin"], 6, starts=1)
     moved[0].centres[0] += 0.01
     assert audit.clustering_certificate(table, moved).first().settled == 0
+
+
+def test_equal_rows_are_kept_once_for_the_steps(spark, table, monkeypatch):
+    """Steps read distinct rows with their numbers, dealt over the cores, and copies weigh as many."""
+    seen, plain_sums = [], clusters._sums
+    monkeypatch.setattr(clusters, "_sums", lambda rows, *args, **kw: seen.append(rows) or plain_sums(rows, *args, **kw))
+    few = table.withColumn("a", F.floor("a")).withColumn("b", F.floor("b"))
+    (c,) = clusters.every_start(few, {"two": ["a", "b"]}, ["stay_id", "bin"], 6, starts=1)
+    assert seen[0].count() <= 140 and seen[0].agg(F.sum("__n")).first()[0] == 600
+    x = few.toPandas()[["a", "b"]].to_numpy()
+    assert c.cost == pytest.approx(plain(x, c.centres).min(1).sum())
+
+
+def test_least_distances_and_runs():
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(size=(9, 3)), 2, axis=0)
+    x = np.concatenate([np.repeat(rng.normal(size=(50, 3)), 3, axis=0), centres])
+    kinds, run = clusters._neighbours(x)
+    assert len(kinds) == 59 and (kinds[run] == x).all()
+    found = clusters._least_distances(kinds, clusters._ranked(centres))
+    assert np.allclose(found, plain(kinds, centres).min(1)) and (found[50:] == 0).all()

@@ -95,6 +95,15 @@ def _anchored(docs: DataFrame, n: int) -> DataFrame:
     return materialise(docs.mapInArrow(work, schema).withColumn("unit", F.monotonically_increasing_id()), "anchors")
 
 
+def _by_unit(owner: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """(unit, places): the places of each unit as one list."""
+    order = np.argsort(owner, kind="stable")
+    owner, places = owner[order], places[order]
+    own, first = np.unique(owner, return_index=True)
+    edges = pa.array(np.append(first, len(owner)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(edges, pa.array(places.astype(np.int32)))], names=["unit", "places"])
+
+
 def _repeated(units: DataFrame, buckets: int) -> DataFrame:
     """(unit, places): anchors whose hash occurs twice."""
 
@@ -135,22 +144,18 @@ def _repeated(units: DataFrame, buckets: int) -> DataFrame:
         group = np.cumsum(np.concatenate([[True], ~same])) - 1
         twice |= (np.bincount(group, told) > 0)[group]
         at = order[twice & ~told]
-        return pa.table({"units": pa.array([owner[at].tobytes()], pa.binary()), "places": pa.array([places[at].tobytes()], pa.binary())})
+        return pa.Table.from_batches([_by_unit(owner[at], places[at])])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                owner = np.frombuffer(batch.column("units")[i].as_py(), np.int64)
-                places = np.frombuffer(batch.column("places")[i].as_py(), np.uint32)
-                order = np.argsort(owner, kind="stable")
-                owner, places = owner[order], places[order]
-                own, first = np.unique(owner, return_index=True)
-                edges = pa.array(np.append(first, len(owner)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(edges, pa.array(places.astype(np.int32)))], names=["unit", "places"])
+                yield _by_unit(np.frombuffer(batch.column("units")[i].as_py(), np.int64), np.frombuffer(batch.column("places")[i].as_py(), np.uint32))
 
     packed = materialise(units.mapInArrow(pack, "bucket int, hashes binary, units binary, places binary"), "hashes")
-    met = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "units binary, places binary")
-    found = met.unionByName(packed.where("bucket < 0").select("units", "places")).mapInArrow(lists, "unit long, places array<int>")
+    kinds = "unit long, places array<int>"
+    # side by side: one after the other in a task, the two would hold a Python worker each
+    met = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, kinds)
+    found = met.unionByName(packed.where("bucket < 0").select("units", "places").mapInArrow(lists, kinds))
     return found.groupBy("unit").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 

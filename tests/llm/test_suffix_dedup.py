@@ -85,3 +85,20 @@ def test_front_coding():
     import numpy as np
 
     assert s._unpack(np.frombuffer(shared, np.uint16), np.frombuffer(lengths, np.uint16), tail) == keys
+
+
+def test_a_task_runs_one_python_step(spark):
+    """Python steps of one task hold a worker each: between two of them lies an exchange."""
+    units = spark.createDataFrame([(0, b"\0" * 16, b"\0" * 8)], "unit long, hashes binary, places binary")
+    plan = s._repeated(units, 4)._jdf.queryExecution().sparkPlan().toString()
+    seen, above = 0, []  # (depth, whether a Python step) of the node's ancestors in its task
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        name = line[depth:]
+        python = name.startswith(("MapInArrow", "FlatMapGroupsInArrow"))
+        while above and above[-1][0] >= depth:
+            above.pop()
+        assert not (python and any(p for _, p in above)), plan
+        seen += python
+        above.append((depth, python))
+    assert seen == 2

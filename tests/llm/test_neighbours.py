@@ -1,6 +1,8 @@
+import heapq
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from brute import SF, table
 from leakaudit.llm import neighbours
@@ -108,3 +110,71 @@ def test_a_vector_of_another_length_loses_only_itself(spark):
     assert got(long + short) == brute(long, 50, 5) | brute(short, 50, 5)
     both = got([*long, (0, [1.0, 2.0]), (1, [1.0, 2.0]), (9, [2.0, 1.0])])
     assert [both[0, r][0] for r in range(1, 6)] == [1, 2, 3, 9, 50] and abs(both[0, 1][1] - 1) < 1e-9
+
+
+def test_few_rows_leave_a_task_for_the_sample(spark):
+    rows = spark.range(0, 20000, 1, 8).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    hash_ = F.xxhash64("id")
+    assert neighbours._below(rows, 100, hash_).count() < 130  # of 8 x 100 that tasks would send
+    got = [r.id for r in neighbours.smallest(rows, 100).collect()]
+    assert got == [r.id for r in rows.orderBy(hash_, "id").limit(100).collect()]
+    assert neighbours.smallest(rows.limit(0), 100).count() == 0 and neighbours.smallest(rows.limit(7), 100).count() == 7
+
+
+def test_order_is_that_of_a_queue():
+    def queue_order(tree, q):
+        queue, out = [(0.0, 0)], []
+        while queue:
+            _, node = heapq.heappop(queue)
+            out += [node] if not tree.children[node] else []
+            for child in tree.children[node]:
+                heapq.heappush(queue, (-float(tree.centre_matrix[child] @ q), child))
+        return out
+
+    rng = np.random.default_rng(8)
+    x = neighbours._unit(rng.normal(size=(3000, 6)) + 3 * (rng.random((3000, 1)) < 0.5))
+    tree = neighbours.Tree(x)
+    assert tree.paths.shape[1] > 2
+    for q in x[:40]:
+        assert list(tree.best_bins(q)) == queue_order(tree, q)
+
+
+def test_regions_and_chunks_change_nothing(spark, monkeypatch):
+    """What a task holds is bounded: a crowded leaf lies in several regions, and queries come in chunks."""
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * 0.2 + (1 if i % 3 else i % 7)).tolist()) for i in range(1500)]
+    rows += [(5000 + i, [1.0] * 8) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, neighbours.nearest(frame, every=10).collect()))
+    monkeypatch.setattr(neighbours, "REGION_ROWS", 100)
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 4 * 8 * 20)
+    assert sorted(map(tuple, neighbours.nearest(frame, every=10).collect())) == whole
+    want = {(q, r, *v) for (q, r), v in brute(rows, 10, 5).items()}
+    assert len(whole) == len(want) and len(want & set(whole)) / len(want) >= 0.9
+
+
+def test_parts_are_about_equal():
+    first, last = neighbours.spans(np.array([10, 1000, 0, 10, 500, 3]), 8)
+    assert (first <= last).all() and last.max() < 8 and (first[1:] >= last[:-1]).all()
+    assert last[1] - first[1] >= 4 and first[0] == last[0] and first[3] == last[3]
+
+
+def test_copies_that_cannot_be_among_the_best_are_left_out():
+    ids, x = np.array([5, 9, 1, 1, 7, 3, 8]), np.array([[1.0, 2.0]] * 6 + [[2.0, 1.0]])
+    assert set(ids[neighbours.distinct(ids, x, 2)].tolist()) == {1, 3, 5, 8}
+    assert len(neighbours.distinct(ids, x, 2)) == 4
+
+
+def test_bars_never_exceed_the_true_score():
+    rng = np.random.default_rng(3)
+    x = neighbours._unit(rng.normal(size=(500, 16)))
+    tree, ids = neighbours.Tree(x), np.arange(500) // 2
+    sample = neighbours.Sample(ids, x, tree)
+    bars = sample.bars(ids[:20], x[:20], 5)
+    for q in range(20):
+        best = {}
+        for i, s in zip(ids, x @ x[q]):
+            if i != ids[q]:
+                best[i] = max(best.get(i, -2), s)
+        assert -1 < bars[q] <= sorted(best.values())[-5]

@@ -264,3 +264,62 @@ def test_draws_are_never_broadcast(spark, tmp_path, metric):
     reps = metrics.bootstrap_replicates(spark.read.parquet(str(tmp_path / "p")), metric)
     joins = [line for line in reps._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in joins if "idx#" in line or "stay_id#" in line]
+
+
+def test_replicates_of_scores_tied_across_slices(spark, monkeypatch):
+    """Scores in long ties, a bucket swept a few rows at a time: each replicate is the area by counting pairs."""
+    from leakaudit.operators.resample import bootstrap_vectors, drawn_matrix
+
+    monkeypatch.setattr(metrics, "_ROWS_SWEPT", 5)
+    rows = [(g, b, (g * 7 + b * 3) % 5 % 2, float((g + b * b) % 4) if (g + b) % 9 else None) for g in range(30) for b in range(3)]
+    rows += [(g, 3, g % 2, 0.5) for g in range(30)]
+    frame = spark.createDataFrame(rows, "stay_id long, bin int, y int, score double").filter("score IS NOT NULL")
+    got = {r.rep: r.value for r in metrics.bootstrap_replicates(frame, "auroc", n_boot=20).collect()}
+    told = bootstrap_vectors(frame.select("stay_id").distinct(), 20).toArrow().combine_chunks()
+    drawn = dict(zip(told.column("stay_id").to_pylist(), drawn_matrix(told.column("drawn").combine_chunks(), 20).astype(int)))
+    for rep in range(20):
+        pos, neg = ([(s, drawn[g][rep]) for g, _, y, s in rows if s is not None and y == k and g in drawn] for k in (1, 0))
+        wins = sum(m * n * ((a > b) + 0.5 * (a == b)) for a, m in pos for b, n in neg)
+        assert got[rep] == wins / (sum(m for _, m in pos) * sum(n for _, n in neg))
+
+
+def test_bucket_counts_the_edges_below(spark):
+    scores = [0.0, 0.1, 0.1, 0.5, 0.7, 0.9, 1.0, float("nan")] + [i / 3000 for i in range(3000)]
+    frame = spark.createDataFrame([(s,) for s in scores], "score double")
+    probs = ", ".join(f"{i / 1024!r}D" for i in range(1024))
+    edges = frame.selectExpr(f"percentile_approx(score, array({probs}), 4096) e").first().e
+    told = metrics.with_score_bucket(frame)
+    for r in told.collect():
+        assert r.bucket == (1024 if r.score != r.score else sum(e < r.score for e in edges))
+    assert "lambda" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert metrics.with_score_bucket(spark.createDataFrame([(None,), (0.5,)], "score double")).filter("score IS NULL").first().bucket == 0
+
+
+def test_groups_are_hashed_once_each(spark, tmp_path):
+    """The hash of a group's place isn't asked of every row before rows become groups."""
+    spark.range(100).selectExpr("id % 10 AS stay_id", "id AS bin").write.parquet(str(tmp_path / "t"))
+    from leakaudit.operators.resample import bootstrap_vectors
+
+    plan = bootstrap_vectors(spark.read.parquet(str(tmp_path / "t")).select("stay_id").distinct(), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and not any("Filter" in line and "md5" in line for line in plan.splitlines())
+
+
+def test_rounding_is_not_repeated_for_each_edge(spark):
+    long = spark.createDataFrame([("a", float(i), i % 2) for i in range(50)] + [("b", None, 1)], "feature string, value double, y int")
+    told = metrics.discretize(long, metrics.quantile_edges(long))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert all("round(" not in line.split("lambdafunction(")[1] for line in plan.splitlines() if "lambdafunction(" in line and "value_bin" in line)
+    assert {r.feature: r.n for r in told.groupBy("feature").agg({"value_bin": "max"}).toDF("feature", "n").collect()} == {"a": 9, "b": 0}
+    unrolled = metrics.discretize(long, metrics.quantile_edges(long), most=9)
+    assert sorted(unrolled.collect()) == sorted(told.collect())
+    assert "lambda" not in [line for line in unrolled._jdf.queryExecution().optimizedPlan().toString().splitlines() if "value_bin" in line][0]
+
+
+def test_draws_formed_in_tasks_are_those_of_pick(spark):
+    from leakaudit.functions.hashing import pick
+
+    rows = spark.range(40).selectExpr("id * 977 AS idx").crossJoin(spark.range(7).selectExpr("CAST(id AS INT) AS rep")).orderBy("idx", "rep")
+    want = [r.hit for r in rows.select(pick(42, "bootstrap_draw", F.lit(1234567), "rep", "idx").alias("hit")).collect()]
+    assert resample._hits(42, 7, np.arange(40) * 977, np.full(280, 1234567)).tolist() == want
+    plan = resample.bootstrap_vectors(spark.range(9).selectExpr("id AS stay_id"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()  # no row for each draw before tasks pack them
